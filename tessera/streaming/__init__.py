@@ -1,0 +1 @@
+"""No streaming operator is in the inventory; nothing lives here yet."""
