@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, linededup, multiindex, pieces, sharding, simhash
+from tessera.llm import decontaminate, html, linededup, multiindex, pieces, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op1_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
         "op2_sharding": lambda s, d: sharding.shard(table(s, d, "documents")),
         "op4_pieces": lambda s, d: pieces.tokens(table(s, d, "documents"), keep=["doc_id"], with_ids=False),
+        "op6_secrets": lambda s, d: secrets.scan(table(s, d, "documents")),
+        "op7_html": lambda s, d: html.extract(table(s, d, "pages")),
         "op8_line_dedup": lambda s, d: linededup.dedup(table(s, d, "documents"), keep=["doc_id", "text"]),
         "op9_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_embedding_dedup": lambda s, d: multiindex.near_duplicates(table(s, d, "embeddings")),
