@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html, linededup, multiindex, pieces, secrets, sharding, simhash
+from tessera.llm import decontaminate, html, langid, linededup, multiindex, pieces, secrets, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,9 @@ def queries() -> dict:
     return {
         "op1_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
         "op2_sharding": lambda s, d: sharding.shard(table(s, d, "documents")),
+        "op3_language": lambda s, d: langid.identify(table(s, d, "documents")),
         "op4_pieces": lambda s, d: pieces.tokens(table(s, d, "documents"), keep=["doc_id"], with_ids=False),
+        "op5_toxicity": lambda s, d: toxicity.score(table(s, d, "documents"), table(s, d, "labels")),
         "op6_secrets": lambda s, d: secrets.scan(table(s, d, "documents")),
         "op7_html": lambda s, d: html.extract(table(s, d, "pages")),
         "op8_line_dedup": lambda s, d: linededup.dedup(table(s, d, "documents"), keep=["doc_id", "text"]),

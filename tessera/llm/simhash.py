@@ -51,13 +51,17 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = np.array([fingerprint(v.as_py()) for v in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        fp = np.array([fingerprint(v.as_py()) for v in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp bigint) of every row: whole texts, lower-cased A-Z, words between ASCII white space. Null: no words."""
-    return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("t")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """(doc_id, mark, fp bigint) of every row: whole texts, lower-cased A-Z, words between ASCII white space. Null: no words.
+
+    mark is a hash of the text, by which rows with one id can be told apart.
+    """
+    rows = docs.select(docs[key].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].cast("string").alias("t"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, mark bigint, fp bigint")
 
 
 class Anchors:
@@ -214,7 +218,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """(fp) distinct to (u, v): links that connect exactly the fingerprints that chains of DISTANCE bits connect."""
-    copies = distinct.mapInArrow(_replicas(bands), "anchor bigint, fp bigint, home boolean")
+    # dealt out anew: the table is small for the work that each of its rows makes
+    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    copies = distinct.repartition(spread, "fp").mapInArrow(_replicas(bands), "anchor bigint, fp bigint, home boolean")
     # every fingerprint is among the replicas, so at an anchor its homes are compared with all that visit it
     size = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
     hot = size.filter(F.col("n") > block).select(
@@ -233,6 +239,15 @@ def links(distinct: DataFrame, bands: int = BANDS, block: int = BLOCK) -> DataFr
     return parts.mapInArrow(_compare, "u bigint, v bigint")
 
 
+def _named(marks: DataFrame, bands: int, block: int) -> DataFrame:
+    """(class_fp, root, component_id) of every distinct fingerprint of marks."""
+    lowest = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    linked = components(links(lowest.select("fp"), bands, block))
+    classes = lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return cut(classes.join(roots, "root").select(F.col("fp").alias("class_fp"), "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable by links.
 
@@ -241,10 +256,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     Other columns of docs are not read.
     """
     marks = cut(fingerprints(docs, key, text), "fingerprints")
-    lowest = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(links(lowest.select("fp"), bands, block))
-    classes = lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(classes.join(roots, "root").select(F.col("fp").alias("class_fp"), "component_id"), "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marks.join(named, F.col("fp") == F.col("class_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return marks.join(_named(marks, bands, block), F.col("fp") == F.col("class_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+    """One row of each component: that with the least id, a null id last, among equal ids that with the least text hash.
+
+    All columns stay. Of repeated rows one stays.
+    """
+    marks = cut(fingerprints(docs, key, text), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    first = marks.join(_named(marks, bands, block), F.col("fp") == F.col("class_fp")).groupBy("root").agg(F.min(rank).alias("r"))
+    chosen = first.select(F.col("r.id").alias("__id"), F.col("r.mark").alias("__mark"))
+    kept = docs.join(chosen, docs[key].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__mark")), "left_semi")
+    repeated = marks.groupBy("doc_id", "mark").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    mark = F.xxhash64(docs[text])
+    return kept.withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
