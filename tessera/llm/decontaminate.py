@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.fmindex import FMIndex
-from tessera.llm.storage import cut
+from tessera.llm.storage import cut, fresh
 from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast, and of documents in one shard.
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+FOUND = ("found_text", "found_words", "found_spans", "found_items")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -169,7 +170,7 @@ def _search(block, window: int):
             spans, items = shard.hits()
             words, row = np.concatenate(shard.n_words), 0
             for part in parts:
-                n, k = part.num_rows, part.num_columns - 3
+                n, k = part.num_rows, part.num_columns - 3  # texts, words, spans and items come last
                 old_spans, old_items = part.column(k + 1).to_pylist(), part.column(k + 2).to_pylist()
                 merged = [merge([tuple(o[x : x + 4]) for x in range(0, len(o), 4)] + s) if s or o else [] for o, s in zip(old_spans, spans[row : row + n], strict=True)]
                 flat = [[v for s in m for v in s] for m in merged]
@@ -181,7 +182,7 @@ def _search(block, window: int):
 
         shard, parts = Shard(windows), []
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__text"))
+            text = batch.column(batch.num_columns - 4)
             size = np.diff(string_bytes(text)[1])
             start = 0
             while start < batch.num_rows:
@@ -200,19 +201,19 @@ def _search(block, window: int):
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in ``keep`` (default: all) and __text, __words, __spans, __items.
+    """docs' columns in ``keep`` (default: all), then four more: found_text, found_words, found_spans, found_items.
 
-    __words: the text's words. __spans: merged occurrences of windows, four numbers each: first word, last word + 1,
-    first byte, last byte + 1. __items: sorted ids, as strings, of the items whose windows occur. An item of fewer words
-    than a window is one window; one without words (null, empty) has none. Null texts have no words. Repeated rows each
-    get a row; repeated items count once by id. Columns of docs that bear one of these names are left out.
+    found_words: the text's words. found_spans: merged occurrences of windows, four numbers each: first word, last word
+    + 1, first byte, last byte + 1. found_items: sorted ids, as strings, of the items whose windows occur. An item of
+    fewer words than a window is one window; one without words (null, empty) has none. Null texts have no words.
+    Repeated rows each get a row; repeated items count once by id. Where docs has a column of such a name, the new one
+    gets underscores in front.
     """
-    spark, own = docs.sparkSession, {"__text", "__words", "__spans", "__items"}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    spark, kept = docs.sparkSession, docs.columns if keep is None else keep
+    t, w, s, i = fresh(docs.select(*kept), *FOUND)
     state = docs.select(
-        *kept, docs[text].cast("string").alias("__text"), F.lit(0).cast("bigint").alias("__words"),
-        F.array().cast("array<bigint>").alias("__spans"), F.array().cast("array<string>").alias("__items"),
-    )
+        *kept, docs[text].cast("string").alias(t), F.lit(0).cast("bigint").alias(w), F.array().cast("array<bigint>").alias(s), F.array().cast("array<string>").alias(i)
+    )
     items = benchmark.select(benchmark[item].cast("string").alias("item"), benchmark[item_text].cast("string").alias("t")).filter("item is not null and t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
@@ -227,12 +228,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row; see ``occurrences``."""
-    found = occurrences(docs, benchmark, keep=[key], **options)
-    n = F.size("__spans") / 4
-    hit = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0).cast("bigint"), lambda acc, k: acc + F.element_at("__spans", k * 4 - 2) - F.element_at("__spans", k * 4 - 3))
-    hit = F.when(F.size("__spans") > 0, hit).otherwise(F.lit(0).cast("bigint"))
-    return found.select(F.col(key).alias("doc_id"), F.col("__words").alias("n_words"), hit.alias("n_hit"), "__items").select(
-        "doc_id", "n_words", "n_hit", F.size("__items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    found = occurrences(docs.select(docs[key].alias("doc_id"), docs[options.pop("text", "text")].alias("text")), benchmark, keep=["doc_id"], **options)
+    text, words, spans, items = FOUND
+    starts = F.sequence(F.lit(1), F.size(spans), F.lit(4))
+    hit = F.aggregate(starts, F.lit(0).cast("bigint"), lambda acc, k: acc + F.element_at(spans, k + 1) - F.element_at(spans, k))
+    hit = F.when(F.size(spans) > 0, hit).otherwise(F.lit(0).cast("bigint"))
+    return found.select("doc_id", F.col(words).alias("n_words"), hit.alias("n_hit"), items).select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
@@ -242,12 +244,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     All rows and columns stay; a text without an occurrence stays as it is, null included.
     """
     found = occurrences(docs, benchmark, text=text, **options)
-    schema = found.schema
+    body = found.columns[-4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, names = batch.column(schema.fieldNames().index("__spans")).to_pylist(), batch.schema.names
-            at = names.index("__text")
+            at = batch.num_columns - 4
+            spans = batch.column(at + 2).to_pylist()
             if any(spans):
                 out = []
                 for value, cuts in zip(batch.column(at), spans, strict=True):
@@ -259,8 +261,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
                         out.append((b"".join(parts) + raw[done:]).decode())
                     else:
                         out.append(value.as_py())
-                batch = batch.set_column(at, "__text", pa.array(out, batch.schema.field(at).type))
+                batch = batch.set_column(at, batch.schema.names[at], pa.array(out, batch.schema.field(at).type))
             yield batch
 
-    cleaned = found.mapInArrow(run, schema)
-    return cleaned.select(*(F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns if c in found.columns or c == text))
+    cleaned = found.mapInArrow(run, found.schema)
+    return cleaned.select(*(F.col(body).alias(text) if c == text else F.col(c) for c in docs.columns))

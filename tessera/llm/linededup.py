@@ -8,6 +8,8 @@ and every later one covers its lines. Covered lines go; a line goes once, howeve
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import fresh
+
 WINDOW = 3
 
 
@@ -42,11 +44,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     docs is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "n_removed"]
-    gone = covered(docs, key, text, window).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__mark")), "left")
-    remaining = F.array_join(F.filter(_lines(docs[text]), lambda _, k: ~F.array_contains("__gone", k)), "\n")
-    clean = F.when(F.col("__gone").isNull(), docs[text]).otherwise(remaining)
-    return joined.select(*(clean.alias(c) if c == text else docs[c] for c in kept), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    i, m, g = fresh(docs, "id", "mark", "gone")
+    gone = covered(docs, key, text, window).select(F.col("id").alias(i), F.col("mark").alias(m), F.col("gone").alias(g))
+    joined = docs.join(gone, docs[key].eqNullSafe(gone[i]) & (F.xxhash64(docs[text]) == gone[m]), "left")
+    remaining = F.array_join(F.filter(_lines(docs[text]), lambda _, k: ~F.array_contains(gone[g], k)), "\n")
+    clean = F.when(gone[g].isNull(), docs[text]).otherwise(remaining)
+    return joined.select(*(clean.alias(c) if c == text else docs[c] for c in kept), F.coalesce(F.size(gone[g]), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 ORACLE = r"""

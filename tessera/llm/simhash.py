@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import cut
+from tessera.llm.storage import cut, fresh
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Bands of the fingerprint: 4 up to some 10 million distinct fingerprints (16,384 anchors), 2 beyond (2**25 anchors).
@@ -268,10 +268,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: in
     marks = cut(fingerprints(docs, key, text), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     first = marks.join(_named(marks, bands, block), F.col("fp") == F.col("class_fp")).groupBy("root").agg(F.min(rank).alias("r"))
-    chosen = first.select(F.col("r.id").alias("__id"), F.col("r.mark").alias("__mark"))
-    kept = docs.join(chosen, docs[key].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__mark")), "left_semi")
+    i, m = fresh(docs, "id", "mark")
+    chosen = first.select(F.col("r.id").alias(i), F.col("r.mark").alias(m))
+    kept = docs.join(chosen, docs[key].cast("bigint").eqNullSafe(chosen[i]) & (F.xxhash64(docs[text]) == chosen[m]), "left_semi")
     repeated = marks.groupBy("doc_id", "mark").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    mark = F.xxhash64(docs[text])
-    return kept.withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
+    return kept.withColumn(m, F.xxhash64(docs[text])).dropDuplicates([key, m]).drop(m) if repeated else kept

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import fresh
 from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW, STRIDE = 64, 48
@@ -351,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
-def _score(spread):
+def _score(spread, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = spread.value
         for batch in batches:
@@ -363,17 +364,20 @@ def _score(spread):
                 parts.append(net.scores(Words.of(text.slice(start, stop - start))))
                 start = stop
             made = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], [*batch.schema.names[:-1], "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], [*batch.schema.names[:-1], name])
 
     return run
 
 
-def scored(docs: DataFrame, network: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in ``keep``) and __score, 0 to 1, of every row's whole text; 0 for texts without words, null included."""
-    df = docs.select(*[c for c in (docs.columns if keep is None else keep) if c not in ("__score", "__text")], docs[text].cast("string").alias("__text"))
+def scored(docs: DataFrame, network: Network, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """docs (or its columns in ``keep``) and the score, 0 to 1, of every row's whole text; 0 for texts without words, null included.
+
+    A column of docs that bears the score's name is left out.
+    """
+    kept = docs.select(*[c for c in (docs.columns if keep is None else keep) if c.lower() != name.lower()], docs[text].cast("string").alias(fresh(docs, "body")[0]))
     spread = docs.sparkSession.sparkContext.broadcast(network)  # at most MOST_WORDS + MOST_GRAMS vectors: some 3 MB
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]] + ["__score double"])
-    return df.mapInArrow(_score(spread), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"`{name}` double"])
+    return kept.mapInArrow(_score(spread, name), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", network: Network | None = None) -> DataFrame:
@@ -383,5 +387,11 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     words are equal. Repeated rows each get a row; other columns of docs are not read.
     """
     network = network or fit(docs, labels, key, text, label)
-    d = scored(docs.withColumn("__id", docs[key]), network, text, keep=["__id"])
-    return d.select(F.col("__id").alias("doc_id"), F.coalesce(_fold(F.col("__id")) == 0, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    d = scored(docs.select(docs[key].alias("doc_id"), docs[text].alias("t")), network, "t", keep=["doc_id"])
+    return d.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, network: Network, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows that score below ``least``, all columns."""
+    (name,) = fresh(docs, "toxicity")
+    return scored(docs, network, text, name=name).filter(F.col(name) < least).drop(name)
