@@ -22,7 +22,7 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on the labels at hand, scores 0.5 or more go."""
     network = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, network).filter("__score < 0.5").select(docs.columns)
+    return toxicity.without_toxic(docs, network).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
