@@ -20,6 +20,8 @@ from tessera.llm.storage import cut
 BUCKETS, ORDERS = 1 << 14, 3
 #: Bound of the fitting sample: documents a language, and in all (at least 20 a language).
 PER_LANGUAGE, SAMPLE = 1000, 6000
+#: Languages that can be learned: the most frequent ones, so that the weights stay small enough to broadcast.
+LANGUAGES = 200
 #: Learning rate, its offset, the two penalties and the passes of the updates.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.01, 0.01, 3
 #: Every so manieth document of the sample fits the temperature only.
@@ -155,13 +157,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """The model of the documents whose fold (crc32 of the id as text, modulo 4) isn't 2 and whose language is known."""
     d = docs.select(docs[key].cast("string").alias("k"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("l")).filter("t is not null and l is not null").filter(_fold(F.col("k")) != 2)
-    sizes = {r.l: r.n for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.l: r.n for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     each = min(per_language, max(20, sample // max(1, len(sizes))))
     share = F.lit(1.0)
     if sizes:
-        share = F.element_at(F.create_map(*(x for l, n in sorted(sizes.items()) for x in (F.lit(l), F.lit(min(1.0, each / n))))), F.col("l"))
+        share = F.try_element_at(F.create_map(*(x for l, n in sorted(sizes.items()) for x in (F.lit(l), F.lit(min(1.0, each / n))))), F.col("l"))
     chance = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    found = cut(d.select("t", "l", (chance < share).alias("chosen")).mapInArrow(_gather, "bucket int, n bigint, lang string, packed binary"), "ngrams")
+    found = cut(d.select("t", "l", F.coalesce(chance < share, F.lit(False)).alias("chosen")).mapInArrow(_gather, "bucket int, n bigint, lang string, packed binary"), "ngrams")
     frequency, documents = np.zeros(BUCKETS, np.int64), 0
     for r in found.filter("bucket >= -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
         if r.bucket < 0:

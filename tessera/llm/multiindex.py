@@ -184,10 +184,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     full = full.select(*keyed, F.coalesce("root", "node").alias("root"), "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     roots = full.groupBy("root").agg(F.min("least").alias("component"))
     named = cut(full.join(roots, "root").select(F.col("label").alias("l"), F.col("a").alias("x"), F.col("b").alias("y"), "n_links", "component"), "named")
-    on = (F.col("label") == F.col("l")) & (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & F.col("usable")
-    out = rows.drop("v").join(named, on, "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    on = (F.col("label") == F.col("l")) & (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))
+    out = rows.filter("usable").join(named, on).select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
+    # rows that link with nothing don't meet at a null key
+    out = out.unionByName(rows.filter("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _links(classes: DataFrame, books, limit: float, cosine: float, block: int) -> DataFrame:

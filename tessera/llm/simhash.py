@@ -25,8 +25,9 @@ from tessera.llm.components import components
 from tessera.llm.storage import cut, fresh
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Bands of the fingerprint: 4 up to some 10 million distinct fingerprints (16,384 anchors), 2 beyond (2**25 anchors).
-BANDS = 4
+#: Distinct fingerprints up to which there are 4 bands (16,384 anchors); beyond there are 2 (2**25 anchors, more
+#: replicas). The links found are the same.
+FOUR_BANDS = 1 << 23
 #: Fingerprints of one anchor on either side of a comparison.
 BLOCK = 8192
 
@@ -216,7 +217,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
-def links(distinct: DataFrame, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
     """(fp) distinct to (u, v): links that connect exactly the fingerprints that chains of DISTANCE bits connect."""
     # dealt out anew: the table is small for the work that each of its rows makes
     spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -239,16 +240,17 @@ def links(distinct: DataFrame, bands: int = BANDS, block: int = BLOCK) -> DataFr
     return parts.mapInArrow(_compare, "u bigint, v bigint")
 
 
-def _named(marks: DataFrame, bands: int, block: int) -> DataFrame:
+def _named(marks: DataFrame, bands: int | None, block: int) -> DataFrame:
     """(class_fp, root, component_id) of every distinct fingerprint of marks."""
-    lowest = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    lowest = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    bands = bands or (4 if lowest.count() <= FOUR_BANDS else 2)
     linked = components(links(lowest.select("fp"), bands, block))
     classes = lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return cut(classes.join(roots, "root").select(F.col("fp").alias("class_fp"), "root", "component_id"), "classes")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable by links.
 
     Texts without words (null and empty ones too) have fingerprint zero and are linked like any other. Repeated rows
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     return marks.join(_named(marks, bands, block), F.col("fp") == F.col("class_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row of each component: that with the least id, a null id last, among equal ids that with the least text hash.
 
     All columns stay. Of repeated rows one stays.
