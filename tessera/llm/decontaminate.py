@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.fmindex import FMIndex
-from tessera.llm.storage import cut, fresh
+from tessera.llm.memory import tidy
+from tessera.llm.storage import arrow_batches, cut, fresh
 from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW = 10
@@ -209,6 +210,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     Repeated rows each get a row; repeated items count once by id. Where docs has a column of such a name, the new one
     gets underscores in front.
     """
+    arrow_batches(docs.sparkSession)
     spark, kept = docs.sparkSession, docs.columns if keep is None else keep
     t, w, s, i = fresh(docs.select(*kept), *FOUND)
     state = docs.select(
@@ -220,7 +222,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast([(r.item, r.t) for r in part.toLocalIterator()])  # at most about BLOCK_BYTES
-        state = state.mapInArrow(_search(held, window), state.schema)
+        state = state.mapInArrow(tidy(_search(held, window)), state.schema)
         if k + 1 < blocks:
             state = cut(state, "hits")
     return state
@@ -264,5 +266,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
                 batch = batch.set_column(at, batch.schema.names[at], pa.array(out, batch.schema.field(at).type))
             yield batch
 
-    cleaned = found.mapInArrow(run, found.schema)
+    cleaned = found.mapInArrow(tidy(run), found.schema)
     return cleaned.select(*(F.col(body).alias(text) if c == text else F.col(c) for c in docs.columns))

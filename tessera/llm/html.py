@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import tidy
+from tessera.llm.storage import arrow_batches
+
 SIGMA, RADIUS = 1.0, 3
 #: Share of the selected text that a container must hold to be the region, for article or main elements and for others.
 ARTICLE_SHARE, CONTAINER_SHARE = 0.5, 0.8
@@ -175,6 +178,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Pages of any length are parsed whole. Repeated rows each get a row; other columns of pages are not read.
     """
+    arrow_batches(pages.sparkSession)
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +186,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             texts = [main_text(v.as_py()) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("h")).mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
+    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("h")).mapInArrow(tidy(run), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")

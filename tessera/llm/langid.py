@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import cut
+from tessera.llm.memory import tidy
+from tessera.llm.storage import arrow_batches, cut
 
 BUCKETS, ORDERS = 1 << 14, 3
 #: Bound of the fitting sample: documents a language, and in all (at least 20 a language).
@@ -156,6 +157,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """The model of the documents whose fold (crc32 of the id as text, modulo 4) isn't 2 and whose language is known."""
+    arrow_batches(docs.sparkSession)
     d = docs.select(docs[key].cast("string").alias("k"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("l")).filter("t is not null and l is not null").filter(_fold(F.col("k")) != 2)
     sizes = {r.l: r.n for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     each = min(per_language, max(20, sample // max(1, len(sizes))))
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if sizes:
         share = F.try_element_at(F.create_map(*(x for l, n in sorted(sizes.items()) for x in (F.lit(l), F.lit(min(1.0, each / n))))), F.col("l"))
     chance = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    found = cut(d.select("t", "l", F.coalesce(chance < share, F.lit(False)).alias("chosen")).mapInArrow(_gather, "bucket int, n bigint, lang string, packed binary"), "ngrams")
+    found = cut(d.select("t", "l", F.coalesce(chance < share, F.lit(False)).alias("chosen")).mapInArrow(tidy(_gather), "bucket int, n bigint, lang string, packed binary"), "ngrams")
     frequency, documents = np.zeros(BUCKETS, np.int64), 0
     for r in found.filter("bucket >= -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
         if r.bucket < 0:
@@ -194,4 +196,4 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(_fold(docs[key]) == 2, F.lit(False))
-    return docs.select(docs[key].alias("doc_id"), held.alias("held_out"), docs[text].cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(docs[key].alias("doc_id"), held.alias("held_out"), docs[text].cast("string").alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -12,7 +12,6 @@ encoded once while they stay in a cache of bounded size.
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -21,10 +20,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from tessera.llm.memory import tidy
+from tessera.llm.storage import arrow_batches, fresh
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of each of the two generations of cached chunks, and of remembered pairs.
-CACHED_CHUNKS, CACHED_PAIRS = 150_000, 400_000
+CACHED_CHUNKS, CACHED_PAIRS = 100_000, 200_000
 #: Chunks of so many characters are encoded one by one; shorter ones together, up to so many characters at once.
 LONG, BATCH_CHARS = 64, 100_000
 #: Characters of text that are split and encoded together; a longer text goes alone.
@@ -282,11 +284,6 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _some(column: pa.Array) -> Iterator[list[str]]:
     """The texts of a column, nulls as empty, some at a time."""
     held, chars = [], 0
@@ -306,29 +303,29 @@ def tokens(docs: DataFrame, text: str = "text", model: str | None = None, keep:
     Null and empty texts have the begin and end ids only, and decode to the empty text. A kept column that bears one
     of the new names is left out. with_ids=False leaves ids out.
     """
+    arrow_batches(docs.sparkSession)
     path = model or public_tokenizers.path(MODEL)
     new = ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    df = docs.select(*kept, docs[text].alias("__text"))
+    df = docs.select(*kept, docs[text].cast("string").alias(fresh(docs, "body")[0]))
     kinds = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]] + [f"{c} {kinds[c]}" for c in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(path)
-        for batch in batches:
-            made: dict[str, list] = {c: [] for c in new}
-            flat: list[bytes] = []
-            for texts in _some(batch.column(batch.num_columns - 1)):
-                for ids in use.encode_all(texts):
-                    made["n_tokens"].append(len(ids) // 4)
-                    made["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    made["decoded_sha256"].append(hashlib.sha256(use.decode(ids).encode()).hexdigest())
-                    if with_ids:
-                        flat.append(ids)
-            columns = [pa.array(made[c], pa.int64() if c == "n_tokens" else pa.string()) for c in new if c != "ids"]
-            if with_ids:
-                ends = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
-                columns.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *new])
+        use = Encoder(path)  # for one task: its tables and caches don't stay in the worker
+        for whole in batches:
+            done = 0
+            for texts in _some(whole.column(whole.num_columns - 1)):
+                batch = whole.slice(done, len(texts))
+                done += len(texts)
+                encoded = use.encode_all(texts)
+                columns = [
+                    pa.array([len(ids) // 4 for ids in encoded], pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids in encoded]),
+                    pa.array([hashlib.sha256(use.decode(ids).encode()).hexdigest() for ids in encoded]),
+                ]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(ids) // 4 for ids in encoded)]).astype(np.int32)
+                    columns.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4"))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *new])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import cut, fresh
+from tessera.llm.memory import tidy
+from tessera.llm.storage import arrow_batches, cut, fresh
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Distinct fingerprints up to which there are 4 bands (16,384 anchors); beyond there are 2 (2**25 anchors, more
@@ -61,8 +62,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     mark is a hash of the text, by which rows with one id can be told apart.
     """
+    arrow_batches(docs.sparkSession)
     rows = docs.select(docs[key].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].cast("string").alias("t"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, mark bigint, fp bigint")
+    return rows.mapInArrow(tidy(_fingerprints), "doc_id bigint, mark bigint, fp bigint")
 
 
 class Anchors:
@@ -221,7 +223,7 @@ def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
     """(fp) distinct to (u, v): links that connect exactly the fingerprints that chains of DISTANCE bits connect."""
     # dealt out anew: the table is small for the work that each of its rows makes
     spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    copies = distinct.repartition(spread, "fp").mapInArrow(_replicas(bands), "anchor bigint, fp bigint, home boolean")
+    copies = distinct.repartition(spread, "fp").mapInArrow(tidy(_replicas(bands)), "anchor bigint, fp bigint, home boolean")
     # every fingerprint is among the replicas, so at an anchor its homes are compared with all that visit it
     size = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
     hot = size.filter(F.col("n") > block).select(
@@ -237,7 +239,7 @@ def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
     as_other = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), F.lit(False).alias("home")))
     placed = dealt.select("anchor", "fp", F.explode(F.concat(as_home, as_other)).alias("p")).select("anchor", "p.r", "p.c", "fp", "p.home")
     parts = placed.repartition("anchor", "r", "c").sortWithinPartitions("anchor", "r", "c")
-    return parts.mapInArrow(_compare, "u bigint, v bigint")
+    return parts.mapInArrow(tidy(_compare), "u bigint, v bigint")
 
 
 def _named(marks: DataFrame, bands: int | None, block: int) -> DataFrame:

@@ -41,3 +41,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Bounds the Arrow batches that go to Python workers, unless the session has its own bounds.
+
+    Documents are long: the default of 10,000 rows a batch holds tens of megabytes several times over in a task.
+    """
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", None, size)):
+        own = spark.conf.get(key, None)
+        if own is not None and (own == usual or usual is None and spark.sparkContext.getConf().get(key) is None):
+            spark.conf.set(key, value)

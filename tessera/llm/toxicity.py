@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import fresh
+from tessera.llm.memory import tidy
+from tessera.llm.storage import arrow_batches, fresh
 from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW, STRIDE = 64, 48
@@ -32,7 +33,7 @@ EPOCHS, BATCH, RATE, DECAY = 4, 32, 0.01, 1e-4
 #: The reduced passes for few documents end no sooner than this number of steps.
 STEPS = 250
 #: Bytes of text whose words are looked up at once, and windows that are scored at once.
-STEP_BYTES, STEP_WINDOWS = 1 << 20, 2048
+STEP_BYTES, STEP_WINDOWS = 1 << 19, 1024
 FOLDS = 5
 
 
@@ -374,10 +375,11 @@ def scored(docs: DataFrame, network: Network, text: str = "text", keep: list[str
 
     A column of docs that bears the score's name is left out.
     """
+    arrow_batches(docs.sparkSession)
     kept = docs.select(*[c for c in (docs.columns if keep is None else keep) if c.lower() != name.lower()], docs[text].cast("string").alias(fresh(docs, "body")[0]))
     spread = docs.sparkSession.sparkContext.broadcast(network)  # at most MOST_WORDS + MOST_GRAMS vectors: some 3 MB
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"`{name}` double"])
-    return kept.mapInArrow(_score(spread, name), schema)
+    return kept.mapInArrow(tidy(_score(spread, name)), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", network: Network | None = None) -> DataFrame:
