@@ -163,7 +163,16 @@ def merge(spans: list[tuple]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def _search(block, window: int):
+def without(text: str, cuts: list[int]) -> str:
+    """The text without its spans (four numbers each, bytes last); white space on both sides of one is left once."""
+    raw, parts, done = text.encode(), [], 0
+    for a, b in zip(cuts[2::4], cuts[3::4], strict=True):
+        parts.append(raw[done:a])
+        done = b + 1 if raw[b : b + 1] in (b" ", b"\n") and (not a or raw[a - 1 : a] in (b" ", b"\n")) else b
+    return (b"".join(parts) + raw[done:]).decode()
+
+
+def _search(block, window: int, clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block.value, window)
 
@@ -176,8 +185,11 @@ def _search(block, window: int):
                 merged = [merge([tuple(o[x : x + 4]) for x in range(0, len(o), 4)] + s) if s or o else [] for o, s in zip(old_spans, spans[row : row + n], strict=True)]
                 flat = [[v for s in m for v in s] for m in merged]
                 found = [sorted({*o, *s}) for o, s in zip(old_items, items[row : row + n], strict=True)]
+                body = part.column(k - 1)
+                if clean and any(flat):
+                    body = pa.array([without(v.as_py(), cuts) if cuts else v.as_py() for v, cuts in zip(body, flat, strict=True)], body.type)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:k], pa.array(words[row : row + n], pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], part.schema.names
+                    [*part.columns[: k - 1], body, pa.array(words[row : row + n], pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], part.schema.names
                 )
                 row += n
 
@@ -201,14 +213,14 @@ def _search(block, window: int):
     return run
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, clean: bool = False) -> DataFrame:
     """docs' columns in ``keep`` (default: all), then four more: found_text, found_words, found_spans, found_items.
 
     found_words: the text's words. found_spans: merged occurrences of windows, four numbers each: first word, last word
     + 1, first byte, last byte + 1. found_items: sorted ids, as strings, of the items whose windows occur. An item of
     fewer words than a window is one window; one without words (null, empty) has none. Null texts have no words.
     Repeated rows each get a row; repeated items count once by id. Where docs has a column of such a name, the new one
-    gets underscores in front.
+    gets underscores in front. With clean, found_text has the spans cut out; they then refer to the text as it was.
     """
     arrow_batches(docs.sparkSession)
     spark, kept = docs.sparkSession, docs.columns if keep is None else keep
@@ -222,7 +234,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast([(r.item, r.t) for r in part.toLocalIterator()])  # at most about BLOCK_BYTES
-        state = state.mapInArrow(tidy(_search(held, window)), state.schema)
+        state = state.mapInArrow(tidy(_search(held, window, clean and k + 1 == blocks)), state.schema)
         if k + 1 < blocks:
             state = cut(state, "hits")
     return state
@@ -245,26 +257,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
 
     All rows and columns stay; a text without an occurrence stays as it is, null included.
     """
-    found = occurrences(docs, benchmark, text=text, **options)
+    found = occurrences(docs, benchmark, text=text, clean=True, **options)
     body = found.columns[-4]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.num_columns - 4
-            spans = batch.column(at + 2).to_pylist()
-            if any(spans):
-                out = []
-                for value, cuts in zip(batch.column(at), spans, strict=True):
-                    if cuts:
-                        raw, parts, done = value.as_py().encode(), [], 0
-                        for a, b in zip(cuts[2::4], cuts[3::4], strict=True):
-                            parts.append(raw[done:a])
-                            done = b + 1 if raw[b : b + 1] in (b" ", b"\n") and (not a or raw[a - 1 : a] in (b" ", b"\n")) else b
-                        out.append((b"".join(parts) + raw[done:]).decode())
-                    else:
-                        out.append(value.as_py())
-                batch = batch.set_column(at, batch.schema.names[at], pa.array(out, batch.schema.field(at).type))
-            yield batch
-
-    cleaned = found.mapInArrow(tidy(run), found.schema)
-    return cleaned.select(*(F.col(body).alias(text) if c == text else F.col(c) for c in docs.columns))
+    return found.select(*(F.col(body).alias(text) if c == text else F.col(c) for c in docs.columns))
