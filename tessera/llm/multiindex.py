@@ -2,9 +2,11 @@
 
 Unit vectors are cut into halves; each half has its own codebook, and pairs of codes form the product grid of cells.
 A vector's multi-sequence traversal visits cells by growing lower bound of their distance, the sum over both halves of
-the squared distance to the code's region, until the target recall is sure: two unit vectors with cosine c are apart by
-2 - 2c squared, so cells beyond that bound can hold no partner, and a traversal up to it has recall 1. A target below 1
-shrinks the bound. Candidates are verified in double precision.
+the squared distance to the code's region, until the target recall is reached: the bound up to which it goes is that
+quantile over simulated partners, sample vectors turned by the threshold's angle in random directions. A pair counts if
+either of its ends visits the other's cell, so what is found is the same from both. For a target of 1 the traversal goes
+to 2 - 2c, the squared distance at cosine c, beyond which no partner can lie. Candidates are verified in double
+precision.
 
 Equal vectors of one label are one node with a count, so that copies never meet pairwise. Codebooks are fitted on a
 bounded sample; every vector is indexed. A cell with very many vectors is dealt in blocks over several tasks.
@@ -16,14 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import components
 from tessera.llm.simhash import forest, groups
+from tessera.llm.memory import tidy
 from tessera.llm.storage import cut
 
-COSINE, RECALL = 0.98, 1.0
+COSINE, RECALL = 0.98, 0.995
 #: Codes per half; vectors in the codebooks' sample; rounds of their fit; vectors of a cell on each side of a comparison.
-CODES, SAMPLE, ROUNDS, BLOCK = 32, 4096, 12, 4096
+CODES, SAMPLE, ROUNDS, BLOCK = 64, 4096, 12, 4096
 #: Slack for rounding in bounds that decide where to look; what is found is verified exactly.
 SLACK = 1e-9
 
@@ -64,6 +68,22 @@ def unit(column: pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def reach(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
+    """How far traversals go for the target recall."""
+    most = 2 - 2 * cosine + SLACK
+    if recall >= 1 or v.shape[1] < 2 or not len(v):
+        return most
+    v = np.repeat(v, -(-4096 // len(v)), axis=0)
+    away = np.random.default_rng(13).normal(size=v.shape)
+    away -= (away * v).sum(1, keepdims=True) * v
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    partner, h = cosine * v + np.sqrt(max(0.0, 1 - cosine**2)) * away, v.shape[1] // 2
+    cost = np.zeros(len(v))
+    for book, part in zip(books, (slice(0, h), slice(h, None)), strict=True):
+        cost += bounds(v[:, part], book)[1][np.arange(len(v)), bounds(partner[:, part], book)[0]]
+    return min(most, float(np.quantile(cost, recall)) + SLACK)
+
+
 def visits(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, whether it is the row's own) of every cell that the rows' traversals visit, nearest first."""
     h = v.shape[1] // 2
@@ -96,11 +116,13 @@ def _index(books, limit: float):
     return run
 
 
-def _compare(threshold: float):
+def _compare(books, limit: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(node, n, home, v):
             h, o = np.flatnonzero(home), np.flatnonzero(~home)
-            count = np.zeros(len(o), np.int64)
+            count, back = np.zeros(len(o), np.int64), np.zeros(len(h), np.int64)
+            half = v.shape[1] // 2
+            first, second = bounds(v[:, :half], use[0]), bounds(v[:, half:], use[1])
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 return v[at[i]] @ v[at[j]].T >= threshold
@@ -113,12 +135,19 @@ def _compare(threshold: float):
                 linked = v[o[k : k + 512]] @ v[h].T >= threshold
                 linked &= node[o[k : k + 512]][:, None] != node[h][None, :]
                 count[k : k + 512] = linked @ n[h]
+                i, j = np.nonzero(linked)
+                i, j = o[k + i], j
+                blind = first[1][h[j], first[0][i]] + second[1][h[j], second[0][i]] > limit  # the home doesn't visit its visitor's cell
+                np.add.at(back, j[blind], n[i[blind]])
             u, w = forest(place[h], place[o], near)
-            keep = count > 0
+            all_nodes, all_counts = np.concatenate((node[o], node[h])), np.concatenate((count, back))
+            keep = all_counts > 0
             return [
-                np.concatenate((node[o][keep], ids[u])), np.concatenate((count[keep], np.zeros(len(u), np.int64))), np.concatenate((np.full(keep.sum(), -1), ids[w]))
+                np.concatenate((all_nodes[keep], ids[u])), np.concatenate((all_counts[keep], np.zeros(len(u), np.int64))), np.concatenate((np.full(keep.sum(), -1), ids[w]))
             ]
 
+        use = books.value
+
         for label, cell, r, c, node, n, home, flat in _vectors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in result(node, n, home, flat)], ["node", "links", "other"])
 
@@ -156,24 +185,24 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     other. component_id is the least vec_id reachable; kept says whether it is the row's own. Other columns aren't read.
     """
     spark = vectors.sparkSession
-    v = vectors.select(vectors[key].cast("bigint").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[vector].cast("array<double>").alias("v"))
+    number = "float" if vectors.schema[vector].dataType.elementType == T.FloatType() else "double"
+    v = vectors.select(vectors[key].cast("bigint").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[vector].cast(f"array<{number}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     # zeros of either sign are one value
-    rows = v.select("vec_id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
+    rows = v.select("vec_id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("v", lambda x: x + F.lit(0.0).cast(number))).alias("v"))
     rows = rows.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v"), "usable": F.col("v").isNotNull()})
     rows = cut(rows, "vectors")
     keyed = ["label", "a", "b"]
     classes = rows.filter("usable").groupBy(*keyed).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     classes = cut(classes.withColumn("node", F.xxhash64("label", "a", "b")), "vector-classes")
-    limit = (2 - 2 * cosine) * recall + SLACK
     found = []
     for (size,) in classes.select(F.size("v")).distinct().orderBy(F.size("v")).toLocalIterator():  # lengths: one, as a rule
         same = classes.filter(F.size("v") == size)
         chosen = same.orderBy(F.xxhash64("node", F.lit("sample")), "node").limit(sample).select("v").toPandas()["v"]
         fit = unit(pa.array(chosen.tolist(), pa.list_(pa.float64())))
-        books = spark.sparkContext.broadcast((codebook(fit[:, : size // 2], codes), codebook(fit[:, size // 2 :], codes)))
-        found.append(_links(same, books, limit, cosine, block))
+        books = codebook(fit[:, : size // 2], codes), codebook(fit[:, size // 2 :], codes)
+        found.append(_links(same, spark.sparkContext.broadcast(books), number, reach(fit, books, cosine, recall), cosine, block))
     pairs = found[0] if found else spark.createDataFrame([], "node bigint, links bigint, other bigint")
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -191,10 +220,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, books, limit: float, cosine: float, block: int) -> DataFrame:
+def _links(classes: DataFrame, books, number: str, limit: float, cosine: float, block: int) -> DataFrame:
     """(node, links, other): linked rows of a node by group, with other -1; and edges that connect what is linked, with links 0."""
-    schema = "label string, cell bigint, node bigint, n bigint, home boolean, v array<double>"
-    copies = classes.select("node", "label", "v", "n").mapInArrow(_index(books, limit), schema)
+    schema = f"label string, cell bigint, node bigint, n bigint, home boolean, v array<{number}>"
+    copies = classes.select("node", "label", "v", "n").mapInArrow(tidy(_index(books, limit)), schema)
     size = copies.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h")).filter(F.col("m") > block)
     hot = size.select(F.col("label").alias("hl"), F.col("cell").alias("hc"), F.ceil(F.col("m") / block).cast("int").alias("cols"), F.ceil(F.greatest("h", F.lit(1)) / block).cast("int").alias("rows"))
     dealt = copies.join(hot, (F.col("label") == F.col("hl")) & (F.col("cell") == F.col("hc")), "left")
@@ -206,4 +235,4 @@ def _links(classes: DataFrame, books, limit: float, cosine: float, block: int) -
     placed = dealt.select(F.xxhash64("label").alias("lk"), "cell", "node", "n", "v", F.explode(F.concat(as_home, as_other)).alias("p"))
     placed = placed.select("lk", "cell", "p.r", "p.c", "node", "n", "p.home", "v")
     parts = placed.repartition("lk", "cell", "r", "c").sortWithinPartitions("lk", "cell", "r", "c")
-    return parts.mapInArrow(_compare(cosine), "node bigint, links bigint, other bigint")
+    return parts.mapInArrow(tidy(_compare(books, limit, cosine)), "node bigint, links bigint, other bigint")

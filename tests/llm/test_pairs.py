@@ -104,7 +104,7 @@ def test_embeddings(spark, block):
     rows += [(1000 + i, [0.5] * 16, 1) for i in range(12)] + [(1100, [1.0] * 16, 1), (1101, [0.5] * 16, 2), (1102, [0.0] * 16, 1), (1103, None, 1), (1104, [], 1), (1105, [float("nan")] + [1.0] * 15, 1)]
     rows += [(1106, [None] + [1.0] * 15, 1), (1107, [float("inf")] + [1.0] * 15, 1), (1108, [1.0] * 8, 1), (1109, [1.0] * 8, 1), (1110, [-0.0] + [1.0] * 15, 1), (1111, [0.0] + [1.0] * 15, 1), (1112, [3.0], 1), (1113, [5.0], 1)]
     df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<float>, label int, n long, node string")
-    got = sorted(tuple(r) for r in multiindex.near_duplicates(df, block=block, codes=8).collect())
+    got = sorted(tuple(r) for r in multiindex.near_duplicates(df, recall=1.0, block=block, codes=8).collect())
     narrow = [(i, None if e is None else [x if x is None else float(np.float32(x)) for x in e], l) for i, e, l in rows]
     assert got == brute_vectors(narrow)
     assert multiindex.near_duplicates(df.limit(0)).count() == 0
@@ -113,7 +113,23 @@ def test_embeddings(spark, block):
 def test_embeddings_of_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = brute_vectors([(r.vec_id, list(r.embedding), r.label) for r in df.collect()])
-    assert sorted(tuple(r) for r in multiindex.near_duplicates(df).collect()) == want  # recall 1
+    assert sorted(tuple(r) for r in multiindex.near_duplicates(df, recall=1.0).collect()) == want
+    got = sorted(tuple(r) for r in multiindex.near_duplicates(df).collect())
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
+
+
+def test_links_are_found_from_both_ends(spark):
+    """Far below the target recall that a query would use, pairs still count for both of their ends."""
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist(), 1) for k in range(40)]
+    rows += [(100 + k, (np.array(rows[k % 40][1]) + rng.normal(size=8) * 0.12).tolist(), 1) for k in range(160)]
+    want = sum(r[1] for r in brute_vectors(rows))
+    for recall in (0.3, 0.6, 0.9):
+        got = multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=recall, codes=16).collect()
+        total = sum(r.n_links for r in got)
+        assert total % 2 == 0 and 0 < total <= want
+        parts = {r.component_id for r in got}
+        assert all((r.n_links > 0) == (sum(x.component_id == r.component_id for x in got) > 1) for r in got) and parts <= {r.vec_id for r in got}
 
 
 def test_line_dedup_oracle(spark, documents):
