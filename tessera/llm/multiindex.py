@@ -1,17 +1,22 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are cut into halves; each half has its own codebook, and pairs of codes form the product grid of cells.
-A vector's multi-sequence traversal visits cells by growing lower bound of their distance, the sum over both halves of
-the squared distance to the code's region, until the target recall is reached: the bound up to which it goes is that
-quantile over simulated partners, sample vectors turned by the threshold's angle in random directions. A pair counts if
-either of its ends visits the other's cell, so what is found is the same from both. For a target of 1 the traversal goes
-to 2 - 2c, the squared distance at cosine c, beyond which no partner can lie. Candidates are verified in double
-precision.
+Where labels are small, neighbouring codes are read as one, so that a cell has about HOMES vectors or more. A vector's
+multi-sequence traversal visits cells by growing lower bound of their distance, the sum over both halves of the squared
+distance to the code's region. A pair counts if either of its ends visits the other's cell, so what is found is the same
+from both. Candidates are verified in double precision.
+
+The traversal goes to 1 - c, half the squared distance at cosine c, and misses no pair: in each half the ends' distances
+to the plane between their codes add up to at most their distance, so the bounds of the two ends add up to at most
+2 - 2c, and one of them is at most half of it. A target recall below 1 stops earlier, at that quantile over simulated
+partners, sample vectors turned by the threshold's angle in random directions. Real pairs that differ along few
+directions can fall below such a target.
 
 Equal vectors of one label are one node with a count, so that copies never meet pairwise. Codebooks are fitted on a
 bounded sample; every vector is indexed. A cell with very many vectors is dealt in blocks over several tasks.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +30,11 @@ from tessera.llm.simhash import forest, groups
 from tessera.llm.memory import tidy
 from tessera.llm.storage import cut
 
-COSINE, RECALL = 0.98, 0.995
+COSINE, RECALL = 0.98, 1.0
 #: Codes per half; vectors in the codebooks' sample; rounds of their fit; vectors of a cell on each side of a comparison.
 CODES, SAMPLE, ROUNDS, BLOCK = 64, 4096, 12, 4096
+#: Vectors of the largest label that a cell should have on average before codes stand for themselves.
+HOMES = 512
 #: Slack for rounding in bounds that decide where to look; what is found is verified exactly.
 SLACK = 1e-9
 
@@ -50,14 +57,23 @@ def _nearest(half: np.ndarray, book: np.ndarray) -> np.ndarray:
     return ((book**2).sum(1) - 2 * half @ book.T).argmin(1)
 
 
-def bounds(half: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each row, squared lower bound of each row's distance to each code's region)."""
+def slices(book: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes in the order of their main axis, first code of each slice): neighbours share a slice."""
+    if len(book) > 1:
+        book = book[np.argsort((book - book.mean(0)) @ np.linalg.svd(book - book.mean(0), full_matrices=False)[2][0], kind="stable")]
+    number = max(1, min(number, len(book)))
+    return book, np.arange(number) * len(book) // number
+
+
+def bounds(half: np.ndarray, sliced: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(slice of each row, squared lower bound of each row's distance to each slice's region)."""
+    book, starts = sliced
     distance = ((half**2).sum(1)[:, None] + (book**2).sum(1) - 2 * half @ book.T).clip(0)
     own = distance.argmin(1)
     apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(-1))
-    gap = (distance - distance[np.arange(len(half)), own][:, None]) / np.maximum(2 * apart[own], 1e-300)
+    gap = (distance - distance[np.arange(len(half)), own][:, None]) / np.maximum(2 * apart[own], 1e-6)
     gap[np.arange(len(half)), own] = 0
-    return own, gap.clip(0) ** 2
+    return np.searchsorted(starts, own, "right") - 1, np.minimum.reduceat(gap.clip(0) ** 2, starts, axis=1)
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -68,9 +84,9 @@ def unit(column: pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def reach(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
-    """How far traversals go for the target recall."""
-    most = 2 - 2 * cosine + SLACK
+def reach(v: np.ndarray, books: tuple, cosine: float, recall: float) -> float:
+    """How far traversals go for the target recall; at 1 no pair is beyond it from both ends."""
+    most = 1 - cosine + SLACK
     if recall >= 1 or v.shape[1] < 2 or not len(v):
         return most
     v = np.repeat(v, -(-4096 // len(v)), axis=0)
@@ -84,12 +100,12 @@ def reach(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, re
     return min(most, float(np.quantile(cost, recall)) + SLACK)
 
 
-def visits(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def visits(v: np.ndarray, books: tuple, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, whether it is the row's own) of every cell that the rows' traversals visit, nearest first."""
     h = v.shape[1] // 2
     (a, left), (b, right) = bounds(v[:, :h], books[0]), bounds(v[:, h:], books[1])
     rows, cells, costs = [], [], []
-    k2 = len(books[1])
+    k2 = len(books[1][1])
     i, x = np.nonzero(left <= limit)
     for s in range(0, len(i), 1 << 14):  # codes of the first half within the bound, each with the second half's
         total = left[i[s : s + (1 << 14)], x[s : s + (1 << 14)]][:, None] + right[i[s : s + (1 << 14)]]
@@ -197,11 +213,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = rows.filter("usable").groupBy(*keyed).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     classes = cut(classes.withColumn("node", F.xxhash64("label", "a", "b")), "vector-classes")
     found = []
-    for (size,) in classes.select(F.size("v")).distinct().orderBy(F.size("v")).toLocalIterator():  # lengths: one, as a rule
+    largest = classes.groupBy(F.size("v").alias("size"), "label").count().groupBy("size").agg(F.max("count").alias("most"))
+    for size, most in largest.orderBy("size").toLocalIterator():  # lengths: one, as a rule
         same = classes.filter(F.size("v") == size)
         chosen = same.orderBy(F.xxhash64("node", F.lit("sample")), "node").limit(sample).select("v").toPandas()["v"]
         fit = unit(pa.array(chosen.tolist(), pa.list_(pa.float64())))
-        books = codebook(fit[:, : size // 2], codes), codebook(fit[:, size // 2 :], codes)
+        side = math.ceil(math.sqrt(most / HOMES))
+        books = slices(codebook(fit[:, : size // 2], codes), side), slices(codebook(fit[:, size // 2 :], codes), side)
         found.append(_links(same, spark.sparkContext.broadcast(books), number, reach(fit, books, cosine, recall), cosine, block))
     pairs = found[0] if found else spark.createDataFrame([], "node bigint, links bigint, other bigint")
     for more in found[1:]:

@@ -132,6 +132,21 @@ def test_links_are_found_from_both_ends(spark):
         assert all((r.n_links > 0) == (sum(x.component_id == r.component_id for x in got) > 1) for r in got) and parts <= {r.vec_id for r in got}
 
 
+@pytest.mark.parametrize("axes", [1, 3])
+def test_embeddings_along_few_axes(spark, axes, monkeypatch):
+    """A large group whose vectors differ along few directions crosses cells; none of its links is lost."""
+    monkeypatch.setattr(multiindex, "HOMES", 1, raising=False)
+    rng = np.random.default_rng(8)
+    axis = np.linalg.qr(rng.normal(size=(64, axes + 1)))[0].T
+    group = axis[0] + rng.normal(size=(600, axes)) * 0.3 @ axis[1:]
+    v = np.concatenate((group, rng.normal(size=(1200, 64)))).astype(np.float32)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in multiindex.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(v))] == want.tolist() and want.sum() > 10_000
+
+
 def test_line_dedup_oracle(spark, documents):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
