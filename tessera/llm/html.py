@@ -1,11 +1,12 @@
 """Main-text extraction from web pages: parser events, text-to-tag ratios, smoothing and threshold clustering.
 
 The standard library's parser streams events. Block-level tags end a line; a line knows its text, how many tags came
-with it, the elements it stands in and whether one of them is page furniture by its name, role or class. Over the
-lines' text-to-tag ratios runs a Gaussian; two-means clustering of the smoothed ratios sets the threshold over which
-lines are content. The content region is the innermost container that holds the selected text; it yields all its lines
-but furniture, so that short paragraphs between long ones stay. Without such a container the region runs from the
-first to the last selected line.
+with it, the elements it stands in, whether one of them is page furniture by its name, role or class, and whether it is
+a link for the most part. Over the lines' text-to-tag ratios runs a Gaussian; two-means clustering of the smoothed
+ratios sets the threshold over which lines are content. The content region is the innermost container that holds the
+selected text or, without one, what lies between the first and the last selected line. Nothing but furniture goes:
+inside the region what is flagged, outside also links below the threshold, so that titles, leads, short paragraphs
+and further articles stay.
 """
 
 import re
@@ -35,31 +36,52 @@ ENDS_PARAGRAPH = BLOCK - {"body", "html"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section div main nav aside footer form td body blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Words that name furniture, words that may stand beside them in one class or id, and what names parts of a text.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|popup|modal|overlay|widget|toolbar|pagination|pager|skip|hidden)(?=$|[\s_-])",
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav(?:bar|igation|s)?|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|popup|modal|overlay|widgets?|toolbar|pagination|pager|skip|hidden",
     re.IGNORECASE,
 )
+BESIDE = frozenset("site global top bottom left right primary secondary main sub the wp js wrap wrapper container inner outer box bar block section area list item items link links button buttons icons posts articles stories form bottom content to text".split())
+PARTS = frozenset("entry post article page story".split())
+#: Marks that beside one of PARTS, or within an article, belong to the text.
+OF_TEXT = frozenset("header footer banner masthead notice alert hidden overlay".split())
+#: Furniture by its element name that can also wrap a whole page.
+SOFT = frozenset("form fieldset label".split())
 #: White space of HTML and of Unicode alike becomes one space.
 SPACE = re.compile(r"\s+")
 
 
+def marked(names: str, in_article: bool) -> bool:
+    """Whether one of the classes or ids names furniture as a whole: has-sidebar, overflow-hidden or entry-header don't."""
+    for name in names.split():
+        words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+        marks = [w for w in words if MARKS.fullmatch(w)]
+        if not marks or any(w not in BESIDE and w not in PARTS and not MARKS.fullmatch(w) for w in words):
+            continue
+        if not (set(marks) <= OF_TEXT and (in_article and set(marks) <= {"header"} or PARTS & set(words))) and not (words != marks and marks == ["hidden"]):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, furniture, silent
+        self.open: list[tuple[str, int, bool, bool, bool]] = []  # name, number, furniture, silent, link
         self.kind: dict[int, str] = {}
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []  # text, tags, furniture, containers
+        self.soft: dict[int, bool] = {}  # by element that is furniture: whether it can hold the text all the same
+        self.holders: list[tuple[str, int, tuple[int, ...]]] = []  # articles and mains: name, number, furniture around
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []  # text, tags, furniture around, containers, link
         self.parts: list[str] = []
-        self.tags = self.count = 0
+        self.tags = self.count = self.linked = 0
 
     def _end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                dull = bool(self.open) and self.open[-1][2]
-                self.lines.append((text, max(1, self.tags), dull, tuple(e[1] for e in self.open if e[0] in CONTAINER)))
+                dull = tuple(e[1] for e in self.open if e[2])
+                self.lines.append((text, max(1, self.tags), dull, tuple(e[1] for e in self.open if e[0] in CONTAINER), 2 * self.linked > len(text)))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.linked = [], 0
 
     def _close(self, at: int) -> None:
         self._end_line()
@@ -83,19 +105,22 @@ class _Lines(HTMLParser):
                     break
                 if name in SCOPES:
                     break
-        dull, mute = self.open[-1][2:] if self.open else (False, False)
-        if not dull:
-            dull = tag in FURNITURE or tag == "header" and not any(e[0] in ("article", "main") for e in self.open)
-            if not dull and attrs and tag not in ("html", "body"):
-                a = dict(attrs)
-                named = f"{a.get('class') or ''} {a.get('id') or ''}"
-                dull = (
-                    "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "").lower() in ROLES
-                    or (named != " " and tag not in ("article", "main") and bool(MARKS.search(named))) or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-                )
+        mute, link = self.open[-1][3:] if self.open else (False, False)
+        in_article = any(e[0] in ("article", "main") for e in self.open)
+        hard = tag in FURNITURE and tag not in SOFT or tag == "header" and not in_article
+        soft, a = tag in SOFT, dict(attrs)
+        if attrs and tag not in ("html", "body"):
+            hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "").lower() in ROLES or "display:none" in (a.get("style") or "").replace(" ", "").lower()
+            soft = soft or tag != "main" and marked(f"{a.get('class') or ''} {a.get('id') or ''}", in_article)
+        if hard or soft:
+            self._end_line()
         self.count += 1
         self.kind[self.count] = tag
-        self.open.append((tag, self.count, dull, mute or tag in SILENT))
+        if hard or soft:
+            self.soft[self.count] = not hard
+        if tag in ("article", "main"):
+            self.holders.append((tag, self.count, tuple(e[1] for e in self.open if e[2])))
+        self.open.append((tag, self.count, hard or soft, mute or tag in SILENT, link and tag not in BLOCK or tag == "a" and bool(a.get("href"))))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,7 +132,7 @@ class _Lines(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                if tag in BLOCK or self.open[k][2] != (self.open[k - 1][2] if k else False):
+                if tag in BLOCK or self.open[k][2]:
                     self._close(k)
                 else:
                     del self.open[k:]
@@ -118,6 +143,23 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][3]):
             self.parts.append(data)
+            self.linked += len(data) if self.open and self.open[-1][4] else 0
+
+    def furniture(self) -> set[int]:
+        """Elements whose text goes. None that holds a main element goes, and no soft one that holds an article or most of the text."""
+        gone = set(self.soft)
+        for tag, number, around in self.holders:
+            if number not in gone:
+                gone -= {e for e in around if tag == "main" or self.soft[e]}
+        own = {number for _, number, _ in self.holders}
+        if not any(own & set(inside) and not gone & set(dull) for _, _, dull, inside, _ in self.lines):
+            total = sum(len(x[0]) for x in self.lines)
+            held: dict[int, int] = {}
+            for text, _, dull, _, _ in self.lines:
+                for e in dull:
+                    held[e] = held.get(e, 0) + len(text)
+            gone -= {e for e in gone if self.soft[e] and 2 * held.get(e, 0) > total}
+        return gone
 
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
@@ -149,10 +191,11 @@ def main_text(page: str | None) -> str:
     parser.feed(page)
     parser.close()
     parser._end_line()
-    lines = parser.lines
+    gone = parser.furniture()
+    lines = [(text, tags, not gone.isdisjoint(dull), inside, link) for text, tags, dull, inside, link in parser.lines]
     if all(x[2] for x in lines):
         return ""
-    ratio = smooth(np.array([0.0 if dull else len(text) / tags for text, tags, dull, _ in lines]))
+    ratio = smooth(np.array([0.0 if dull else len(text) / tags for text, tags, dull, _, _ in lines]))
     cut = threshold(ratio)
     chosen = [k for k, x in enumerate(lines) if not x[2] and ratio[k] >= cut] or [k for k, x in enumerate(lines) if not x[2]]
     mass: dict[int, int] = {}
@@ -169,7 +212,7 @@ def main_text(page: str | None) -> str:
         if best or share >= CONTAINER_SHARE and kind != "body" and deep[0] not in ("article",):
             region, deep = e, (kind, share)
     if region is not None:
-        return "\n".join(text for text, _, dull, inside in lines if not dull and region in inside)
+        return "\n".join(text for text, _, dull, inside, _ in lines if not dull and region in inside)
     return "\n".join(lines[k][0] for k in range(chosen[0], chosen[-1] + 1) if not lines[k][2])
 
 

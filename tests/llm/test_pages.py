@@ -105,6 +105,20 @@ def test_html_parts():
     assert html.main_text("<p>" * 3000 + "deep" + "<b" * 10) is not None
 
 
+LONG = "many words that make a paragraph of content " * 6
+
+
+@pytest.mark.parametrize("names", ["content with-sidebar", "layout no-sidebar", "site has-header", "overflow-hidden", "sidebar", "header"])
+def test_html_wrappers(names):
+    """A wrapper of the text isn't furniture by a part of its class, nor by its class at all if it holds the text."""
+    page = f'<body><nav>menu</nav><div class="{names}"><article><div class="entry-header"><h1>Title</h1></div><div class="article-header">By line</div><p>{LONG}</p></article></div><div class="site-footer">end</div></body>'
+    assert html.main_text(page).split("\n") == ["Title", "By line", LONG.strip()]
+    assert html.main_text(page.replace("article>", "section>")).split("\n") == ["Title", "By line", LONG.strip()]
+    assert html.main_text(f"<body><form id=aspnet><div><h1>Title</h1><p>{LONG}</p></div></form></body>").split("\n") == ["Title", LONG.strip()]
+    assert html.main_text(f"<article><p>{LONG}</p></article><div id=comments><article class=comment>{LONG * 5}</article></div>") == LONG.strip()
+    assert html.main_text(f"<p>{LONG}<button>Buy</button> and the rest</p>").split("\n") == [LONG.strip(), "and the rest"]
+
+
 def test_html_pages(spark):
     """The generated pages keep their text in one article of paragraphs."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
