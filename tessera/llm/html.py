@@ -211,9 +211,13 @@ def main_text(page: str | None) -> str:
         best = kind in ("article", "main") and share >= ARTICLE_SHARE
         if best or share >= CONTAINER_SHARE and kind != "body" and deep[0] not in ("article",):
             region, deep = e, (kind, share)
-    if region is not None:
-        return "\n".join(text for text, _, dull, inside, _ in lines if not dull and region in inside)
-    return "\n".join(lines[k][0] for k in range(chosen[0], chosen[-1] + 1) if not lines[k][2])
+    first, last = chosen[0], chosen[-1]
+    out = []
+    for k, (text, _, dull, inside, link) in enumerate(lines):
+        here = region in inside if region is not None else first <= k <= last
+        if not dull and (here or not link or ratio[k] >= cut):
+            out.append(text)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

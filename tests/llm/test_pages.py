@@ -119,6 +119,15 @@ def test_html_wrappers(names):
     assert html.main_text(f"<p>{LONG}<button>Buy</button> and the rest</p>").split("\n") == [LONG.strip(), "and the rest"]
 
 
+def test_html_region():
+    """Real text outside the narrowest container stays; link lists there go."""
+    body = f"<p>{LONG}</p>" * 4
+    assert html.main_text(f"<main><h1>Title</h1><p>lead</p><div>{body}</div></main>").split("\n") == ["Title", "lead", *[LONG.strip()] * 4]
+    links = "<div><a href=a>One</a></div><div><a href=b>Two</a></div><div><a href=c>Three</a></div><div><a href=d>Four</a></div>"
+    assert html.main_text(f"<body>{links}<article>{body}<p>{LONG}</p><p>{LONG}</p></article><article>{body}<p>last</p></article>{links}</body>").split("\n") == [*[LONG.strip()] * 10, "last"]
+    assert html.main_text(f"<body>{links}<h1>Title</h1><h2>Part</h2>{body}<p>Short.</p><p>End.</p></body>").split("\n") == ["Title", "Part", *[LONG.strip()] * 4, "Short.", "End."]
+
+
 def test_html_pages(spark):
     """The generated pages keep their text in one article of paragraphs."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
