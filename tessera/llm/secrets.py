@@ -26,10 +26,10 @@ ASSIGN_VALUE = 12
 KINDS = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 #: Where credentials stand: a name, a separator and a value, or the password of a URL.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\s{0,4}(?::=|=>|[:=])\s{0,4}["']?([^\s"'`,;<>(){}\[\]]{8,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\s*(?::=|=>|[:=])\s*["']?([^\s"'`,;<>(){}\[\]]{8,})""",
     re.IGNORECASE | re.ASCII,
 )
-URL_PASSWORD = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{8,})@")
+URL_PASSWORD = re.compile(r"://[^\s/:@]*:([^\s/@]{8,})@")
 MIN_GUESSES = 12.0
 #: Longest segment that is looked up whole; longer values are covered by several.
 LONGEST = 32
@@ -68,32 +68,38 @@ def _walk_ends(value: str) -> list[int]:
     """For each place the end of the longest keyboard walk or alphabetic or numeric sequence from there."""
     low, n = value.lower(), len(value)
     out = [k + 1 for k in range(n)]
-    for start in range(n):
-        k = start
-        while k + 1 < n and low[k] in _SEAT and low[k + 1] in _SEAT:
-            (r, a), (s, b) = _SEAT[low[k]], _SEAT[low[k + 1]]
-            if abs(r - s) > 1 or abs(a - b) > 1 or (r, a) == (s, b):
-                break
-            k += 1
-        out[start] = k + 1
-        for step in (1, -1):
-            k = start
-            while k + 1 < n and low[k].isalnum() and ord(low[k + 1]) - ord(low[k]) == step:
-                k += 1
-            out[start] = max(out[start], k + 1)
+    walk = up = down = n
+    for k in range(n - 2, -1, -1):  # runs that start one place later, carried on or cut
+        here, there = _SEAT.get(low[k]), _SEAT.get(low[k + 1])
+        near = here and there and here != there and abs(here[0] - there[0]) <= 1 and abs(here[1] - there[1]) <= 1
+        step = ord(low[k + 1]) - ord(low[k]) if low[k].isalnum() else 0
+        walk, up, down = walk if near else k + 1, up if step == 1 else k + 1, down if step == -1 else k + 1
+        out[k] = max(walk, up, down)
     return out
 
 
 @lru_cache(20_000)
-def guesses(value: str) -> float:
-    """Least total guess cost (power of ten) over all segmentations. Every segment adds half a digit for its place."""
+def guesses(value: str, enough: float = math.inf) -> float:
+    """Least total guess cost (power of ten) over all segmentations. Every segment adds half a digit for its place.
+
+    It may end early with ``enough`` once no segmentation costs less than that.
+    """
     n = len(value)
     best = [0.0] + [math.inf] * n
     plain = [0.0]
     for c in value:
         plain.append(plain[-1] + _char_cost(c))
     walks = _walk_ends(value)
+    repeated = [[0] * (n + 1) for _ in range(17)]  # by block size: how many characters from here equal those a block later
+    for size in range(1, min(16, n // 2) + 1):
+        run = repeated[size]
+        for k in range(n - size - 1, -1, -1):
+            run[k] = run[k + 1] + 1 if value[k] == value[k + size] else 0
+    lead: dict[tuple[int, int], int] = {}
+    low = 0  # the last place that is reached for less than enough
     for start in range(n):
+        if start > low:
+            return enough
         base = best[start] + 0.5
         for end in range(start + 1, min(n, start + LONGEST) + 1):
             part = value[start:end]
@@ -107,12 +113,25 @@ def guesses(value: str) -> float:
             if end - start >= 4 and _DATE.fullmatch(part):
                 cost = min(cost, _DATE_COST)
             best[end] = min(best[end], base + cost)
+            if best[end] < enough + 0.5:
+                low = max(low, end)
         for size in range(1, min(16, (n - start) // 2) + 1):  # repeats of a block, whatever their length
-            block, end = value[start : start + size], start + size
-            while value.startswith(block, end):
-                end += size
-                inner = _word_cost(block) or plain[start + size] - plain[start]
-                best[end] = min(best[end], base + inner + math.log10((end - start) // size))
+            stop = start + repeated[size][start] // size * size + size
+            block = value[start : start + size]
+            if stop == start + size:
+                continue
+            # a start in a run that an earlier one reaches as cheaply, whatever the end, adds nothing
+            first = lead.get((size, start % size))
+            if first is not None and first + repeated[size][first] >= start and best[start] >= best[first] + math.log10(1 + (start - first) // size / 2):
+                continue
+            lead[size, start % size] = start
+            inner = _word_cost(block) or plain[start + size] - plain[start]
+            for end in range(start + 2 * size, stop + 1, size):
+                offer = base + inner + math.log10((end - start) // size)
+                if offer < best[end]:
+                    best[end] = offer
+                    if offer < enough + 0.5:
+                        low = max(low, end)
     return best[n] - 0.5 if n else 0.0
 
 
@@ -131,7 +150,7 @@ def guessed_spans(text: str, least: float = MIN_GUESSES) -> list[tuple[int, int,
     if ":" not in text and "=" not in text:
         return []
     found = {m.span(1) for p in (CONTEXT, URL_PASSWORD) for m in p.finditer(text) if p is CONTEXT or "://" in text}
-    return [(a, b, "guess") for a, b in sorted(found) if b - a > 256 or guesses(text[a:b]) >= least]
+    return [(a, b, "guess") for a, b in sorted(found) if (guesses if b - a <= 256 else guesses.__wrapped__)(text[a:b], least) >= least]
 
 
 def _listed(spans: list[tuple[int, int, str]]) -> str:

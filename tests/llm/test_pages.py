@@ -76,6 +76,21 @@ def test_guess_cost(value):
     assert secrets.guesses(value) == pytest.approx(brute_guesses(value))
 
 
+def test_guesses_of_any_length():
+    """Long values are judged by their cost as well; aligned settings and URLs without a user are in a credential's place."""
+    for long in ("a" * 300, "password" * 50, "a" * 100_000):
+        assert secrets.guessed_spans(f"password={long}") == []
+    assert secrets.guessed_spans("password=" + "g7#Kq9!zLp2@Wd" * 30)[0][2] == "guess"
+    assert secrets.guessed_spans("x password" + " " * 20 + "=" + " " * 9 + "g7#Kq9!zLp2") == [(40, 51, "guess")]
+    assert secrets.guessed_spans("redis://:g7#Kq9!zLp2Wd@host") == [(9, 22, "guess")] and secrets.guessed_spans(f"x://{'u' * 90}:g7#Kq9!zLp2Wd@h")
+
+
+@pytest.mark.parametrize("value", ["aaaaaaaaaabab", "ababababaaaa", "abcabcabcabc1abc", "passpasspassx", "qaqaqa1212121212", "wertwertwert00000000"])
+def test_guess_cost_of_repeats(value):
+    assert secrets.guesses(value) == pytest.approx(brute_guesses(value))
+    assert (secrets.guesses(value, 5.0) >= 5.0) == (secrets.guesses(value) >= 5.0)
+
+
 def test_guess_order():
     assert secrets.guesses("") == 0
     assert secrets.guesses("qwertyuiop") < secrets.guesses("qwmrtzuxop") and secrets.guesses("password1999") < secrets.guesses("pkzswirdqx99")
