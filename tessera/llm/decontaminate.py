@@ -218,7 +218,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     found_words: the text's words. found_spans: merged occurrences of windows, four numbers each: first word, last word
     + 1, first byte, last byte + 1. found_items: sorted ids, as strings, of the items whose windows occur. An item of
-    fewer words than a window is one window; one without words (null, empty) has none. Null texts have no words.
+    fewer words than a window is one window; one without words (null, empty) has none. A benchmark row with a null id is no
+    item: its text is neither searched for nor cut. Null texts have no words.
     Repeated rows each get a row; repeated items count once by id. Where docs has a column of such a name, the new one
     gets underscores in front. With clean, found_text has the spans cut out; they then refer to the text as it was.
     """
