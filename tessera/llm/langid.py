@@ -21,8 +21,6 @@ from tessera.llm.storage import arrow_batches, cut
 BUCKETS, ORDERS = 1 << 14, 3
 #: Bound of the fitting sample: documents a language, and in all (at least 20 a language).
 PER_LANGUAGE, SAMPLE = 1000, 6000
-#: Languages that can be learned: the most frequent ones, so that the weights stay small enough to broadcast.
-LANGUAGES = 200
 #: Learning rate, its offset, the two penalties and the passes of the updates.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.01, 0.01, 3
 #: Every so manieth document of the sample fits the temperature only.
@@ -99,10 +97,10 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], frequency: np.ndarra
     """sample: (language, buckets, occurrences). frequency: documents by bucket, of ``documents`` in all."""
     languages = sorted({s[0] for s in sample})
     idf = np.log((1 + documents) / (1 + frequency)) + 1
-    rows = []
+    rows, place = [], {language: k for k, language in enumerate(languages)}
     for language, at, n in sample:
         x = n * idf[at]
-        rows.append((languages.index(language), at, x / np.sqrt((x * x).sum())))
+        rows.append((place[language], at, x / np.sqrt((x * x).sum())))
     order = np.random.default_rng(5).permutation(len(rows))
     fit = [rows[k] for k in order[np.arange(len(order)) % CALIBRATION != 0]] or rows
     z, n2 = np.zeros((BUCKETS + 1, len(languages))), np.zeros((BUCKETS + 1, len(languages)))
@@ -156,16 +154,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
-    """The model of the documents whose fold (crc32 of the id as text, modulo 4) isn't 2 and whose language is known."""
+    """The model of the documents whose fold (crc32 of the id as text, modulo 4) isn't 2 and whose language is known; every language is learned."""
     arrow_batches(docs.sparkSession)
     d = docs.select(docs[key].cast("string").alias("k"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("l")).filter("t is not null and l is not null").filter(_fold(F.col("k")) != 2)
-    sizes = {r.l: r.n for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
-    each = min(per_language, max(20, sample // max(1, len(sizes))))
-    share = F.lit(1.0)
-    if sizes:
-        share = F.try_element_at(F.create_map(*(x for l, n in sorted(sizes.items()) for x in (F.lit(l), F.lit(min(1.0, each / n))))), F.col("l"))
+    sizes = cut(d.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = sizes.count()
+    each = min(per_language, max(20, sample // max(1, languages)))
+    d = d.join(F.broadcast(sizes), "l")  # a row a language
     chance = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    found = cut(d.select("t", "l", F.coalesce(chance < share, F.lit(False)).alias("chosen")).mapInArrow(tidy(_gather), "bucket int, n bigint, lang string, packed binary"), "ngrams")
+    found = cut(d.select("t", "l", (chance < F.lit(float(each)) / F.col("n")).alias("chosen")).mapInArrow(tidy(_gather), "bucket int, n bigint, lang string, packed binary"), "ngrams")
     frequency, documents = np.zeros(BUCKETS, np.int64), 0
     for r in found.filter("bucket >= -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
         if r.bucket < 0:
@@ -173,7 +170,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         else:
             frequency[r.bucket] = r.n
     rows = []
-    for r in found.filter("bucket = -2").select("lang", "packed").orderBy(F.xxhash64("packed"), "lang").limit(each * max(1, len(sizes)) * 2).toLocalIterator():
+    for r in found.filter("bucket = -2").select("lang", "packed").orderBy(F.xxhash64("packed"), "lang").limit(each * max(1, languages) * 2).toLocalIterator():
         size = len(r.packed) // 6
         rows.append((r.lang, np.frombuffer(r.packed, "<u2", size).astype(np.int64), np.frombuffer(r.packed, "<f4", size, size * 2).astype(np.float64)))
     return train(rows, frequency, documents)

@@ -79,6 +79,15 @@ def test_gradients():
         assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(float(g[i]), abs=2e-3)
 
 
+def test_every_language_is_learned(spark):
+    """However many languages there are, the rare ones are learned like the others."""
+    rows = [(k, chr(0x4E00 + k % 210) * 3, f"l{k % 210:03}") for k in range(210 * 12)] + [(5000 + k, chr(0x4E00) * 3, "l000") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == [f"l{k:03}" for k in range(210)]
+    assert sum(model.predict(chr(0x4E00 + k) * 3)[0] == f"l{k:03}" for k in range(210)) >= 200
+
+
 def test_every_word_is_in_a_window():
     for n in range(0, 500):
         starts = toxicity.windows(n)
