@@ -1,8 +1,8 @@
 """Line deduplication by overlapping three-line windows.
 
 Every run of WINDOW consecutive lines of a document is hashed to 128 bits. A window that stands more than once in the
-corpus, within a document or across documents, is repeated; its first occurrence (least doc_id, then least line) stays,
-and every later one covers its lines. Covered lines go; a line goes once, however many windows cover it.
+corpus, within a document or across documents, is repeated; its first occurrence (least doc_id, then least line, then
+least hash of the text, which tells texts of one id apart) stays, and every later one covers its lines. Covered lines go; a line goes once, however many windows cover it.
 """
 
 from pyspark.sql import DataFrame
@@ -29,8 +29,8 @@ def windows(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataF
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, mark, gone): the lines, from 0, that later occurrences of repeated windows cover; only documents with some."""
     w = windows(docs, key, text, window)
-    first = w.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("first")).filter("n > 1")
-    later = w.join(first.select("a", "b", "first"), ["a", "b"]).filter(~F.struct("id", "line").eqNullSafe(F.col("first")))
+    first = w.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line", "mark")).alias("first")).filter("n > 1")
+    later = w.join(first.select("a", "b", "first"), ["a", "b"]).filter(~F.struct("id", "line", "mark").eqNullSafe(F.col("first")))
     found = later.groupBy("id", "mark").agg(F.collect_set("line").alias("at"))
     return found.select("id", "mark", F.array_distinct(F.flatten(F.transform("at", lambda k: F.sequence(k, k + (window - 1))))).alias("gone"))
 

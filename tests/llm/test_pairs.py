@@ -156,6 +156,13 @@ def test_line_dedup_oracle(spark, documents):
     assert got.filter("n_removed > 0").count() > 0
 
 
+def test_line_dedup_of_texts_with_one_id(spark):
+    """Of different texts with one id, or a null one, that share a passage at the same line, one keeps it."""
+    rows = [(i, f"a\nb\nc\nend {k}") for i in (None, 7) for k in range(3)] + [(7, "p\nq\nr\n1"), (7, "p\nq\nr\n2")] + [(None, "u\nv\nw")] * 2
+    got = [r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t.startswith("a\nb\nc") for t in got) == 1 and sum(t.startswith("p\nq\nr") for t in got) == 1 and got.count("u\nv\nw") == 2
+
+
 def test_line_dedup_cases(spark, odd):
     out = linededup.dedup(odd)
     assert out.columns == [*odd.columns, "n_removed"]
