@@ -1,12 +1,13 @@
 """Main-text extraction from web pages: parser events, text-to-tag ratios, smoothing and threshold clustering.
 
 The standard library's parser streams events. Block-level tags end a line; a line knows its text, how many tags came
-with it, the elements it stands in, whether one of them is page furniture by its name, role or class, and whether it is
-a link for the most part. Over the lines' text-to-tag ratios runs a Gaussian; two-means clustering of the smoothed
-ratios sets the threshold over which lines are content. The content region is the innermost container that holds the
-selected text or, without one, what lies between the first and the last selected line. Nothing but furniture goes:
-inside the region what is flagged, outside also links below the threshold, so that titles, leads, short paragraphs
-and further articles stay.
+with it, the element it stands in, and whether it is a link for the most part. Elements that are page furniture by name,
+role or class are flagged, and what stands in them goes. Over the other lines' text-to-tag ratios runs a Gaussian;
+two-means clustering of the smoothed ratios sets the threshold over which lines are content. Content regions are the
+innermost container that holds the selected lines, and all articles that hold some: they stay whole. Outside them stay
+selected lines, and below the threshold what is written as a heading or a paragraph and is no link, so that titles, leads
+and short closing paragraphs aren't lost; links and bare text of wrappers go there. Without such a container all but
+links below the threshold stays.
 """
 
 import re
@@ -49,6 +50,10 @@ OF_TEXT = frozenset("header footer banner masthead notice alert hidden overlay".
 SOFT = frozenset("form fieldset label".split())
 #: White space of HTML and of Unicode alike becomes one space.
 SPACE = re.compile(r"\s+")
+#: A tag or comment that the page ends in.
+UNENDED = re.compile(r"<[A-Za-z/!?]")
+#: Elements whose own text, outside the content regions, has to be selected by its ratio to stay.
+BARE = frozenset("div section td span body".split()) | {""}
 
 
 def marked(names: str, in_article: bool) -> bool:
@@ -64,29 +69,47 @@ def marked(names: str, in_article: bool) -> bool:
 
 
 class _Lines(HTMLParser):
+    """Lines of a page. Elements are numbered from 1 in page order, so a number is above those of what it stands in.
+
+    Every step takes time in proportion to what it opens or closes, however deep elements stand.
+    """
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool, bool]] = []  # name, number, furniture, silent, link
-        self.kind: dict[int, str] = {}
+        #: name, number, silent, link, within article or main
+        self.open: list[tuple[str, int, bool, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}  # by name where it stands in open
+        self.scopes: list[int] = []
+        #: by number: name, nearest container, nearest furniture; the latter two can be the element itself, 0 for none
+        self.name, self.box, self.dull = [""], [0], [0]
+        self.above: dict[int, int] = {}  # by container or furniture: the nearest of its kind around it
+        self.around: dict[int, int] = {}
         self.soft: dict[int, bool] = {}  # by element that is furniture: whether it can hold the text all the same
-        self.holders: list[tuple[str, int, tuple[int, ...]]] = []  # articles and mains: name, number, furniture around
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []  # text, tags, furniture around, containers, link
+        self.holders: list[tuple[int, int]] = []  # articles and mains, and the furniture around
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, link
         self.parts: list[str] = []
-        self.tags = self.count = self.linked = 0
+        self.tags = self.linked = 0
 
     def _end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                dull = tuple(e[1] for e in self.open if e[2])
-                self.lines.append((text, max(1, self.tags), dull, tuple(e[1] for e in self.open if e[0] in CONTAINER), 2 * self.linked > len(text)))
+                self.lines.append((text, max(1, self.tags), self.open[-1][1] if self.open else 0, 2 * self.linked > len(text)))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
     def _close(self, at: int) -> None:
-        self._end_line()
+        for k in range(len(self.open) - 1, at - 1, -1):
+            self.places[self.open[k][0]].pop()
+            if self.scopes and self.scopes[-1] == k:
+                self.scopes.pop()
         del self.open[at:]
 
+    def _last(self, names) -> int:
+        """Where the innermost open element of such a name stands, -1 if none or if a scope closes it off."""
+        at = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        return at if not self.scopes or at >= self.scopes[-1] else -1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in VOID:
@@ -97,16 +120,10 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCK:
             self._end_line()
-            shut = SIBLINGS.get(tag, set()) | ({"p"} if tag in ENDS_PARAGRAPH else set())
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.open[k][0]
-                if name in shut:
-                    self._close(k)
-                    break
-                if name in SCOPES:
-                    break
-        mute, link = self.open[-1][3:] if self.open else (False, False)
-        in_article = any(e[0] in ("article", "main") for e in self.open)
+            at = self._last(SIBLINGS.get(tag, set()) | ({"p"} if tag in ENDS_PARAGRAPH else set()))
+            if at >= 0:
+                self._close(at)
+        _, parent, mute, link, in_article = self.open[-1] if self.open else ("", 0, False, False, False)
         hard = tag in FURNITURE and tag not in SOFT or tag == "header" and not in_article
         soft, a = tag in SOFT, dict(attrs)
         if attrs and tag not in ("html", "body"):
@@ -114,13 +131,21 @@ class _Lines(HTMLParser):
             soft = soft or tag != "main" and marked(f"{a.get('class') or ''} {a.get('id') or ''}", in_article)
         if hard or soft:
             self._end_line()
-        self.count += 1
-        self.kind[self.count] = tag
+        number = len(self.name)
+        self.name.append(tag)
+        self.box.append(number if tag in CONTAINER else self.box[parent])
+        self.dull.append(number if hard or soft else self.dull[parent])
+        if tag in CONTAINER:
+            self.above[number] = self.box[parent]
         if hard or soft:
-            self.soft[self.count] = not hard
+            self.soft[number], self.around[number] = not hard, self.dull[parent]
         if tag in ("article", "main"):
-            self.holders.append((tag, self.count, tuple(e[1] for e in self.open if e[2])))
-        self.open.append((tag, self.count, hard or soft, mute or tag in SILENT, link and tag not in BLOCK or tag == "a" and bool(a.get("href"))))
+            self.holders.append((number, self.dull[parent]))
+            in_article = True
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, number, mute or tag in SILENT, link and tag not in BLOCK or tag == "a" and bool(a.get("href")), in_article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,37 +154,57 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                if tag in BLOCK or self.open[k][2]:
-                    self._close(k)
-                else:
-                    del self.open[k:]
-                break
-            if name in SCOPES and tag not in SCOPES:
-                break
+        at = self.places[tag][-1] if self.places.get(tag) and tag in SCOPES else self._last((tag,))
+        if at >= 0:
+            if tag in BLOCK or self.open[at][1] in self.soft or any(e[0] in BLOCK for e in self.open[at:]):
+                self._end_line()
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][3]):
+        if not (self.open and self.open[-1][2]):
             self.parts.append(data)
-            self.linked += len(data) if self.open and self.open[-1][4] else 0
-
-    def furniture(self) -> set[int]:
-        """Elements whose text goes. None that holds a main element goes, and no soft one that holds an article or most of the text."""
-        gone = set(self.soft)
-        for tag, number, around in self.holders:
-            if number not in gone:
-                gone -= {e for e in around if tag == "main" or self.soft[e]}
-        own = {number for _, number, _ in self.holders}
-        if not any(own & set(inside) and not gone & set(dull) for _, _, dull, inside, _ in self.lines):
+            self.linked += len(data) if self.open and self.open[-1][3] else 0
+
+    def _dead(self, gone: set[int]) -> list[bool]:
+        """By number: whether the element or one around it is in gone."""
+        dead = [False] * len(self.name)
+        for e in range(1, len(dead)):
+            d = self.dull[e]
+            dead[e] = (d in gone or dead[self.around[d]]) if d == e else dead[d]
+        return dead
+
+    def furniture(self) -> list[bool]:
+        """By number, whether its text goes. No element that holds a main goes, and no soft one that holds an article or most of the text."""
+        gone, seen = set(self.soft), {False: set(), True: set()}
+        for number, around in self.holders:
+            main = self.name[number] == "main"
+            while number not in self.soft and around and around not in seen[main]:
+                seen[main].add(around)
+                if main or self.soft[around]:
+                    gone.discard(around)
+                around = self.around[around]
+        dead = self._dead(gone)
+        holds = [False] * len(self.name)
+        for e in range(1, len(holds)):
+            b = self.box[e]
+            holds[e] = b > 0 and (self.name[b] in ("article", "main") or (holds[self.above[b]] if b == e else holds[b]))
+        if not any(holds[e] and not dead[e] for _, _, e, _ in self.lines):
+            held = self.mass([(self.dull[e], len(text)) for text, _, e, _ in self.lines], self.around)
             total = sum(len(x[0]) for x in self.lines)
-            held: dict[int, int] = {}
-            for text, _, dull, _, _ in self.lines:
-                for e in dull:
-                    held[e] = held.get(e, 0) + len(text)
             gone -= {e for e in gone if self.soft[e] and 2 * held.get(e, 0) > total}
-        return gone
+            dead = self._dead(gone)
+        return dead
+
+    @staticmethod
+    def mass(own: list[tuple[int, int]], outer: dict[int, int]) -> dict[int, int]:
+        """Sizes by element, those of the elements within included; 0 stands for the page."""
+        out: dict[int, int] = {}
+        for e, size in own:
+            out[e] = out.get(e, 0) + size
+        for e in sorted(outer, reverse=True):  # numbers grow inwards
+            if e in out:
+                out[outer[e]] = out.get(outer[e], 0) + out[e]
+        return out
 
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
@@ -183,39 +228,51 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def region(parser: _Lines, chosen: list[int]) -> int:
+    """The number of the container that holds the selected lines, 0 for the whole page.
+
+    An article or main with ARTICLE_SHARE of their text is one, the innermost; without it the innermost other container
+    with CONTAINER_SHARE.
+    """
+    mass = parser.mass([(parser.box[parser.lines[k][2]], len(parser.lines[k][0])) for k in chosen], parser.above)
+    total = sum(len(parser.lines[k][0]) for k in chosen)
+    held = [e for e in sorted(mass) if e and parser.name[e] != "body"]
+    articles = [e for e in held if parser.name[e] in ("article", "main") and mass[e] >= ARTICLE_SHARE * total]
+    return (articles or [e for e in held if mass[e] >= CONTAINER_SHARE * total] or [0])[-1]
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by a line feed; empty where there is none."""
     if not page:
         return ""
     parser = _Lines()
     parser.feed(page)
+    if UNENDED.match(parser.rawdata):
+        parser.rawdata = ""  # as browsers do; the parser would look for its end from every later bracket again
     parser.close()
     parser._end_line()
-    gone = parser.furniture()
-    lines = [(text, tags, not gone.isdisjoint(dull), inside, link) for text, tags, dull, inside, link in parser.lines]
-    if all(x[2] for x in lines):
+    dead = parser.furniture()
+    dull = [dead[e] for _, _, e, _ in parser.lines]
+    if all(dull):
         return ""
-    ratio = smooth(np.array([0.0 if dull else len(text) / tags for text, tags, dull, _, _ in lines]))
+    plain = np.array([0.0 if d else len(text) / tags for (text, tags, _, _), d in zip(parser.lines, dull, strict=True)])
+    ratio = smooth(plain)
     cut = threshold(ratio)
-    chosen = [k for k, x in enumerate(lines) if not x[2] and ratio[k] >= cut] or [k for k, x in enumerate(lines) if not x[2]]
-    mass: dict[int, int] = {}
-    total = 0
-    for k in chosen:
-        size = len(lines[k][0])
-        total += size
-        for e in lines[k][3]:
-            mass[e] = mass.get(e, 0) + size
-    region, deep = None, ("", 0.0)
-    for e in sorted(mass):  # numbers grow inwards
-        kind, share = parser.kind[e], mass[e] / total
-        best = kind in ("article", "main") and share >= ARTICLE_SHARE
-        if best or share >= CONTAINER_SHARE and kind != "body" and deep[0] not in ("article",):
-            region, deep = e, (kind, share)
+    chosen = [k for k, d in enumerate(dull) if not d and ratio[k] >= cut] or [k for k, d in enumerate(dull) if not d]
+    home = region(parser, chosen)
+    # other articles that hold selected text are regions as well
+    inside = [False] * len(parser.name)
+    articles = {e for e, _ in parser.holders}
+    filled = parser.mass([(parser.box[parser.lines[k][2]], 1) for k in chosen], parser.above)
+    for e in range(1, len(inside)):
+        b = parser.box[e]
+        inside[e] = b > 0 and (b == home or inside[b] if b != e else b == home or b in articles and b in filled or inside[parser.above[b]])
     first, last = chosen[0], chosen[-1]
     out = []
-    for k, (text, _, dull, inside, link) in enumerate(lines):
-        here = region in inside if region is not None else first <= k <= last
-        if not dull and (here or not link or ratio[k] >= cut):
+    for k, (text, _, e, link) in enumerate(parser.lines):
+        here = inside[e] or not home and first <= k <= last
+        # outside the regions stay what the threshold selects, smoothed or not, and text that is written as a heading or paragraph
+        if not dull[k] and (here or max(ratio[k], plain[k]) >= cut or not link and (not home or parser.name[e] not in BARE)):
             out.append(text)
     return "\n".join(out)
 
