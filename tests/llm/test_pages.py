@@ -2,7 +2,9 @@
 
 import hashlib
 import html as entities
+import random
 import re
+import string
 import time
 
 import pytest
@@ -98,6 +100,81 @@ def test_guess_order():
     assert secrets.guessed_spans("pwd: password1 and auth => g7#Kq9!zLp2@Wd") == [(27, 41, "guess")]
 
 
+def segment_costs(value):
+    """Cost of every segment of a value, whatever its length, and the least total over segmentations."""
+    n, best = len(value), [0.0]
+    for end in range(1, n + 1):
+        options = []
+        for k in range(end):
+            part = value[k:end]
+            cost = sum(secrets._char_cost(c) for c in part)
+            if 3 <= len(part) <= secrets.LONGEST:
+                word = secrets._word_cost(part)
+                cost = cost if word is None else min(cost, word)
+                low = part.lower()
+                step = [ord(b) - ord(a) if a.isalnum() else 0 for a, b in zip(low, low[1:])]
+                seat = [secrets._SEAT.get(c) for c in low]
+                near = all(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 for p, q in zip(seat, seat[1:]))
+                if near or set(step) in ({1}, {-1}):
+                    cost = min(cost, secrets.math.log10(47) + 0.6 + secrets.math.log10(len(part)))
+                if secrets._DATE.fullmatch(part):
+                    cost = min(cost, secrets._DATE_COST)
+            for size in range(1, min(16, len(part) // 2) + 1):
+                block = part[:size]
+                if len(part) % size == 0 and part == block * (len(part) // size):
+                    cost = min(cost, (secrets._word_cost(block) or sum(secrets._char_cost(c) for c in block)) + secrets.math.log10(len(part) // size))
+            options.append(best[k] + 0.5 + cost)
+        best.append(min(options))
+    return best[n] - 0.5
+
+
+@pytest.mark.parametrize("length", [1, 7, 40, 200, 255, 256, 257, 300])
+def test_guess_cost_of_any_length(length):
+    """Costs, and so verdicts, are those of the definition on both sides of every length."""
+    rng = random.Random(length)
+    bits = ["password", "Dragon", "qwerty", "aaaa", "2019-11-03", "xy", "K9$", "configuration", "abcabc", "7", "zxcvbn", "p4ssw0rd", "é"]
+    for _ in range(3):
+        value = ""
+        while len(value) < length:
+            value += rng.choice(bits) if rng.random() < 0.8 else chr(rng.randrange(33, 127))
+        value = value[:length]
+        want = segment_costs(value)
+        assert secrets.guesses(value) == pytest.approx(want)
+        for least in (5.0, 12.0, 40.0):
+            assert (secrets.guesses(value, least) >= least) == (want >= least)
+    for value in ("x" * length, ("password" * length)[:length]):
+        assert secrets.guesses(value) == pytest.approx(segment_costs(value)) and secrets.guesses(value) < 12
+
+
+def test_long_values_take_time_in_proportion():
+    for value in ("a" * 100_000, "password" * 12_500, "a1B$" * 25_000):
+        began = time.process_time()
+        assert secrets.guesses(value, 12.0) < 12
+        assert time.process_time() - began < 20
+
+
+def test_scan_reports_what_costs_enough(spark, documents):
+    """guess spans of a scan are the values in a credential's place that the definition finds dear enough, names in code left out."""
+    rng = random.Random(2)
+    kinds = string.ascii_letters + string.digits + "!#$%*+"
+    made = ["".join(rng.choice(kinds) for _ in range(rng.randrange(10, 30))) for _ in range(60)]
+    weak = ["password1", "qwertyuiop12", "letmein2024", "aaaaaaaaaaaa", "20240131", "changeme123", "abcdefghijkl", "administrator", "sunshine1999"]
+    names = ["get_configuration_value_from_environment", "settings.database.password", "os.environment.secretKey"]
+    texts = [f"the password: {v} and so on" for v in [*made, *weak]] + [f"x\ntoken = {v}\ny" for v in names] + ["secret = read_secret_from_vault(path)", 'secret = "read_secret_from_vault_now"']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(documents.select("doc_id", "text").withColumn("doc_id", documents.doc_id + 10_000))
+    found = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("guess")] for r in secrets.scan(docs).collect()}
+    for r in docs.collect():
+        want, text = [], r.text
+        for p in (secrets.CONTEXT, secrets.URL_PASSWORD):
+            for m in p.finditer(text):
+                quoted = text[m.start(1) - 1] in "\"'`"
+                called = text[m.end(1) : m.end(1) + 1] == "(" and secrets.CALLED.fullmatch(m[1])
+                if segment_costs(m[1]) >= secrets.MIN_GUESSES and (quoted or not (called or secrets.is_name(m[1]))):
+                    want.append(f"guess:{m.start(1)}:{m.end(1)}")
+        assert found[r.doc_id] == sorted(set(want), key=lambda x: [int(v) for v in x.split(":")[1:]])
+    assert sum(bool(found[k]) for k in range(60)) == 60 and not any(found[k] for k in range(60, len(texts) - 1)) and found[len(texts) - 1]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header><h2>Site name</h2></header><nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies, a great many of them, on every page of this site.</div>
 <article class="post"><header><h1>The &amp; title</h1></header><p>First   paragraph with <b>bold</b>&nbsp;words,
