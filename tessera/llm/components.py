@@ -8,7 +8,7 @@ minimum in a join whose large partitions adaptive execution splits.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import cut
+from tessera.llm.storage import discard, write
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,12 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge to another node are absent. Rows with a null end or a loop are ignored.
     """
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")))
     seen = now.agg(mark).first()[0]
     while seen[0]:
-        then = seen
-        now = cut(_small_star(_large_star(now)), "edges")
+        then, last = seen, path
+        now, path = write(_small_star(_large_star(now)), "edges")
+        discard(spark, last)
         seen = now.agg(mark).first()[0]
         if seen == then:
             break

@@ -2,15 +2,21 @@
 
 Every run of WINDOW consecutive lines of a document is hashed to 128 bits. A window that stands more than once in the
 corpus, within a document or across documents, is repeated; its first occurrence (least doc_id, then least line, then
-least hash of the text, which tells texts of one id apart) stays, and every later one covers its lines. Covered lines go; a line goes once, however many windows cover it.
+least hash of the text, which tells texts of one id apart) stays, and every later one covers its lines. Covered lines
+go; a line goes once, however many windows cover it.
+
+Most documents lose no line. Their texts aren't shuffled: a Bloom filter of the documents that do lose some, MAP_WORDS
+words of 64 bits however many there are, is broadcast, and what it can't hold passes straight through.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import fresh
+from tessera.llm.storage import cut, fresh
 
 WINDOW = 3
+#: Words of the filter's bit map: 16 bytes a row, so 16 MB are broadcast at most.
+MAP_WORDS = 1 << 20
 
 
 def _lines(text):
@@ -20,7 +26,6 @@ def _lines(text):
 def windows(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
     """(id, mark, line, a, b): a window's document, its first line from 0, and its hash."""
     body = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("mark"), _lines(docs[text]).alias("lines")).filter(F.size("lines") >= window)
-    # sizes before lines: the joined text then says where each line ends
     starts = F.sequence(F.lit(1), F.size("lines") - (window - 1))
     w = body.select("id", "mark", F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice("lines", k, window), "\n"))).alias("line", "w"))
     return w.select("id", "mark", "line", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(WINDOW), "w").alias("b"))
@@ -44,12 +49,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     docs is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "n_removed"]
-    i, m, g = fresh(docs, "id", "mark", "gone")
-    gone = covered(docs, key, text, window).select(F.col("id").alias(i), F.col("mark").alias(m), F.col("gone").alias(g))
-    joined = docs.join(gone, docs[key].eqNullSafe(gone[i]) & (F.xxhash64(docs[text]) == gone[m]), "left")
-    remaining = F.array_join(F.filter(_lines(docs[text]), lambda _, k: ~F.array_contains(gone[g], k)), "\n")
-    clean = F.when(gone[g].isNull(), docs[text]).otherwise(remaining)
-    return joined.select(*(clean.alias(c) if c == text else docs[c] for c in kept), F.coalesce(F.size(gone[g]), F.lit(0)).cast("bigint").alias("n_removed"))
+    i, m, g, p, w = fresh(docs, "id", "mark", "gone", "place", "bits")
+    gone = cut(covered(docs, key, text, window), "covered-lines")
+    place = F.xxhash64("id", "mark")
+    bits = gone.groupBy(_word(place).alias(p)).agg(F.bit_or(_bit(place)).alias(w))
+    gone = gone.select(F.col("id").alias(i), F.col("mark").alias(m), F.col("gone").alias(g))
+
+    def either(some: bool) -> DataFrame:
+        own = F.xxhash64(docs[key], F.xxhash64(docs[text]))
+        hit = docs.join(F.broadcast(bits), _word(own) == bits[p], "left").filter((F.coalesce(bits[w], F.lit(0).cast("bigint")).bitwiseAND(_bit(own)) != 0) == F.lit(some))
+        if not some:
+            return hit.select(*(docs[c] for c in kept), F.lit(0).cast("bigint").alias("n_removed"))
+        joined = hit.join(gone, docs[key].eqNullSafe(gone[i]) & (F.xxhash64(docs[text]) == gone[m]), "left")
+        remaining = F.array_join(F.filter(_lines(docs[text]), lambda _, k: ~F.array_contains(gone[g], k)), "\n")
+        clean = F.when(gone[g].isNull(), docs[text]).otherwise(remaining)
+        return joined.select(*(clean.alias(c) if c == text else docs[c] for c in kept), F.coalesce(F.size(gone[g]), F.lit(0)).cast("bigint").alias("n_removed"))
+
+    return either(False).union(either(True))
+
+
+def _word(place):
+    return F.pmod(place, F.lit(MAP_WORDS)).cast("bigint")
+
+
+def _bit(place):
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(place, 20), F.lit(64)).cast("int"))
 
 
 ORACLE = r"""

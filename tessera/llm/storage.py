@@ -7,28 +7,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset (tests on one machine), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one; a cluster must name one."""
     key = "spark.checkpoint.dir"
     where = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set(key, where)
     return where.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """The path and its file system, in the JVM."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, files = _at(spark, path)
+    files.deleteOnExit(hadoop)
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: computed once, its lineage ends there."""
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, files = _at(spark, path)
+    return files.exists(hadoop)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    hadoop, files = _at(spark, path)
+    files.delete(hadoop, True)
+
+
+def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and where it is."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: computed once, its lineage ends there."""
+    return write(df, name)[0]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -44,11 +68,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Bounds the Arrow batches that go to Python workers, unless the session has its own bounds.
+    """Bounds the session's Arrow batches that go to Python workers; what the user has set, to whatever value, stays.
 
-    Documents are long: the default of 10,000 rows a batch holds tens of megabytes several times over in a task.
+    Documents are long: the default of 10,000 rows a batch holds tens of megabytes several times over in a task. Spark
+    reads the bounds when a query runs, so they can't be given to one query alone.
     """
-    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", None, size)):
-        own = spark.conf.get(key, None)
-        if own is not None and (own == usual or usual is None and spark.sparkContext.getConf().get(key) is None):
+    own = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if key not in own and spark.conf.get(key, None) is not None:
             spark.conf.set(key, value)
