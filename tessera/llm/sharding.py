@@ -1,9 +1,11 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
-Records are hashed by their text into SLOTS virtual slots, so equal texts share a slot. Bytes and rows are summed per
-slot. A versioned map says which shard holds each slot: version 0 deals the slots out by number, every rebalancing
-appends a version in which slots have moved from overfull shards. A slot heavier than half a shard (a large group of
-copies) is cut by doc_id into FINE parts, which the map moves one by one; everything else moves as a whole slot.
+Records are hashed by their text into SLOTS virtual slots, so equal texts share a slot. Bytes are summed per slot. A
+versioned map says which shard holds each slot: version 0 deals the slots out by number, every rebalancing appends a
+version in which slots have moved from overfull shards. The map lives on: a later call with the same map_path edits its
+last version by the sizes it then finds. A slot heavier than half a shard (a large group of copies) is cut by doc_id
+into FINE parts, and such a part, if it is that heavy too (a repeated or null id), by the rows' place in the table; the
+map moves parts one by one, everything else moves as a whole slot.
 
 The law that holds is ``bytes``: the shards' sizes are near equal (apart by about the smallest slots' sizes, at most
 by one slot), whatever the sizes of texts and groups. Groups of equal texts stay in one shard unless they are cut.
@@ -13,51 +15,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.storage import cut, new_path
+from tessera.llm.storage import cut, exists, new_path
 
 SHARDS, SLOTS, FINE = 8, 4096, 64
+#: Entries of the map up to which it is broadcast: 24 bytes each, so 6 MB.
+BROADCAST_ENTRIES = 1 << 18
+MAP = "version int, virtual_slot int, part int, shard int"
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS, fine: int = FINE) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, part): size is UTF-8 bytes plus 1 (null: 1), the checksum of null that of the empty text."""
+    """(doc_id, size, text_crc32, virtual_slot, part, at): size is UTF-8 bytes plus 1 (null: 1), the checksum of null that of the empty text.
+
+    at numbers the rows, task by task.
+    """
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     return docs.select(
         docs[key].alias("doc_id"), (F.octet_length(t) + 1).cast("bigint").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(t), F.lit(slots)).cast("int").alias("virtual_slot"), F.pmod(F.xxhash64(docs[key], F.lit("part")), F.lit(fine)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("at"),
     )
 
 
-def slot_sizes(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS, fine: int = FINE) -> DataFrame:
-    """(virtual_slot, part, bytes, n, whole): the cells of the map, slots x fine rows at most.
+def entries(rows: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
+    """rows with their entry of the map in ``part``: -1 for a slot that moves as a whole, else the part, or a part of a part.
 
-    whole: the slot moves as one; its parts then share one entry of the map. Parts also bound the groups of rows that
-    are numbered together.
+    Only slots and parts with more than half a shard's bytes are cut. Of those there are fewer than 2 * shards each, and
+    they are what is broadcast.
     """
-    cells = rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    slot = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("slot_bytes"))
-    total = slot.agg(F.sum("slot_bytes").alias("total"))
-    heavy = slot.crossJoin(F.broadcast(total)).select("virtual_slot", (F.col("slot_bytes") * 2 * shards <= F.col("total")).alias("whole"))  # one row of totals
-    return cells.join(F.broadcast(heavy), "virtual_slot")  # a row a slot
+    cells = cut(rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes")), "cells")  # slots x fine rows at most
+    total = cells.agg(F.sum("bytes")).first()[0] or 0
+
+    def heavy(groups: DataFrame) -> DataFrame:
+        return groups.filter(F.col("bytes") * 2 * shards > F.lit(total)).drop("bytes")
+
+    slots = heavy(cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"))).withColumn("is_cut", F.lit(True))
+    parts = heavy(cells).withColumn("is_fine", F.lit(True))
+    spread = F.lit(fine) + F.col("part") * fine + F.pmod("at", F.lit(fine)).cast("int")
+    part = F.when(F.col("is_cut").isNull(), F.lit(-1)).when(F.col("is_fine").isNull(), F.col("part")).otherwise(spread)
+    joined = rows.join(F.broadcast(slots), "virtual_slot", "left").join(F.broadcast(parts), ["virtual_slot", "part"], "left")
+    return joined.withColumn("part", part).drop("is_cut", "is_fine")
+
+
+def entry_sizes(rows: DataFrame) -> DataFrame:
+    """(virtual_slot, part, bytes) of the map's entries in rows."""
+    return rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"))
 
 
 def first_map(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Version 0: (version, virtual_slot, part, shard), slots dealt out by number; part -1 stands for the whole slot."""
-    entry = sizes.select("virtual_slot", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("part")).alias("part")).distinct()
-    return entry.select(F.lit(0).alias("version"), "virtual_slot", "part", F.pmod("virtual_slot", F.lit(shards)).cast("int").alias("shard"))
+    return sizes.select(F.lit(0).alias("version"), "virtual_slot", "part", F.pmod("virtual_slot", F.lit(shards)).cast("int").alias("shard"))
+
+
+def last_version(versions: DataFrame) -> int:
+    """-1 for a map without entries."""
+    last = versions.agg(F.max("version")).first()[0]
+    return -1 if last is None else last
+
+
+def carry_over(old: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(virtual_slot, part, shard, bytes) of every entry that the last version of old or sizes has; bytes are 0 without rows.
+
+    A new entry starts where its slot was as a whole, else where the slot's least part was; a new slot by its number.
+    Shards that no longer exist are taken modulo shards.
+    """
+    now = old.filter(F.col("version") == F.lit(last_version(old))).select("virtual_slot", "part", F.pmod("shard", F.lit(shards)).cast("int").alias("shard"))
+    home = now.groupBy("virtual_slot").agg(F.min(F.struct("part", "shard"))["shard"].alias("home"))
+    whole = sizes.join(now, ["virtual_slot", "part"], "full").join(home, "virtual_slot", "left")
+    start = F.coalesce("shard", "home", F.pmod("virtual_slot", F.lit(shards))).cast("int")
+    return whole.select("virtual_slot", "part", start.alias("shard"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def rebalance(old: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The next version of the map: an edit of its last one by the bytes of the slots.
+    """The next version of the map: an edit of its last one by the bytes of the entries.
 
     Heaviest first, an entry stays where it is while its shard has room up to the mean, else it goes to the emptiest
-    shard. The fold runs over the map's entries only (slots x fine at most), as one expression in one row.
+    shard. The fold runs over the map's entries only (slots and parts of heavy ones), as one expression in one row.
     """
-    last = old.agg(F.max("version").alias("v"))
-    now = old.join(F.broadcast(last), F.col("version") == F.col("v")).drop("v")
-    weight = sizes.groupBy("virtual_slot", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("part")).alias("part")).agg(F.sum("bytes").alias("bytes"))
-    listed = now.join(weight, ["virtual_slot", "part"]).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "part", "shard"))).alias("entries"),
-        F.ceil(F.sum("bytes") / shards).alias("mean"), F.max("version").alias("version"),
+    listed = carry_over(old, sizes, shards).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "part", "shard"))).alias("entries"), F.ceil(F.sum("bytes") / shards).alias("mean"),
     )
 
     def place(state, e):
@@ -83,34 +118,41 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFra
         return F.struct(inner["state"].alias("state"), F.concat(acc["all"], F.array(inner["moved"])).alias("all"))
 
     blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size("entries") - 1) / size), F.lit(0)).cast("int"))
-    folded = listed.filter(F.size("entries") > 0).select("entries", "version", F.flatten(F.aggregate(blocks, block, outer)["all"]).alias("to"))
-    pair = folded.select("version", F.explode(F.arrays_zip("entries", "to")).alias("x"))
-    edited = pair.select((F.col("version") + 1).alias("version"), F.col("x.entries.virtual_slot"), F.col("x.entries.part"), F.col("x.to").alias("shard"))
-    return old.unionByName(edited)
+    folded = listed.filter(F.size("entries") > 0).select("entries", F.flatten(F.aggregate(blocks, block, outer)["all"]).alias("to"))
+    pair = folded.select(F.explode(F.arrays_zip("entries", "to")).alias("x"))
+    return pair.select(F.lit(last_version(old) + 1).cast("int").alias("version"), F.col("x.entries.virtual_slot"), F.col("x.entries.part"), F.col("x.to").alias("shard"))
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS, fine: int = FINE, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of every row.
 
     slot is the row's place in its shard, from 0 without gaps; grown_shard is null under this law. The versioned map is
-    written to map_path (default: the shared folder). Null texts count one byte and share a group with empty ones.
-    Repeated rows each get a place. An empty table gives an empty result. Other columns of docs are not read.
+    kept at map_path (default: the shared folder). Where there is one, a version is appended to it: entries without rows
+    keep their place, new slots and parts get one, no row is lost. One call at a time may edit a map. Null texts count
+    one byte and share a group with empty ones. Repeated rows each get a place. An empty table gives an empty result.
+    Other columns of docs are not read.
     """
+    spark = docs.sparkSession
     rows = cut(records(docs, key, text, slots, fine), "records")
-    sizes = cut(slot_sizes(rows, shards, slots, fine), "slots")
-    path = map_path or new_path(docs.sparkSession, "slot-map")
-    versions = first_map(sizes, shards)
-    schema = versions.schema
-    rebalance(versions, sizes, shards).write.partitionBy("version").parquet(path)
-    current = docs.sparkSession.read.schema(schema).parquet(path).filter("version = 1").drop("version")
-    entry = F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("part"))
-    placed = sizes.withColumnRenamed("part", "cell").select("virtual_slot", "cell", "n", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("cell")).alias("part"))
-    placed = placed.join(F.broadcast(current), ["virtual_slot", "part"])
-    before = Window.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = placed.select("virtual_slot", "cell", "shard", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("offset"))
-    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.select("*", (F.row_number().over(within) - 1).alias("k"))
-    joined = numbered.withColumnRenamed("part", "cell").join(F.broadcast(cells), ["virtual_slot", "cell"])  # slots x fine rows at most
-    return joined.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("k")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"),
+    keyed = entries(rows, shards, fine)
+    sizes = cut(entry_sizes(keyed), "entries")
+    path = map_path or new_path(spark, "slot-map")
+    if not exists(spark, path):
+        first_map(sizes, shards).write.partitionBy("version").parquet(path)
+    stored = spark.read.schema(MAP).parquet(path)
+    rebalance(stored, sizes, shards).write.mode("append").partitionBy("version").parquet(path)
+    stored = spark.read.schema(MAP).parquet(path)
+    version = last_version(stored)
+    current = stored.filter(F.col("version") == F.lit(version)).select("virtual_slot", "part", "shard")
+    current = F.broadcast(current) if slots + 2 * shards * fine * (fine + 1) <= BROADCAST_ENTRIES else current
+    # a task's rows are numbered within their shard, behind those of the tasks before; no group exceeds a task's rows
+    placed = keyed.join(current, ["virtual_slot", "part"]).withColumn("task", F.shiftright("at", 33))
+    counts = placed.groupBy("shard", "task").count()
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    offsets = counts.select("shard", "task", F.coalesce(F.sum("count").over(before), F.lit(0).cast("bigint")).alias("offset"))
+    within = Window.partitionBy("shard", "task").orderBy("at")
+    numbered = placed.select("*", (F.row_number().over(within) - 1).alias("k")).join(offsets, ["shard", "task"])
+    return numbered.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("k")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(version).cast("int").alias("map_version"),
     )

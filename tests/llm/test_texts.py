@@ -134,10 +134,44 @@ def test_sharding_hot_group(spark):
     assert max(load.values()) < 1.02 * min(load.values())
 
 
+def stored(spark, path, version):
+    return {(r.virtual_slot, r.part): r.shard for r in spark.read.parquet(str(path)).filter(f"version = {version}").collect()}
+
+
 def test_map_edit(spark, documents, tmp_path):
     """A version is an edit of the one before: what has room stays."""
     sharding.shard(documents, map_path=str(tmp_path / "map")).count()
-    saved = spark.read.parquet(str(tmp_path / "map")).collect()
-    first, second = ({(r.virtual_slot, r.part): r.shard for r in saved if r.version == v} for v in (0, 1))
+    first, second = (stored(spark, tmp_path / "map", v) for v in (0, 1))
     assert first.keys() == second.keys() and all(s == k[0] % 8 for k, s in first.items())
     assert sum(first[k] == second[k] for k in first) > len(first) / 2
+
+
+def test_map_lives_on(spark, tmp_path):
+    """Later calls edit the stored map: rows come and go, a slot becomes heavy, and every row finds a place."""
+    path = tmp_path / "map"
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id, repeat('x', id % 90)) AS text")
+    rows = {r.doc_id: r for r in check_shards(docs, sharding.shard(docs, map_path=str(path)))}
+    more = docs.filter("doc_id >= 100").unionByName(spark.range(5000, 5300).selectExpr("id AS doc_id", "concat('new ', id) AS text"))
+    again = {r.doc_id: r for r in check_shards(more, sharding.shard(more, map_path=str(path)))}
+    assert {r.map_version for r in rows.values()} == {1} and {r.map_version for r in again.values()} == {2}
+    assert stored(spark, path, 2).keys() > stored(spark, path, 1).keys()
+    assert sum(again[k].shard != rows[k].shard for k in range(100, 2000)) < 400
+    hot = more.unionByName(spark.range(9000, 10_500).selectExpr("id AS doc_id", "concat('text 777', repeat('x', 57)) AS text"))
+    third = check_shards(hot, sharding.shard(hot, map_path=str(path)))
+    load, slot = defaultdict(int), {r.virtual_slot for r in third if r.doc_id == 9000}
+    for r in third:
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.05 * min(load.values()) and {k[1] for k in stored(spark, path, 3) if k[0] in slot} > {-1}
+    back = check_shards(docs, sharding.shard(docs, map_path=str(path)))
+    assert {r.map_version for r in back} == {4} and len(back) == 2000
+    fewer = check_shards(docs, sharding.shard(docs, shards=5, map_path=str(path)), 5)
+    assert {r.map_version for r in fewer} == {5}
+
+
+def test_sharding_hot_id(spark):
+    """A third of all rows bear one id, or none, and one text: their slot's one heavy part is cut by place."""
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7L ELSE id END AS doc_id", "CASE WHEN id % 3 < 2 THEN repeat('copy ', 40) ELSE concat('text ', id) END AS text")
+    load = defaultdict(int)
+    for r in check_shards(docs, sharding.shard(docs)):
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.1 * min(load.values())
