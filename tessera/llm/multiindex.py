@@ -1,10 +1,10 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are cut into halves; each half has its own codebook, and pairs of codes form the product grid of cells.
-Where labels are small, neighbouring codes are read as one, so that a cell has about HOMES vectors or more. A vector's
-multi-sequence traversal visits cells by growing lower bound of their distance, the sum over both halves of the squared
-distance to the code's region. A pair counts if either of its ends visits the other's cell, so what is found is the same
-from both. Candidates are verified in double precision.
+Codes grow with the number of vectors, and where a label has few, neighbouring codes are read as one, so that a cell
+has about HOMES vectors. A vector's multi-sequence traversal visits cells by growing lower bound of their distance, the
+sum over both halves of the squared distance to the code's region. A pair counts if either of its ends visits the
+other's cell. Candidates are verified in double precision.
 
 The traversal goes to 1 - c, half the squared distance at cosine c, and misses no pair: in each half the ends' distances
 to the plane between their codes add up to at most their distance, so the bounds of the two ends add up to at most
@@ -12,12 +12,17 @@ to the plane between their codes add up to at most their distance, so the bounds
 partners, sample vectors turned by the threshold's angle in random directions. Real pairs that differ along few
 directions can fall below such a target.
 
+What travels to the cells is small: an id, the cells and AXES bytes, the vector's place along the main axes. Two places
+are never further apart than their vectors, so comparing them only ever drops pairs that aren't linked. Vectors are
+fetched for those that have a candidate left. Neighbouring cells of a label share a region of about REGION vectors, so
+that a vector travels once for all its cells there.
+
 Equal vectors of one label are one node with a count, so that copies never meet pairwise. Codebooks are fitted on a
-bounded sample; every vector is indexed. A cell with very many vectors is dealt in blocks over several tasks.
+bounded sample; every vector is indexed. A region with very many vectors is dealt in blocks over several tasks.
 """
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +31,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import components
-from tessera.llm.simhash import forest, groups
 from tessera.llm.memory import tidy
+from tessera.llm.simhash import forest
 from tessera.llm.storage import cut
 
 COSINE, RECALL = 0.98, 1.0
-#: Codes per half; vectors in the codebooks' sample; rounds of their fit; vectors of a cell on each side of a comparison.
-CODES, SAMPLE, ROUNDS, BLOCK = 64, 4096, 12, 4096
-#: Vectors of the largest label that a cell should have on average before codes stand for themselves.
-HOMES = 512
+#: Most codes per half; vectors in the codebooks' sample, at least and per code; rounds of their fit.
+CODES, SAMPLE, PER_CODE, ROUNDS = 1024, 4096, 16, 10
+#: Vectors of a cell, of a region, and of a region's block on each side of a comparison.
+HOMES, REGION, BLOCK = 64, 1 << 17, 1 << 17
+#: Bytes of a vector's place along the main axes (8 to a long), and steps of one between 0 and 1.
+AXES, STEPS = 16, 127
+#: Lengths of vectors that have codebooks, the most frequent ones; vectors of others share one cell a label.
+LENGTHS = 16
 #: Slack for rounding in bounds that decide where to look; what is found is verified exactly.
 SLACK = 1e-9
 
 
-def codebook(half: np.ndarray, codes: int = CODES, rounds: int = ROUNDS) -> np.ndarray:
-    """Codes of a half by k-means; fewer distinct rows than codes give fewer codes."""
+def codebook(half: np.ndarray, codes: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Codes of a half by k-means, in the order of their main axis; fewer distinct rows than codes give fewer codes."""
     distinct = np.unique(half, axis=0)
     rng = np.random.default_rng(11)
     book = distinct[rng.permutation(len(distinct))[:codes]]
     for _ in range(rounds):
-        near = ((half[:, None, :] - book[None]) ** 2).sum(-1).argmin(1) if len(half) * len(book) * half.shape[1] < 1 << 25 else _nearest(half, book)
-        for k in range(len(book)):
-            own = half[near == k]
-            if len(own):
-                book[k] = own.mean(0)
+        near = _squares(half, book).argmin(1)
+        n = np.bincount(near, minlength=len(book))
+        total = np.zeros_like(book)
+        np.add.at(total, near, half)
+        book[n > 0] = total[n > 0] / n[n > 0, None]
+    if len(book) > 1:
+        book = book[np.argsort((book - book.mean(0)) @ np.linalg.svd(book - book.mean(0), full_matrices=False)[2][0], kind="stable")]
     return book
 
 
-def _nearest(half: np.ndarray, book: np.ndarray) -> np.ndarray:
-    return ((book**2).sum(1) - 2 * half @ book.T).argmin(1)
+def _squares(half: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((half**2).sum(1)[:, None] + (book**2).sum(1) - 2 * half @ book.T).clip(0)
 
 
-def slices(book: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes in the order of their main axis, first code of each slice): neighbours share a slice."""
-    if len(book) > 1:
-        book = book[np.argsort((book - book.mean(0)) @ np.linalg.svd(book - book.mean(0), full_matrices=False)[2][0], kind="stable")]
-    number = max(1, min(number, len(book)))
-    return book, np.arange(number) * len(book) // number
+def starts(codes: int, number: int) -> np.ndarray:
+    """First code of each of ``number`` runs of neighbouring codes that are read as one."""
+    number = max(1, min(number, codes))
+    return np.arange(number) * codes // number
 
 
-def bounds(half: np.ndarray, sliced: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(slice of each row, squared lower bound of each row's distance to each slice's region)."""
-    book, starts = sliced
-    distance = ((half**2).sum(1)[:, None] + (book**2).sum(1) - 2 * half @ book.T).clip(0)
+def bounds(half: np.ndarray, book: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run of each row's code, squared lower bound of each row's distance to each run's region)."""
+    distance = _squares(half, book)
     own = distance.argmin(1)
-    apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(-1))
+    apart = np.sqrt(_squares(book, book))
     gap = (distance - distance[np.arange(len(half)), own][:, None]) / np.maximum(2 * apart[own], 1e-6)
     gap[np.arange(len(half)), own] = 0
-    return np.searchsorted(starts, own, "right") - 1, np.minimum.reduceat(gap.clip(0) ** 2, starts, axis=1)
+    return np.searchsorted(first, own, "right") - 1, np.minimum.reduceat(gap.clip(0) ** 2, first, axis=1)
+
+
+def traverse(left: np.ndarray, right: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multi-sequence traversal of each row's grid: (row, left place, right place) by growing sum, up to the limit.
+
+    Each row holds, for every left place in the order of its bounds, the next right place; the least sum is taken and
+    its left place moves on. All rows take a step together.
+    """
+    by_left, by_right = np.argsort(left, axis=1, kind="stable"), np.argsort(right, axis=1, kind="stable")
+    a, b = np.take_along_axis(left, by_left, 1), np.take_along_axis(right, by_right, 1)
+    wide, high = max(1, int((a + b[:, :1] <= limit).sum(1).max(initial=0))), max(1, int((b + a[:, :1] <= limit).sum(1).max(initial=0)))
+    a, b = a[:, :wide], np.concatenate((b[:, :high], np.full((len(b), 1), np.inf)), axis=1)
+    row, place, front = np.arange(len(a)), np.zeros(a.shape, np.int64), a + b[:, :1]
+    rows, xs, ys = [], [], []
+    while len(row):
+        x = front.argmin(1)
+        every = np.arange(len(row))
+        live = front[every, x] <= limit
+        if not live.all():
+            row, place, front, x = row[live], place[live], front[live], x[live]
+            every = np.arange(len(row))
+        y = place[every, x]
+        rows.append(row)
+        xs.append(by_left[row, x])
+        ys.append(by_right[row, y])
+        place[every, x] = y + 1
+        front[every, x] = a[row, x] + b[row, y + 1]
+    row, x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, xs, ys))
+    order = np.argsort(row, kind="stable")
+    return row[order], x[order], y[order]
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -84,6 +122,37 @@ def unit(column: pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+@dataclass
+class Grid:
+    """Codebooks of both halves, main axes (orthonormal columns), and how far traversals go."""
+
+    books: tuple[np.ndarray, np.ndarray]
+    axes: np.ndarray
+    limit: float
+
+    @classmethod
+    def fit(cls, v: np.ndarray, codes: int, cosine: float, recall: float) -> "Grid":
+        h = v.shape[1] // 2
+        books = codebook(v[:, :h], codes), codebook(v[:, h:], codes)
+        axes = np.linalg.svd(v, full_matrices=False)[2][:AXES].T
+        return cls(books, axes, reach(v, books, cosine, recall))
+
+    def visits(self, v: np.ndarray, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(row, cell) of every visit, nearest first; each row's own cell; cells a side of the second half."""
+        h = v.shape[1] // 2
+        first = [starts(len(b), fine) for b in self.books]
+        (a, left), (b, right) = bounds(v[:, :h], self.books[0], first[0]), bounds(v[:, h:], self.books[1], first[1])
+        row, x, y = traverse(left, right, self.limit)
+        width = len(first[1])
+        return row, x * width + y, a * width + b, width
+
+    def places(self, v: np.ndarray) -> np.ndarray:
+        """AXES bytes of each row as longs."""
+        out = np.zeros((len(v), AXES), np.int8)
+        out[:, : self.axes.shape[1]] = np.rint(v @ self.axes * STEPS)
+        return out.view(np.int64)
+
+
 def reach(v: np.ndarray, books: tuple, cosine: float, recall: float) -> float:
     """How far traversals go for the target recall; at 1 no pair is beyond it from both ends."""
     most = 1 - cosine + SLACK
@@ -96,101 +165,204 @@ def reach(v: np.ndarray, books: tuple, cosine: float, recall: float) -> float:
     partner, h = cosine * v + np.sqrt(max(0.0, 1 - cosine**2)) * away, v.shape[1] // 2
     cost = np.zeros(len(v))
     for book, part in zip(books, (slice(0, h), slice(h, None)), strict=True):
-        cost += bounds(v[:, part], book)[1][np.arange(len(v)), bounds(partner[:, part], book)[0]]
+        every = np.arange(len(book))
+        cost += bounds(v[:, part], book, every)[1][np.arange(len(v)), bounds(partner[:, part], book, every)[0]]
     return min(most, float(np.quantile(cost, recall)) + SLACK)
 
 
-def visits(v: np.ndarray, books: tuple, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether it is the row's own) of every cell that the rows' traversals visit, nearest first."""
-    h = v.shape[1] // 2
-    (a, left), (b, right) = bounds(v[:, :h], books[0]), bounds(v[:, h:], books[1])
-    rows, cells, costs = [], [], []
-    k2 = len(books[1][1])
-    i, x = np.nonzero(left <= limit)
-    for s in range(0, len(i), 1 << 14):  # codes of the first half within the bound, each with the second half's
-        total = left[i[s : s + (1 << 14)], x[s : s + (1 << 14)]][:, None] + right[i[s : s + (1 << 14)]]
-        p, y = np.nonzero(total <= limit)
-        rows.append(i[s + p])
-        cells.append(x[s + p] * k2 + y)
-        costs.append(total[p, y])
-    row, cell, cost = (np.concatenate(z) if z else np.zeros(0, int) for z in (rows, cells, costs))
-    order = np.lexsort((cost, row))
-    row, cell = row[order], cell[order]
-    return row, cell, cell == (a * k2 + b)[row]
-
-
-def _index(books, limit: float):
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A list column: values cut at ``at`` (one more than rows)."""
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _index(grids):
+    """(g, node, fine, side, v) to a row for every region that a vector visits."""
+    names = ["g", "region", "node", "own", "home", "cells", "seen", *PLACES]
+
+    def part(g: np.ndarray, node: np.ndarray, fine: int, side: int, v: np.ndarray, grid: Grid | None) -> pa.RecordBatch:
+        n = len(node)
+        if grid is None:
+            row, cell, own, width = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), 1
+            places = np.zeros((n, AXES // 8), np.int64)
+        else:
+            row, cell, own, width = grid.visits(v, fine)
+            places = grid.places(v)
+        height = 1 if grid is None else len(starts(len(grid.books[0]), fine))
+
+        def region(c: np.ndarray) -> np.ndarray:
+            return c // width * min(side, height) // height * side + c % width * min(side, width) // width
+
+        seen = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
+        r = region(cell)
+        order = np.lexsort((r, row))
+        change = np.flatnonzero(np.concatenate(([True], (np.diff(row[order]) != 0) | (np.diff(r[order]) != 0)))) if len(row) else np.zeros(0, np.int64)
+        i, at = row[order][change], r[order][change]
+        home = region(own)[i] == at
+        # only the home copy carries all cells that the vector visits
+        size = np.where(home, np.diff(seen)[i], 0)
+        bound = np.concatenate(([0], np.cumsum(size)))
+        listed = cell[np.arange(bound[-1]) - np.repeat(bound[:-1] - seen[i], size)]
+        columns = [pa.array(g[i]), pa.array(at.astype(np.int32)), pa.array(node[i]), pa.array(own[i].astype(np.int32)), pa.array(home), _lists(cell[order], np.append(change, len(row))), _lists(listed, bound)]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(places[i, k]) for k in range(AXES // 8)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = books.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                row, cell, own = visits(unit(part.column(2)), use, limit)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(1).take(at), pa.array(cell.astype(np.int64)), part.column(0).take(at), part.column(3).take(at), pa.array(own), part.column(2).take(at)], ["label", "cell", "node", "n", "home", "v"])
+            g, node, fine, side = (batch.column(k).to_numpy() for k in range(4))
+            size = batch.column(4).value_lengths().to_numpy()
+            kinds, kind = np.unique(np.stack((size, fine, side), axis=1), axis=0, return_inverse=True)
+            for k, (d, f, s) in enumerate(kinds.tolist()):
+                rows = np.flatnonzero(kind.ravel() == k)
+                for x in range(0, len(rows), 1024):
+                    some = rows[x : x + 1024]
+                    yield part(g[some], node[some], f, s, unit(batch.column(4).take(pa.array(some))), grids.value.get(d))
 
     return run
 
 
-def _compare(books, limit: float, threshold: float):
+PLACES = [f"p{k}" for k in range(AXES // 8)]
+_KEYS = ["g", "region", "r", "c"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block, which come together: those with equal _KEYS, the first columns."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(len(_KEYS))], axis=1)
+        cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != batch.column(k)[0].as_py() for k in range(len(_KEYS))):
+            yield joined()
+            held = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and a:
+                yield joined()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield joined()
+
+
+class _Block:
+    """A block's rows as arrays: homes by cell, and which row visits which cell that has homes."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, names = batch, batch.schema.names
+        self.node, self.own, self.home, self.visits = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("node", "own", "home", "visits"))
+        cells = batch.column(names.index("cells"))
+        size = cells.value_lengths().to_numpy()
+        row, cell = np.repeat(np.arange(len(size)), size), cells.flatten().to_numpy()
+        homes = np.flatnonzero(self.home)
+        self.homes = homes[np.argsort(self.own[homes], kind="stable")]
+        of = self.own[self.homes]
+        use = self.visits[row] & (np.searchsorted(of, cell, "right") > np.searchsorted(of, cell))
+        row, cell = row[use], cell[use]
+        order = np.argsort(cell, kind="stable")
+        self.row, self.cell = row[order], cell[order]
+
+    def cells(self) -> Iterator[tuple[int, np.ndarray, slice]]:
+        """(cell, its homes, the visits to it as a slice of row) of every cell with both."""
+        of = self.own[self.homes]
+        if not len(self.cell):
+            return
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(self.cell) != 0)))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(self.cell)], strict=True):
+            c = self.cell[a]
+            yield int(c), self.homes[np.searchsorted(of, c) : np.searchsorted(of, c, "right")], slice(a, b)
+
+
+def _candidates(cosine: float):
+    """Leaves out rows, and visits of rows, whose places along the main axes are too far from all they would be compared with."""
+    # rounding moves each coordinate by half a step at most; the sums below are whole numbers, exact in single precision
+    most = (np.sqrt(max(0.0, 2 - 2 * cosine)) * STEPS + np.sqrt(AXES) + 1e-3) ** 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(node, n, home, v):
-            h, o = np.flatnonzero(home), np.flatnonzero(~home)
-            count, back = np.zeros(len(o), np.int64), np.zeros(len(h), np.int64)
-            half = v.shape[1] // 2
-            first, second = bounds(v[:, :half], use[0]), bounds(v[:, half:], use[1])
-
-            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                return v[at[i]] @ v[at[j]].T >= threshold
-
-            # nodes of a group by place: the same node may stand on both sides
-            ids, place = np.unique(node, return_inverse=True)
-            at = np.zeros(len(ids), np.int64)
-            at[place] = np.arange(len(node))
-            for k in range(0, len(o), 512):
-                linked = v[o[k : k + 512]] @ v[h].T >= threshold
-                linked &= node[o[k : k + 512]][:, None] != node[h][None, :]
-                count[k : k + 512] = linked @ n[h]
-                i, j = np.nonzero(linked)
-                i, j = o[k + i], j
-                blind = first[1][h[j], first[0][i]] + second[1][h[j], second[0][i]] > limit  # the home doesn't visit its visitor's cell
-                np.add.at(back, j[blind], n[i[blind]])
-            u, w = forest(place[h], place[o], near)
-            all_nodes, all_counts = np.concatenate((node[o], node[h])), np.concatenate((count, back))
-            keep = all_counts > 0
-            return [
-                np.concatenate((all_nodes[keep], ids[u])), np.concatenate((all_counts[keep], np.zeros(len(u), np.int64))), np.concatenate((np.full(keep.sum(), -1), ids[w]))
-            ]
-
-        use = books.value
-
-        for label, cell, r, c, node, n, home, flat in _vectors(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in result(node, n, home, flat)], ["node", "links", "other"])
+        for batch in _groups(batches):
+            block, names = _Block(batch), batch.schema.names
+            place = np.ascontiguousarray(np.stack([batch.column(names.index(p)).to_numpy() for p in PLACES], axis=1)).view(np.int8).astype(np.float32)
+            norm = (place * place).sum(1)
+            wanted, visit = np.zeros(batch.num_rows, bool), np.zeros(len(block.row), bool)
+            for _, h, span in block.cells():
+                o = block.row[span]
+                tile = max(1, (1 << 21) // len(h))
+                for k in range(0, len(o), tile):
+                    i = o[k : k + tile]
+                    near = norm[i][:, None] + norm[h] - 2 * (place[i] @ place[h].T) <= most
+                    near &= block.node[i][:, None] != block.node[h]
+                    visit[span.start + k : span.start + k + len(i)] = near.any(1)
+                    wanted[h] |= near.any(0)
+            row, cell = block.row[visit], block.cell[visit]
+            some = wanted.copy()
+            some[row] = True
+            keep = np.flatnonzero(some)
+            order = np.argsort(row, kind="stable")
+            size = np.bincount(row, minlength=batch.num_rows)[keep]
+            kept = batch.take(pa.array(keep))
+            columns = {c: kept.column(names.index(c)) for c in (*_KEYS, "node", "own", "seen")} | {
+                "home": pa.array(wanted[keep]), "visits": pa.array(size > 0), "cells": _lists(cell[order], np.concatenate(([0], np.cumsum(size)))),
+            }
+            yield pa.RecordBatch.from_arrays([columns[c] for c in _KEPT], list(_KEPT))
 
     return run
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Groups of rows with equal label, cell and block, the last column as a matrix of unit vectors."""
-
-    def rows() -> Iterator:
-        for batch in batches:
-            yield _Columns([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [unit(batch.column(batch.num_columns - 1))]) if batch.num_rows else _Columns([np.zeros(0)])
-
-    return groups(rows(), 4)
-
-
-class _Column:
-    def __init__(self, values: np.ndarray):
-        self.values = values
-
-    def to_numpy(self, zero_copy_only: bool = False) -> np.ndarray:
-        return self.values
+_KEPT = {"g": "bigint", "region": "int", "r": "int", "c": "int", "node": "bigint", "own": "int", "home": "boolean", "visits": "boolean", "cells": "array<int>", "seen": "array<int>"}
+
+
+def linked(v: np.ndarray, narrow: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows i are linked with which rows j. Cosines too near to the threshold for single precision are summed in one fixed order, the same from both ends."""
+    s = narrow[i] @ narrow[j].T
+    slack = np.float32(max(1e-6, 4 * v.shape[1] * 6e-8))
+    out = s >= cosine + slack
+    a, b = np.nonzero(~out & (s >= cosine - slack))
+    for k in range(0, len(a), 1 << 15):
+        x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+        out[x, y] = (v[i[x]] * v[j[y]]).sum(1) >= cosine
+    return out
+
+
+def _verify(cosine: float):
+    def result(batch: pa.RecordBatch) -> list[np.ndarray]:
+        block, names = _Block(batch), batch.schema.names
+        n, v = batch.column(names.index("n")).to_numpy().astype(np.float64), unit(batch.column(names.index("v")))
+        narrow = v.astype(np.float32)
+        seen = batch.column(names.index("seen"))
+        at, seen = np.concatenate(([0], np.cumsum(seen.value_lengths().to_numpy()))), seen.flatten().to_numpy()
+        count = np.zeros(len(n))
+        us, ws = [], []
+        for _, h, span in block.cells():
+            o = block.row[span]
+            # which homes visit the cells of their visitors, and so count the pair themselves
+            cells, cell_of = np.unique(block.own[o], return_inverse=True)
+            sees = np.zeros((len(h), len(cells)), bool)
+            for k, x in enumerate(h.tolist()):
+                sees[k] = np.isin(cells, seen[at[x] : at[x + 1]])
+            place = {x: k for k, x in enumerate(h.tolist())}
+
+            def near(i: np.ndarray, j: np.ndarray, sees=sees, place=place, cell_of=cell_of) -> np.ndarray:
+                link = linked(v, narrow, i, j, cosine)
+                link &= block.node[i][:, None] != block.node[j]
+                count[j] += n[i] @ link
+                count[i] += (link & ~sees[[place[x] for x in i.tolist()]][:, cell_of]) @ n[j]
+                return link
+
+            u, w = forest(h, o, near)
+            us.append(u)
+            ws.append(w)
+        keep = np.flatnonzero(count > 0)
+        u, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, ws))
+        none = np.zeros(len(u), np.int64)
+        return [np.concatenate((block.node[keep], block.node[u])), np.concatenate((count[keep].astype(np.int64), none)), np.concatenate((np.full(len(keep), -1), block.node[w]))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in result(batch)], ["node", "links", "other"])
 
-class _Columns:
-    def __init__(self, columns: list[np.ndarray]):
-        self.columns = [_Column(c) for c in columns]
+    return run
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, recall: float = RECALL, codes: int = CODES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
@@ -207,27 +379,21 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     # zeros of either sign are one value
     rows = v.select("vec_id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("v", lambda x: x + F.lit(0.0).cast(number))).alias("v"))
-    rows = rows.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v"), "usable": F.col("v").isNotNull()})
-    rows = cut(rows, "vectors")
+    rows = cut(rows.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v"), "usable": F.col("v").isNotNull()}), "vectors")
     keyed = ["label", "a", "b"]
     classes = rows.filter("usable").groupBy(*keyed).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    classes = cut(classes.withColumn("node", F.xxhash64("label", "a", "b")), "vector-classes")
-    found = []
-    largest = classes.groupBy(F.size("v").alias("size"), "label").count().groupBy("size").agg(F.max("count").alias("most"))
-    for size, most in largest.orderBy("size").toLocalIterator():  # lengths: one, as a rule
-        same = classes.filter(F.size("v") == size)
-        chosen = same.orderBy(F.xxhash64("node", F.lit("sample")), "node").limit(sample).select("v").toPandas()["v"]
-        fit = unit(pa.array(chosen.tolist(), pa.list_(pa.float64())))
-        side = math.ceil(math.sqrt(most / HOMES))
-        books = slices(codebook(fit[:, : size // 2], codes), side), slices(codebook(fit[:, size // 2 :], codes), side)
-        found.append(_links(same, spark.sparkContext.broadcast(books), number, reach(fit, books, cosine, recall), cosine, block))
-    pairs = found[0] if found else spark.createDataFrame([], "node bigint, links bigint, other bigint")
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = cut(pairs, "links")
-    linked = components(pairs.filter("other <> -1 and links = 0").select(F.col("node").alias("u"), F.col("other").alias("v"))).select("node", "root")
+    classes = cut(classes.withColumns({"node": F.monotonically_increasing_id(), "size": F.size("v")}), "vector-classes")
+    labels = classes.groupBy("size", "label").agg(F.count(F.lit(1)).alias("count"))
+    labels = cut(labels.select("*", F.monotonically_increasing_id().alias("g"), F.ceil(F.sqrt(F.col("count") / HOMES)).cast("int").alias("fine"), F.ceil(F.sqrt(F.col("count") / REGION)).cast("int").alias("side")), "labels")
+    grids = {}
+    for size, most in labels.groupBy("size").agg(F.max("fine").alias("most"), F.sum("count").alias("all")).orderBy(F.desc("all")).limit(LENGTHS).select("size", "most").collect():
+        wanted = min(codes, most)
+        chosen = classes.filter(F.col("size") == size).orderBy(F.xxhash64("a", F.lit("sample")), "node").limit(max(sample, PER_CODE * wanted)).select("v").toPandas()["v"]
+        grids[size] = Grid.fit(unit(pa.array(chosen.tolist(), pa.list_(pa.float64()))), wanted, cosine, recall)
+    pairs = cut(_links(classes, labels, spark.sparkContext.broadcast(grids), number, cosine, block), "links")  # some MB at CODES codes
+    together = components(pairs.filter("other <> -1").select(F.col("node").alias("u"), F.col("other").alias("v"))).select("node", "root")
     counts = pairs.filter("links > 0").groupBy("node").agg(F.sum("links").alias("others"))
-    full = classes.drop("v").join(counts, "node", "left").join(linked, "node", "left")
+    full = classes.drop("v").join(counts, "node", "left").join(together, "node", "left")
     full = full.select(*keyed, F.coalesce("root", "node").alias("root"), "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     roots = full.groupBy("root").agg(F.min("least").alias("component"))
     named = cut(full.join(roots, "root").select(F.col("label").alias("l"), F.col("a").alias("x"), F.col("b").alias("y"), "n_links", "component"), "named")
@@ -238,19 +404,23 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, books, number: str, limit: float, cosine: float, block: int) -> DataFrame:
-    """(node, links, other): linked rows of a node by group, with other -1; and edges that connect what is linked, with links 0."""
-    schema = f"label string, cell bigint, node bigint, n bigint, home boolean, v array<{number}>"
-    copies = classes.select("node", "label", "v", "n").mapInArrow(tidy(_index(books, limit)), schema)
-    size = copies.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h")).filter(F.col("m") > block)
-    hot = size.select(F.col("label").alias("hl"), F.col("cell").alias("hc"), F.ceil(F.col("m") / block).cast("int").alias("cols"), F.ceil(F.greatest("h", F.lit(1)) / block).cast("int").alias("rows"))
-    dealt = copies.join(hot, (F.col("label") == F.col("hl")) & (F.col("cell") == F.col("hc")), "left")
+def _links(classes: DataFrame, labels: DataFrame, grids, number: str, cosine: float, block: int) -> DataFrame:
+    """(node, links, other): linked rows of a node by block, with other -1; and edges that connect what is linked, with links 0."""
+    placed = classes.join(labels.select(F.col("label").alias("l"), F.col("size").alias("s"), "g", "fine", "side"), (F.col("label") == F.col("l")) & (F.col("size") == F.col("s")))
+    longs = ", ".join(f"{p} bigint" for p in PLACES)
+    schema = f"g bigint, region int, node bigint, own int, home boolean, cells array<int>, seen array<int>, {longs}"
+    copies = cut(placed.select("g", "node", "fine", "side", "v").mapInArrow(tidy(_index(grids)), schema), "visits")
+    size = copies.groupBy("g", "region").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h")).filter(F.col("m") > block)
+    hot = size.select(F.col("g").alias("hg"), F.col("region").alias("hr"), F.ceil(F.col("m") / block).cast("int").alias("cols"), F.ceil(F.greatest("h", F.lit(1)) / block).cast("int").alias("rows"))
+    dealt = copies.join(hot, (F.col("g") == F.col("hg")) & (F.col("region") == F.col("hr")), "left")
     rows, cols, mix = F.coalesce("rows", F.lit(1)), F.coalesce("cols", F.lit(1)), F.xxhash64("node")
     own_row, own_col = F.pmod(mix, rows).cast("int"), F.pmod(mix, cols).cast("int")
-    # a home meets every block of visitors, and is a visitor of its own cell as well
-    as_home = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), cols - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c"), F.lit(True).alias("home")))).otherwise(F.array())
-    as_other = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), F.lit(False).alias("home")))
-    placed = dealt.select(F.xxhash64("label").alias("lk"), "cell", "node", "n", "v", F.explode(F.concat(as_home, as_other)).alias("p"))
-    placed = placed.select("lk", "cell", "p.r", "p.c", "node", "n", "p.home", "v")
-    parts = placed.repartition("lk", "cell", "r", "c").sortWithinPartitions("lk", "cell", "r", "c")
-    return parts.mapInArrow(tidy(_compare(books, limit, cosine)), "node bigint, links bigint, other bigint")
+    # a home meets every block of visitors, a visitor every block of homes
+    along = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), cols - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c")))).otherwise(F.array())
+    down = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c")))
+    spread = dealt.select("*", own_row.alias("i"), own_col.alias("j"), F.explode(F.array_distinct(F.concat(along, down))).alias("p"))
+    home = F.col("home") & (F.col("p.r") == F.col("i"))
+    spread = spread.select("g", "region", "p.r", "p.c", "node", "own", home.alias("home"), (F.col("p.c") == F.col("j")).alias("visits"), "cells", F.when(home, F.col("seen")).otherwise(F.array().cast("array<int>")).alias("seen"), *PLACES)
+    found = spread.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(tidy(_candidates(cosine)), ", ".join(f"{c} {t}" for c, t in _KEPT.items()))
+    full = found.join(classes.select(F.col("node").alias("id"), "n", "v"), F.col("node") == F.col("id")).select(*_KEPT, "n", "v")
+    return full.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(tidy(_verify(cosine)), "node bigint, links bigint, other bigint")

@@ -147,6 +147,49 @@ def test_embeddings_along_few_axes(spark, axes, monkeypatch):
     assert [got[k] for k in range(len(v))] == want.tolist() and want.sum() > 10_000
 
 
+def test_traversal():
+    """Cells come by growing sum of their bounds, all up to the limit and none beyond."""
+    rng = np.random.default_rng(4)
+    left, right = rng.random((50, 9)) ** 3, rng.random((50, 7)) ** 3
+    left[:, 2] = right[:, 3] = 0
+    left[0, 4] = left[0, 5]
+    row, x, y = multiindex.traverse(left, right, 0.3)
+    cost = left[row, x] + right[row, y]
+    assert (np.diff(cost)[np.diff(row) == 0] >= 0).all() and (np.diff(row) >= 0).all()
+    want = {(i, a, b) for i in range(50) for a in range(9) for b in range(7) if left[i, a] + right[i, b] <= 0.3}
+    assert len(row) == len(want) and set(zip(row.tolist(), x.tolist(), y.tolist(), strict=True)) == want
+
+
+def test_grid_misses_no_pair():
+    """Of two vectors at the threshold or nearer, one visits the other's cell, and their places are near."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 24))
+    v[1000:2000] = v[:1000] + rng.normal(size=(1000, 24)) * 0.18
+    v[2000:] = v[:1000] + np.eye(24)[rng.integers(0, 24, 1000)] * rng.normal(size=(1000, 1))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    grid = multiindex.Grid.fit(v[:1500], 40, 0.98, 1.0)
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.98, 1))
+    assert len(i) > 500
+    for fine in (1, 7, 40):
+        row, cell, own, _ = grid.visits(v, fine)
+        seen = set(zip(row.tolist(), cell.tolist(), strict=True))
+        assert all((a, own[b]) in seen or (b, own[a]) in seen for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    place = grid.places(v).view(np.int8).astype(float)
+    assert np.linalg.norm(place[i] - place[j], axis=1).max() <= np.sqrt(0.04) * multiindex.STEPS + np.sqrt(multiindex.AXES)
+
+
+@pytest.mark.parametrize("region,block", [(40, 1 << 17), (200, 60)])
+def test_embeddings_over_regions(spark, monkeypatch, region, block):
+    """Many regions a label and several blocks a region: the same links, counted from both ends, as the definition gives."""
+    monkeypatch.setattr(multiindex, "REGION", region)
+    monkeypatch.setattr(multiindex, "HOMES", 4)
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(60, 32))
+    rows = [(k, (centre[k % 60] + rng.normal(size=32) * rng.choice([0.02, 0.1, 0.14, 0.5])).astype(np.float32).tolist(), k % 2) for k in range(1500)]
+    got = sorted(map(tuple, multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=block).collect()))
+    assert got == brute_vectors(rows) and sum(r[1] for r in got) > 5000
+
+
 def test_line_dedup_oracle(spark, documents):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
