@@ -5,8 +5,9 @@ bytes of consecutive documents within a task. Its index covers the maximal runs
 that are long enough to hold its shortest window; no window can occur elsewhere. Windows are searched backward through
 wavelet-tree ranks, occurrences located by sampled suffixes, checked word by word, and merged to spans.
 
-The benchmark is cut into blocks of at most BLOCK_BYTES. Each block is broadcast; with more than one, the documents pass
-the blocks one after another through tables in the shared folder, and the spans add up.
+The benchmark is cut into blocks of at most BLOCK_BYTES. A block's windows are laid out once, on the driver, as arrays
+of some three bytes a byte of text, and broadcast. With several blocks the documents are written once, numbered; a pass
+a block reads them and writes nothing but hits, which meet the documents in one join before the last block's pass.
 """
 
 from collections.abc import Iterator
@@ -22,39 +23,90 @@ from tessera.llm.storage import arrow_batches, cut, fresh
 from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast, and of documents in one shard.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+#: Bytes of benchmark text in one broadcast, of those laid out at once, and of documents in one shard.
+BLOCK_BYTES, STEP_BYTES, SHARD_BYTES = 16 << 20, 1 << 20, 8 << 20
+#: Windows that are searched at once.
+SEARCHED = 1 << 16
 FOUND = ("found_text", "found_words", "found_spans", "found_items")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 class Windows:
-    """The distinct windows of a block of items, over numbered words (from 1)."""
+    """The distinct windows of a block of items, over numbered words (from 1), as arrays."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        number: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            raw, offsets = string_bytes(pa.array([text or ""], pa.large_string()))
-            starts, ends, _ = word_spans(raw, offsets)
-            whole = raw.tobytes().translate(_LOWER)
-            ids = [number.setdefault(whole[a:b], len(number) + 1) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                seen.setdefault(tuple(ids[k : k + window]), set()).add(str(item))
-        self.words = [b"", *number]
-        self.items = [sorted(x) for x in seen.values()]
-        self.length = np.fromiter(map(len, seen), np.int64, len(seen))
-        self.pattern = np.zeros((len(seen), window), np.int64)
-        for k, w in enumerate(seen):
-            self.pattern[k, : len(w)] = w
-        self.shortest = int(self.length.min(initial=window))
-        known = pa.array([w.decode("utf-8", "replace") for w in number], pa.large_string())
-        raw, offsets = string_bytes(known)
-        h = hashes(raw, offsets[:-1], offsets[1:])
-        order = np.argsort(h)
-        self.hash, self.number = h[order], np.arange(1, len(h) + 1)[order]
+        named = [(str(item), text) for item, text in items if text]
+        self.items = sorted({name for name, _ in named})
+        place = {name: k for k, name in enumerate(self.items)}
+        owner = np.array([place[name] for name, _ in named], np.int32)
+        found, counts, spelt = [], [], {}
+        for texts in _steps([t for _, t in named]):
+            raw, offsets = string_bytes(pa.array(texts, pa.large_string()))
+            starts, ends, first = word_spans(raw, offsets)
+            h = hashes(raw, starts, ends)
+            found.append(h)
+            counts.append(np.diff(first))
+            new, at = np.unique(h, return_index=True)
+            for x, k in zip(new.tolist(), at.tolist(), strict=True):
+                if x not in spelt:
+                    spelt[x] = raw[starts[k] : ends[k]].tobytes().translate(_LOWER)
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.hash = np.unique(every)
+        self.ids = (np.searchsorted(self.hash, every) + 1).astype(np.int32)  # the items' words, one item behind the other
+        words = [spelt[x] for x in self.hash.tolist()]
+        self.bytes, self.ends = b"".join(words), np.cumsum([0, *map(len, words)]).astype(np.int32)
+        self._distinct(n, owner, window)
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(h >> np.uint64(44)).astype(np.int64)] = True
+        self.filter[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+
+    def _distinct(self, n: np.ndarray, owner: np.ndarray, window: int) -> None:
+        """start, length: where in ids each distinct window stands. item_at, item: the items of each."""
+        self.window = window
+        many = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        begin = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(n)), many)
+        start = begin[of] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(n[of], window)
+        marks = [length.astype(np.uint64) for _ in range(2)]
+        for k in range(window):
+            inside = k < length
+            word = self.ids[np.where(inside, start + k, 0)].astype(np.uint64) * inside if len(self.ids) else np.zeros(0, np.uint64)
+            for m, odd in zip(marks, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), strict=True):
+                m += word
+                m *= np.uint64(odd)
+                m ^= m >> np.uint64(32)
+        order = np.lexsort((owner[of], *marks))
+        start, length, who = start[order], length[order], owner[of][order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (marks[0][order][1:] != marks[0][order][:-1]) | (marks[1][order][1:] != marks[1][order][:-1])
+        for k in range(window):  # equal marks are equal windows
+            same = ~fresh & (k < length)
+            at = np.flatnonzero(same)
+            if (self.ids[start[at] + k] != self.ids[start[at - 1] + k]).any() or (length[at] != length[at - 1]).any():
+                raise ArithmeticError("two windows share a 128-bit mark")
+        self.start, self.length = start[fresh].astype(np.int32), length[fresh].astype(np.int8)
+        twice = np.zeros(len(order), bool)
+        twice[1:] = ~fresh[1:] & (who[1:] == who[:-1])
+        group = np.cumsum(fresh)[~twice] - 1
+        self.item = who[~twice]
+        self.item_at = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(self.start))))).astype(np.int32)
+        self.shortest = int(self.length.min(initial=window))
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def words(self, some: slice) -> np.ndarray:
+        """Word numbers of some windows, shorter ones filled up on the right."""
+        at = np.minimum(self.start[some, None].astype(np.int64) + np.arange(self.window), len(self.ids) - 1)
+        return np.where(np.arange(self.window) < self.length[some, None], self.ids[at], 0)
+
+    def word(self, number: int) -> bytes:
+        return self.bytes[self.ends[number - 1] : self.ends[number]]
+
+    def names(self, k: int) -> list[str]:
+        """The items of a window."""
+        return [self.items[x] for x in self.item[self.item_at[k] : self.item_at[k + 1]].tolist()]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The number of each word by its hash, 0 for a word that no item has. Hits are checked later by their bytes."""
@@ -63,10 +115,23 @@ class Windows:
         if len(maybe) and len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, h[maybe]), len(self.hash) - 1)
             same = self.hash[at] == h[maybe]
-            out[maybe[same]] = self.number[at[same]]
+            out[maybe[same]] = at[same] + 1
         return out
 
 
+def _steps(texts: list[str]) -> Iterator[list[str]]:
+    """The texts, some at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > STEP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _runs(known: np.ndarray, first: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (excluded) of the runs of known words within a text that have at least ``shortest`` words."""
     inside = np.zeros(len(known) + 2, bool)
@@ -94,7 +159,7 @@ class Shard:
         raw, offsets = string_bytes(texts)
         starts, ends, first = word_spans(raw, offsets)
         self.n_words.append(np.diff(first))
-        number = self.windows.numbers(hashes(raw, starts, ends)) if len(self.windows.items) else np.zeros(len(starts), np.int64)
+        number = self.windows.numbers(hashes(raw, starts, ends)) if len(self.windows) else np.zeros(len(starts), np.int64)
         a, b = _runs(number > 0, first, self.windows.shortest)
         if len(a):
             size = b - a + 1  # a terminator ends each run
@@ -125,22 +190,25 @@ class Shard:
             return spans, items
         symbols, owner = np.concatenate(self.symbols), np.concatenate(self.owner)
         index, w = FMIndex(symbols), self.windows
-        low, high = index.ranges(w.pattern, w.length)
-        count = high - low
-        which = np.repeat(np.arange(len(count)), count)
+        which, rows = [], []
+        for k in range(0, len(w), SEARCHED):
+            low, high = index.ranges(w.words(slice(k, k + SEARCHED)), w.length[k : k + SEARCHED])
+            count = high - low
+            which.append(np.repeat(np.arange(k, k + len(count)), count))
+            rows.append(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count))
+        which, rows = np.concatenate(which), np.concatenate(rows)
         if not len(which):
             return spans, items
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         at = index.locate(rows)
         # words are numbered by hash: each word of a hit is compared once
-        length = w.length[which]
+        length = w.length[which].astype(np.int64)
         covered = np.zeros(len(symbols) + 1, np.int64)
         np.add.at(covered, at, 1)
         np.add.at(covered, at + length, -1)
         wrong = np.zeros(len(symbols), bool)
         for p in np.flatnonzero(np.cumsum(covered)[:-1] > 0).tolist():
             row, _, a, b = owner[p].tolist()
-            wrong[p] = self.word(row, a, b) != w.words[symbols[p]]
+            wrong[p] = self.word(row, a, b) != w.word(int(symbols[p]))
         if wrong.any():
             bad = np.concatenate(([0], np.cumsum(wrong)))
             fine = bad[at + length] == bad[at]
@@ -148,7 +216,7 @@ class Shard:
         head, tail = owner[at], owner[at + length - 1]
         for row, a, b, c, d, k in zip(head[:, 0].tolist(), head[:, 1].tolist(), (tail[:, 1] + 1).tolist(), head[:, 2].tolist(), tail[:, 3].tolist(), which.tolist(), strict=True):
             spans[row].append((a, b, c, d))
-            items[row].update(w.items[k])
+            items[row].update(w.names(k))
         return spans, items
 
 
@@ -172,9 +240,9 @@ def without(text: str, cuts: list[int]) -> str:
     return (b"".join(parts) + raw[done:]).decode()
 
 
-def _search(block, window: int, clean: bool):
+def _search(block, clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(block.value, window)
+        windows = block.value
 
         def flush(shard: Shard, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans, items = shard.hits()
@@ -225,20 +293,29 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """
     arrow_batches(docs.sparkSession)
     spark, kept = docs.sparkSession, docs.columns if keep is None else keep
-    t, w, s, i = fresh(docs.select(*kept), *FOUND)
-    state = docs.select(
-        *kept, docs[text].cast("string").alias(t), F.lit(0).cast("bigint").alias(w), F.array().cast("array<bigint>").alias(s), F.array().cast("array<string>").alias(i)
-    )
+    t, w, s, i, at, row = fresh(docs.select(*kept), *FOUND, "place", "row")
+    nothing = [F.lit(0).cast("bigint").alias(w), F.array().cast("array<bigint>").alias(s), F.array().cast("array<string>").alias(i)]
     items = benchmark.select(benchmark[item].cast("string").alias("item"), benchmark[item_text].cast("string").alias("t")).filter("item is not null and t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    for k in range(blocks):
+
+    def search(state: DataFrame, k: int, cuts: bool) -> DataFrame:
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast([(r.item, r.t) for r in part.toLocalIterator()])  # at most about BLOCK_BYTES
-        state = state.mapInArrow(tidy(_search(held, window, clean and k + 1 == blocks)), state.schema)
-        if k + 1 < blocks:
-            state = cut(state, "hits")
-    return state
+        held = spark.sparkContext.broadcast(Windows([(r.item, r.t) for r in part.toLocalIterator()], window))  # of about BLOCK_BYTES of text at most
+        return state.mapInArrow(tidy(_search(held, cuts)), state.schema)
+
+    state = docs.select(*kept, docs[text].cast("string").alias(t), *nothing)
+    if blocks > 1:
+        numbered = cut(state.withColumn(at, F.monotonically_increasing_id()), "numbered")
+        plain = numbered.select(at, t, w, s, i)
+        hits = [cut(search(plain, k, False).filter(F.size(s) > 0).select(at, s, i), "hits") for k in range(blocks - 1)]
+        found = hits[0]
+        for more in hits[1:]:
+            found = found.union(more)
+        found = found.groupBy(F.col(at).alias(row)).agg(F.flatten(F.collect_list(s)).alias("s"), F.array_distinct(F.flatten(F.collect_list(i))).alias("i"))
+        joined = numbered.join(found, F.col(at) == F.col(row), "left")
+        state = joined.select(*(numbered[c] for c in [*kept, t, w]), F.coalesce(found["s"], numbered[s]).alias(s), F.coalesce(found["i"], numbered[i]).alias(i))
+    return search(state, blocks - 1, clean)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:

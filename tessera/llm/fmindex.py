@@ -100,6 +100,9 @@ class FMIndex:
             low[live[~known]] = high[live[~known]] = 0
             live, symbol = live[known], symbol[known]
             base = self.first[symbol]
+            if k == patterns.shape[1] - 1 and (k + 1 == length).all():  # the whole index: all suffixes that start with the symbol
+                low[live], high[live] = base, self.first[symbol + 1]
+                continue
             low[live], high[live] = base + self.transform.rank(symbol, low[live]), base + self.transform.rank(symbol, high[live])
         return low, np.maximum(low, high)
 

@@ -1,13 +1,16 @@
 """Operators on single texts against brute force, and sharding."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from tessera.llm import decontaminate, fmindex, pieces, sharding
@@ -86,6 +89,24 @@ def test_decontamination(spark, documents, odd, monkeypatch):
     assert sorted(map(tuple, decontaminate.report(documents, bench).collect()), key=str) == want
 
 
+def test_many_windows_stay_small():
+    """A block of 8 MB is held in arrays of a few bytes a byte of text, which is what goes to the workers."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k:x}" for k in range(60_000)])
+    items = [(k, " ".join(words[rng.integers(0, len(words), 400)])) for k in range(3400)]
+    size = sum(len(t) for _, t in items)
+    assert size > 7 << 20
+    block = decontaminate.Windows(items)
+    assert len(block) > 1_300_000 and len(pickle.dumps(block)) < 6 * size
+    tracemalloc.start()
+    shard = decontaminate.Shard(block)
+    shard.add(pa.array([items[7][1] + " other words " + items[9][1][:200]], pa.large_string()))
+    spans, found = shard.hits()
+    assert found == [{"7", "9"}] and decontaminate.merge(spans[0])[0][:2] == (0, 400)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_decontamination_cases(spark, odd):
     items = [(1, "b c"), (1, "b c"), (2, None), (3, "  "), (4, "Three FOUR"), (5, "e f"), (None, "a"), (6, "word " * 12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
