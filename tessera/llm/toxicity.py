@@ -1,12 +1,11 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words (runs of 0-9, letters and characters from U+0080, A-Z in lower case) enter with two vectors: one of the
-word itself, if the training words have it, and the mean of its character n-grams' (three and four bytes, with marks at
-both ends). Two numbers go with them: how far the word's share of toxic training documents is from that of all, in
-standard deviations, and the highest such number of its n-grams. While training, these come from the other folds of the
-sample, so that a document never vouches for itself. Windows of WINDOW words start every STRIDE words, the last ends with the text, so every word is scored, most
-in two windows. Each window is read in both directions; attention weighs the states; a text's score is its highest
-window's. In training the highest window carries the text's label.
+A text's words (runs of 0-9, letters and characters from U+0080, A-Z in lower case) enter with two learned vectors: one
+of the word itself, if enough training texts have it, and the mean of its character n-grams' (three and four bytes, with
+marks at both ends). Labels reach the network through its loss alone. In training each word loses either vector now and
+then, so that neither leans on the other. Windows of WINDOW words start every STRIDE words, the last ends with the text,
+so every word is scored, most in two windows. Each window is read in both directions; attention weighs the states; a
+text's score is its highest window's. In training the highest window carries the text's label.
 """
 
 from collections.abc import Iterator
@@ -23,14 +22,13 @@ from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW, STRIDE = 64, 48
 #: Sizes of the word, n-gram and state vectors (states per direction) and of the attention.
-WORD, GRAM, STATE, ATTEND = 8, 8, 8, 8
-PRIORS = 2
-#: Folds of the sample between which priors are exchanged; deviations that make the value 1, and its bounds.
-CROSS, DEVIATIONS, PRIOR_BOUNDS = 4, 5.0, (-1.0, 2.0)
+WORD, GRAM, STATE, ATTEND = 12, 12, 12, 12
 #: Bound of the training sample: documents of each label. Words and n-grams of at least RARE of them have vectors.
-PER_LABEL, RARE, MOST_WORDS, MOST_GRAMS = 1000, 2, 20_000, 30_000
+PER_LABEL, RARE, MOST_WORDS, MOST_GRAMS = 1000, 3, 20_000, 30_000
 EPOCHS, BATCH, RATE, DECAY = 4, 32, 0.01, 1e-4
-#: The reduced passes for few documents end no sooner than this number of steps.
+#: Chance that a word's vector, and that its n-grams' mean, is left out of a training step.
+LEFT_OUT = 0.2
+#: The passes for few documents end no sooner than this number of steps.
 STEPS = 250
 #: Bytes of text whose words are looked up at once, and windows that are scored at once.
 STEP_BYTES, STEP_WINDOWS = 1 << 19, 1024
@@ -108,7 +106,6 @@ class Network:
     words: np.ndarray
     grams: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
-    priors: tuple[np.ndarray, np.ndarray] = ()
 
     @classmethod
     def new(cls, words: np.ndarray, grams: np.ndarray, seed: int = 3) -> "Network":
@@ -117,25 +114,22 @@ class Network:
         net = cls(words, grams, {"E": some(len(words) + 1, WORD), "G": some(len(grams) + 1, GRAM)})
         net.p["E"][-1] = net.p["G"][-1] = 0
         for d in ("f", "b"):
-            net.p |= {f"Wx{d}": some(WORD + GRAM + PRIORS, 3 * STATE, scale=0.4), f"Wh{d}": some(STATE, 3 * STATE, scale=0.3), f"bx{d}": np.zeros(3 * STATE, np.float32)}
+            net.p |= {f"Wx{d}": some(WORD + GRAM, 3 * STATE, scale=0.4), f"Wh{d}": some(STATE, 3 * STATE, scale=0.3), f"bx{d}": np.zeros(3 * STATE, np.float32)}
         net.p |= {"A": some(2 * STATE, ATTEND, scale=0.4), "a": some(ATTEND, scale=0.4), "v": some(2 * STATE, scale=0.4), "c": np.zeros(1, np.float32)}
-        net.priors = np.zeros(len(words) + 1, np.float32), np.zeros(len(grams) + 1, np.float32)
         return net
 
-    def inputs(self, w: Words, priors: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
+    def inputs(self, w: Words, drop: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
         """A vector per distinct word, and one of zeros at the end for places beyond a text's end."""
-        e = _lookup(self.words, w.word)
-        g = _lookup(self.grams, w.gram)
-        n = np.bincount(w.owner, minlength=len(w.word)).astype(np.float32)
-        of_word, of_gram = priors or self.priors
-        mean, most = np.zeros((len(w.word), GRAM), np.float32), np.zeros(len(w.word), np.float32)
+        e, g = _lookup(self.words, w.word), _lookup(self.grams, w.gram)
+        n = np.maximum(np.bincount(w.owner, minlength=len(w.word)), 1).astype(np.float32)
+        kept = np.ones((2, len(w.word)), np.float32) if drop is None else (drop.random((2, len(w.word))) >= LEFT_OUT).astype(np.float32)
+        mean = np.zeros((len(w.word), GRAM), np.float32)
         if len(g):
             heads = np.flatnonzero(np.concatenate(([True], w.owner[1:] != w.owner[:-1])))
             mean[w.owner[heads]] = np.add.reduceat(self.p["G"][g], heads, axis=0)
-            most[w.owner[heads]] = np.maximum.reduceat(of_gram[g], heads)
-        mean /= np.maximum(n, 1)[:, None]
-        x = np.concatenate((self.p["E"][e], mean, of_word[e][:, None], most[:, None]), axis=1)
-        return np.concatenate((x, np.zeros((1, x.shape[1]), np.float32))), (e, g, n)
+        scale = kept[1] / n
+        x = np.concatenate((self.p["E"][e] * kept[0][:, None], mean * scale[:, None]), axis=1)
+        return np.concatenate((x, np.zeros((1, x.shape[1]), np.float32))), (e, g, kept[0], scale)
 
     def _scan(self, d: str, x: np.ndarray, idx: np.ndarray, mask: np.ndarray | None, keep: bool):
         """States of one direction: steps x windows x STATE."""
@@ -245,18 +239,6 @@ def _common(values: list[np.ndarray], least: int, most: int) -> np.ndarray:
     return np.sort(v[np.lexsort((v, -n))[:most]])
 
 
-def _priors(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Per row number (of size, and a last one that stays 0) how far its texts' share of label 1 is from the whole's."""
-    n, ones = np.zeros(size + 1), np.zeros(size + 1)
-    for at, y in zip(rows, labels.tolist(), strict=True):
-        n[at] += 1
-        ones[at] += y
-    share = min(max(float(labels.mean()), 0.01), 0.99) if len(labels) else 0.5
-    far = (ones - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share)) / DEVIATIONS
-    far[-1] = 0
-    return np.clip(far, *PRIOR_BOUNDS).astype(np.float32)
-
-
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
     """The network after Adam steps over shuffled batches; batches hold both labels in the sample's proportion."""
     every = [Words.of(pa.array([t], pa.large_string())) for t in texts]
@@ -267,30 +249,15 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
         net.p["c"][0] = 4.0 if any(labels[k] for k in filled) else -4.0
         net.p["v"][:] = 0
         return net
-    of_words = [np.unique(_lookup(net.words, every[k].word)) for k in filled]
-    of_grams = [np.unique(_lookup(net.grams, every[k].gram)) for k in filled]
-
-    def both(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y_of = y[np.array(filled)[chosen]]
-        return _priors([of_words[k] for k in chosen], y_of, len(net.words)), _priors([of_grams[k] for k in chosen], y_of, len(net.grams))
-
-    net.priors = both(np.arange(len(filled)))
-    fold = np.random.default_rng(8).permutation(len(filled)) % CROSS
-    crossed = [both(np.flatnonzero(fold != c)) for c in range(CROSS)]
-    rng, moments, step = np.random.default_rng(9), {}, 0
-    size = len(filled)
-    rounds = max(epochs, -(-STEPS // max(1, -(-size // BATCH))))
-    batches = sum(-(-int((fold == c).sum()) // BATCH) for c in range(CROSS))
-    total = rounds * batches
+    rng, drop, moments, step = np.random.default_rng(9), np.random.default_rng(10), {}, 0
+    rounds = max(epochs, -(-STEPS // max(1, -(-len(filled) // BATCH))))
+    total = rounds * -(-len(filled) // BATCH)
     for _ in range(rounds):
-        dealt = []
-        for c in range(CROSS):
-            own = rng.permutation(np.array(filled)[fold == c])
-            dealt += [(c, own[k : k + BATCH]) for k in range(0, len(own), BATCH)]
-        for place in rng.permutation(len(dealt)).tolist():
-            c, batch = dealt[place]
+        shuffled = rng.permutation(np.array(filled))
+        for at in range(0, len(shuffled), BATCH):
+            batch = shuffled[at : at + BATCH]
             w = Words.of(pa.array([texts[i] for i in batch], pa.large_string()))
-            x, (e, g, n) = net.inputs(w, crossed[c])
+            x, (e, g, of_word, of_gram) = net.inputs(w, drop)
             count = np.diff(w.first)
             text, start = [], []
             for i, c in enumerate(count.tolist()):
@@ -311,7 +278,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
             logit, kept = net.forward(x, idx, mask, keep=True)
             d = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[batch]) / len(batch)).astype(np.float32)
             grads, d_x = net.backward(x, idx, mask, kept, d)
-            d_word, d_gram = d_x[:-1, :WORD], (d_x[:-1, WORD : WORD + GRAM] / np.maximum(n, 1)[:, None])[w.owner]
+            d_word, d_gram = d_x[:-1, :WORD] * of_word[:, None], (d_x[:-1, WORD:] * of_gram[:, None])[w.owner]
             step += 1
             rate = RATE * min(1.0, 2 * (1 - step / (total + 1))) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for name, value in grads.items():
@@ -342,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The network of labelled documents whose fold (crc32 of the id as text, modulo 5) isn't 0.
 
     At most per_label documents of each label, chosen by a hash of the id, are gathered; labels other than 0 and 1 and
-    null texts are left out.
+    null texts are left out. A document that is labelled twice is learned from twice, with both labels if they differ.
     """
     known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).filter("k is not null and y in (0, 1)").filter(_fold(F.col("k")) != 0)
     place = F.xxhash64("k", F.lit("sample"))

@@ -1,5 +1,6 @@
 """Trained operators: held-out accuracy, gradients and edge cases."""
 
+import re
 import zlib
 
 import numpy as np
@@ -77,6 +78,93 @@ def test_gradients():
             sides.append(loss()[0])
         net.p[name][i] = old
         assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(float(g[i]), abs=2e-3)
+    d_x = net.backward(x, idx, mask, kept, way)[1]
+    for _ in range(8):
+        i = rng.integers(0, len(x)), rng.integers(0, x.shape[1])
+        sides = []
+        for step in (1e-4, -2e-4):
+            x[i] += step
+            sides.append((net.forward(x, idx, mask)[0] * way).sum())
+        x[i] += 1e-4
+        assert (sides[0] - sides[1]) / 2e-4 == pytest.approx(d_x[i], abs=2e-3)
+
+
+def plain_score(net, text):
+    """A text's score by loops over its windows, words and states, from the network's definition."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words, n = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()), toxicity.STATE
+
+    def vector(word):
+        known = toxicity.Words.of(pa.array([word.decode()], pa.large_string())).word[0]
+        at = np.flatnonzero(net.words == known)
+        marked, grams = b"\x01" + word.lower() + b"\x01", []
+        for size in (3, 4):
+            grams += [int.from_bytes(marked[k : k + size], "big") for k in range(len(marked) - size + 1)]
+        rows = [p["G"][np.flatnonzero(net.grams == g)[0]] if g in net.grams else np.zeros(toxicity.GRAM) for g in grams]
+        return np.concatenate((p["E"][at[0]] if len(at) else np.zeros(toxicity.WORD), sum(rows, np.zeros(toxicity.GRAM)) / max(1, len(rows))))
+
+    def states(xs, d):
+        h, out = np.zeros(n), []
+        for x in xs:
+            g, u = x @ p[f"Wx{d}"] + p[f"bx{d}"], h @ p[f"Wh{d}"]
+            z, r = (1 / (1 + np.exp(-(g[k : k + n] + u[k : k + n]))) for k in (0, n))
+            new = np.tanh(g[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    best = None
+    for start in toxicity.windows(len(words)) if words else []:
+        xs = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        h = [np.concatenate(x) for x in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        weight = np.exp([np.tanh(x @ p["A"]) @ p["a"] for x in h])
+        pooled = sum(w * x for w, x in zip(weight / weight.sum(), h, strict=True))
+        logit = pooled @ p["v"] + p["c"][0]
+        best = logit if best is None else max(best, logit)
+    return 0.0 if best is None else 1 / (1 + np.exp(-best))
+
+
+def test_scores_match_plain_loops():
+    """The network in whole arrays gives what loops over its definition give."""
+    rng = np.random.default_rng(7)
+    pool = ["alpha", "Beta", "gamma", "dél", "x", "unknown9", "日本", "zz"]
+    texts = [" ".join(rng.choice(pool, n)) for n in (0, 1, 2, 63, 64, 65, 113, 150)] + ["one, two;three\nFOUR"]
+    some = toxicity.Words.of(pa.array(["alpha beta gamma dél x zz one"], pa.large_string()))
+    net = toxicity.Network.new(np.sort(some.word), np.unique(some.gram))
+    for k in net.p:
+        net.p[k] = (rng.normal(size=net.p[k].shape) * 0.5).astype(np.float32)
+    net.p["E"][-1] = net.p["G"][-1] = 0
+    got = net.scores(toxicity.Words.of(pa.array(texts, pa.large_string())))
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
+def area(score, truth):
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable")
+    ones = truth.sum()
+    return (order[truth == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(truth) - ones))
+
+
+def test_learned_vectors_carry_the_result(spark):
+    """Held-out documents are ranked by the learned vectors: without them by chance, and without either kind the scores are worse."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.fit(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").filter("text is not null").select("doc_id", "text", "toxic").collect() if fold(r.doc_id, 5) == 0]
+    words, truth = toxicity.Words.of(pa.array([r.text for r in rows], pa.large_string())), np.array([r.toxic for r in rows])
+    whole = net.scores(words)
+    assert area(whole, truth) > 0.95 and ((whole >= 0.5) == truth).mean() > 0.96
+    e, g = net.p["E"].copy(), net.p["G"].copy()
+
+    def loss(score):
+        return -np.log(np.clip(np.where(truth == 1, score, 1 - score), 1e-6, 1)).mean()
+
+    net.p["E"][:] = 0
+    no_words = net.scores(words)
+    net.p["G"][:] = 0
+    neither = net.scores(words)
+    net.p["E"][:] = e
+    no_grams = net.scores(words)
+    assert loss(whole) < min(loss(no_words), loss(no_grams), loss(neither))
+    assert area(neither, truth) < 0.6 < area(no_grams, truth) < area(whole, truth)
 
 
 def test_every_language_is_learned(spark):
