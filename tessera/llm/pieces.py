@@ -7,11 +7,12 @@ is compatible with the last token of the prefix before it goes into the table; i
 
 No piece of such a vocabulary has the space mark behind another character, so a text falls into chunks, each with its
 leading space marks, and further into runs between characters that no piece holds side by side. Equal chunks are
-encoded once while they stay in a cache of bounded size.
+encoded once while they stay in a cache that is bounded in bytes.
 """
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,9 +26,9 @@ from tessera.llm.storage import arrow_batches, fresh
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of each of the two generations of cached chunks, and of remembered pairs.
-CACHED_CHUNKS, CACHED_PAIRS = 100_000, 200_000
-#: Chunks of so many characters are encoded one by one; shorter ones together, up to so many characters at once.
+#: Bytes of each of the two generations of cached chunks, and the overhead of one; remembered pairs.
+CACHED_BYTES, ENTRY_BYTES, CACHED_PAIRS = 24 << 20, 160, 200_000
+#: Chunks of so many characters are encoded one by one and not cached; shorter ones together, up to so many characters at once.
 LONG, BATCH_CHARS = 64, 100_000
 #: Characters of text that are split and encoded together; a longer text goes alone.
 TEXT_CHARS = 1 << 20
@@ -61,35 +62,26 @@ class Encoder:
         self.touching = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of young
         self._tables()
 
     def _tables(self) -> None:
-        """Arrays for whole batches: character numbers, a trie over the pieces, touching characters, remembered pairs."""
+        """Arrays for whole batches: character numbers, lengths of tokens, touching characters, remembered pairs."""
         chars = sorted({c for p in self.ids for c in p})
         self.width = len(chars) + 1
         number = {c: k for k, c in enumerate(chars, 1)}
         self.char_number = np.zeros(0x110000, np.int32)
         self.char_number[[ord(c) for c in chars]] = range(1, self.width)
-        child: dict[int, int] = {}
-        token = [-1]
-        for piece, i in self.ids.items():
-            node = 0
-            for c in piece:
-                node = child.setdefault(node * self.width + number[c], len(token))
-                if node == len(token):
-                    token.append(-1)
-            token[node] = i
-        self.trie_key = np.array(sorted(child), np.int64)
-        self.trie_child = np.array([child[k] for k in self.trie_key.tolist()], np.int32)
-        self.trie_token = np.array(token, np.int32)
         self.touch_key = np.array(sorted(number[x[0]] * self.width + number[x[1]] for x in self.touching), np.int64)
-        self.deepest = max(map(len, self.ids))
+        self.length_of = np.zeros(len(self.bytes_of), np.int64)
+        for piece, i in self.ids.items():
+            self.length_of[i] = len(piece)
         self.ascii_ids = np.array(self.byte_ids[:128], np.int32)
         self.stands = np.full(len(self.bytes_of), -1, np.int8)
         self.pair_key = np.full(1 << 20, -1, np.int64)
@@ -144,8 +136,8 @@ class Encoder:
     def _run(self, run: str) -> list[int]:
         """Ids of a run of characters that are pieces themselves."""
         last, length = [0] * (len(run) + 1), [0] * (len(run) + 1)
-        for end, (token, size) in self.automaton.iter(run):
-            end += 1
+        for end, token in self.automaton.iter(run):
+            end, size = end + 1, len(self.text_of[token])
             if not length[end]:
                 before = end - size
                 if self._fits(last[before], token) if before and length[before] else not before and self._alone(token):
@@ -187,34 +179,28 @@ class Encoder:
         opens[bound] = True
         starts = np.flatnonzero(opens)
         starts, length = starts[:-1], np.diff(starts)
-        stop = np.repeat(starts + length, length)
-        # match[p, k]: the token of k + 1 characters from p
-        match = np.full((n, self.deepest), -1, np.int32)
-        live, node = np.arange(n), np.zeros(n, np.int64)
-        for k in range(self.deepest):
-            inside = live + k < stop[live]
-            live, node = live[inside], node[inside]
-            key = node * self.width + char[live + k]
-            at = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
-            hit = self.trie_key[at] == key
-            live, node = live[hit], self.trie_child[at[hit]].astype(np.int64)
-            if not len(live):
-                break
-            match[live, k] = self.trie_token[node]
+        # what the automaton finds: where a token ends and which; what begins before its run doesn't count
+        run = np.repeat(np.arange(len(starts)), length)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("".join(chunks))), np.int64).reshape(-1, 2)
+        end, token = found[:, 0], found[:, 1]
+        begin, first = end - self.length_of[token] + 1, starts[run[end]]
+        inside = begin >= first
+        end, token, begin, first = end[inside], token[inside], begin[inside], first[inside]
+        # prefixes of one length are looked at together, the shortest first: each has one last token
+        size_of = end - first + 1
+        order = np.argsort(size_of, kind="stable")
+        end, token, begin, whole = end[order], token[order], begin[order], (begin == first)[order]
         last, reach = np.full(n, -1, np.int32), np.zeros(n, np.int64)
-        for k in range(1, int(length.max()) + 1):
-            end = starts[length >= k] + k - 1
-            back = np.arange(min(k, self.deepest))
-            token = match[end[:, None] - back, back]
-            row, col = np.nonzero(token >= 0)
-            token, begin = token[row, col], end[row] - col
-            whole = col + 1 == k
-            fine = np.zeros(len(row), bool)
-            fine[whole] = self._all_alone(token[whole])
-            rest = np.flatnonzero(~whole)
+        cuts = np.cumsum(np.bincount(size_of, minlength=1)) if len(size_of) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = np.arange(a, b)
+            at = some[whole[a:b]]
+            fine = at[self._all_alone(token[at])]
+            rest = some[~whole[a:b]]
             rest = rest[last[begin[rest] - 1] >= 0]
-            fine[rest] = self._all_fit(last[begin[rest] - 1], token[rest])
-            last[end[row[fine]]], reach[end[row[fine]]] = token[fine], col[fine] + 1
+            rest = rest[self._all_fit(last[begin[rest] - 1], token[rest])]
+            for kept in (fine, rest):
+                last[end[kept]], reach[end[kept]] = token[kept], end[kept] - begin[kept] + 1
         out = np.full(n, -1, np.int32)
         end, first = starts + length - 1, starts
         while len(end):
@@ -243,35 +229,42 @@ class Encoder:
                 start = k + 1
         return parts if len(marked) > 1 else [""]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Puts chunks into the cache, pieces of bounded size at a time."""
-        if len(self.young) + len(chunks) > CACHED_CHUNKS:
-            self.old, self.young = self.young, {}
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Puts chunks into the cache, pieces of bounded size at a time, and gives back the ids of those too long for it."""
+        if self.held > CACHED_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        once: dict[str, bytes] = {}
         todo, waiting = [], 0
+
+        def keep(some: list[str], ids: list[bytes]) -> None:
+            self.young.update(zip(some, ids, strict=True))
+            self.held += sum(ENTRY_BYTES + 4 * len(c) + len(i) for c, i in zip(some, ids, strict=True))
+
         for c in chunks:
             found = self.old.get(c)
             if found is not None:
-                self.young[c] = found
+                keep([c], [found])
             elif len(c) >= LONG:
-                self.young[c] = self._chunk(SPACE + c)
+                once[c] = self._chunk(SPACE + c)
             else:
                 todo.append(c)
                 waiting += len(c) + 1
                 if waiting > BATCH_CHARS:
-                    self.young.update(zip(todo, self._many([SPACE + c for c in todo]), strict=True))
+                    keep(todo, self._many([SPACE + c for c in todo]))
                     todo, waiting = [], 0
         if todo:
-            self.young.update(zip(todo, self._many([SPACE + c for c in todo]), strict=True))
+            keep(todo, self._many([SPACE + c for c in todo]))
+        return once
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, begin and end ids included."""
         first, final = (np.array([i], "<u4").tobytes() for i in (self.bos, self.eos))
         split = [self._chunks(t) if t else [] for t in texts]
-        new = set().union(*split) - self.young.keys()
-        if new:
-            wanted = set().union(*split) if len(self.young) + len(new) > CACHED_CHUNKS else new
-            self._learn(wanted)
-        get = self.young.__getitem__
+        every = set().union(*split)
+        new = every - self.young.keys()
+        once = self._learn(every if self.held > CACHED_BYTES else new) if new else {}
+        young = self.young
+        get = young.__getitem__ if not once else lambda c: young[c] if c in young else once[c]
         return [b"".join([first, *map(get, parts), final]) for parts in split]
 
     def encode(self, text: str) -> bytes:

@@ -29,6 +29,19 @@ def test_pieces_fuzz():
         assert own.decode(ids) == sp.decode(sp.encode(text, add_bos=True, add_eos=True))
 
 
+def test_pieces_cache_is_bounded(monkeypatch):
+    """The cache holds a bounded number of bytes, long chunks not at all, and what has left it is encoded anew."""
+    monkeypatch.setattr(pieces, "CACHED_BYTES", 50_000)
+    path = public_tokenizers.path(pieces.MODEL)
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
+    rng = random.Random(6)
+    for k in range(60):
+        text = " ".join("".join(rng.choice("abcdeéí日") for _ in range(rng.randrange(1, 9))) for _ in range(100)) + " " + "日本" * (2000 + k)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
+        for held in (own.young, own.old):
+            assert sum(len(c) * 4 + len(i) for c, i in held.items()) < 70_000 and all(len(c) < pieces.LONG for c in held)
+
+
 def test_pieces_table(spark, documents, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
     for docs in (documents, odd):
