@@ -26,11 +26,14 @@ from tessera.llm.memory import tidy
 from tessera.llm.storage import arrow_batches, cut, fresh
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Distinct fingerprints up to which there are 4 bands (16,384 anchors); beyond there are 2 (2**25 anchors, more
-#: replicas). The links found are the same.
-FOUR_BANDS = 1 << 23
+#: By number of bands: replicas of a fingerprint, and anchors of a band. The links found are the same.
+PLANS = {4: (34.2, 1 << 12), 2: (286.5, 1 << 24)}
+#: Measured seconds of a core that a replica costs on its way, and a comparison at its anchor.
+REPLICA, COMPARISON = 3e-6, 4e-9
 #: Fingerprints of one anchor on either side of a comparison.
 BLOCK = 8192
+#: Comparisons at once: their intermediate results stay in a core's cache.
+TILE = 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -141,7 +144,7 @@ def forest(homes: np.ndarray, others: np.ndarray, near) -> tuple[np.ndarray, np.
     edges: list[tuple[int, int]] = []
     k, tile = 0, 16
     while k < len(left):
-        tile = max(1, min(tile, (1 << 21) // max(1, len(right))))
+        tile = max(1, min(tile, TILE // max(1, len(right))))
         i, j = np.nonzero(near(homes[k : k + tile], others))
         i, j = left[k + i], right[j]
         a, b = label[i], label[j]
@@ -242,10 +245,18 @@ def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
     return parts.mapInArrow(tidy(_compare), "u bigint, v bigint")
 
 
+def cost(n: int, bands: int) -> float:
+    """Seconds of a core a fingerprint, of n distinct ones spread evenly, with so many bands."""
+    replicas, anchors = PLANS[bands]
+    return replicas * (REPLICA + n / anchors * COMPARISON)
+
+
 def _named(marks: DataFrame, bands: int | None, block: int) -> DataFrame:
     """(class_fp, root, component_id) of every distinct fingerprint of marks."""
     lowest = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    bands = bands or (4 if lowest.count() <= FOUR_BANDS else 2)
+    if bands is None:
+        n = lowest.count()
+        bands = min(PLANS, key=lambda b: cost(n, b))
     linked = components(links(lowest.select("fp"), bands, block))
     classes = lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -54,7 +54,7 @@ def brute_simhash(rows):
 
 @pytest.mark.parametrize("bands,block", [(4, 8192), (4, 7), (2, 8192)])
 def test_simhash(spark, documents, odd, bands, block):
-    for docs in (documents, odd) if bands == 4 else (odd,):
+    for docs in (documents, odd):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         got = sorted(tuple(map(str, r)) for r in simhash.near_duplicates(docs, bands=bands, block=block).collect())
         assert got == brute_simhash(rows)
@@ -78,6 +78,15 @@ def test_anchor_links(spark, bands):
     assert closure(signed, [(r.u, r.v) for r in edges]) == closure(signed, real)
 
 
+def test_plans_by_cost():
+    """The plan is the cheaper one by the stated cost, and its replicas are as many as stated."""
+    fp = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 2048, dtype=np.int64)
+    for bands, (replicas, anchors) in simhash.PLANS.items():
+        code = simhash.Anchors(bands)
+        assert len(code.replicate(fp)[0]) / len(fp) == pytest.approx(replicas, rel=0.02) and len(np.unique(code.home)) ** code.quarters == anchors
+    assert simhash.cost(10**6, 4) < simhash.cost(10**6, 2) and simhash.cost(10**9, 4) > simhash.cost(10**9, 2)
+
+
 def brute_vectors(rows, cosine=0.98):
     v = [None if l is None or e is None or not e or None in e or not np.isfinite(e).all() or not np.any(e) else np.array(e, np.float64) for _, e, l in rows]
     v = [None if x is None else x / np.linalg.norm(x) for x in v]
