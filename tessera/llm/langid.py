@@ -66,18 +66,24 @@ def _fold(column) -> "F.Column":
 
 @dataclass
 class Model:
-    """Languages, inverse document frequencies, weights (bucket x language), their offsets and the temperature."""
+    """Languages, inverse document frequencies, the buckets whose weights aren't all zero and these weights (bucket x language), offsets and the temperature."""
 
     languages: list[str]
     idf: np.ndarray
+    buckets: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
     temperature: float = 1.0
 
+    def weight(self, bucket: int) -> np.ndarray:
+        k = np.searchsorted(self.buckets, bucket)
+        return self.weights[k] if k < len(self.buckets) and self.buckets[k] == bucket else np.zeros(len(self.languages))
+
     def logits(self, n: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(n)
-        x = n[at] * self.idf[at]
-        return (x @ self.weights[at]) / max(np.sqrt((x * x).sum()), 1e-12) + self.offset
+        every = n * self.idf
+        x = every[self.buckets]
+        use = np.flatnonzero(x)
+        return (x[use] @ self.weights[use]) / max(np.sqrt((every * every).sum()), 1e-12) + self.offset
 
     def predict(self, text: str | None) -> tuple[str, float]:
         n = counts(text) if text else None
@@ -120,9 +126,10 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], frequency: np.ndarra
             z[at] += g - sigma * w
             n2[at] += g * g
     full = weight(np.arange(BUCKETS + 1))
-    model = Model(languages, idf, full[:-1], full[-1])
+    some = np.flatnonzero(np.abs(full[:-1]).max(1, initial=0) > 0)
+    model = Model(languages, idf, some, full[some], full[-1])
     held = [rows[k] for k in order[:: CALIBRATION]]
-    logits = np.array([x @ model.weights[at] + model.offset for _, at, x in held])
+    logits = np.array([x @ full[at] + model.offset for _, at, x in held])
     truth = np.array([y for y, _, _ in held])
     if len(languages) > 1 and len(held):
         grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
@@ -183,7 +190,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     is neither learned from nor held out. Repeated rows each get a row; other columns of docs are not read.
     """
     model = model or fit(docs, key, text, lang)
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x (languages + 1) numbers
+    spread = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x (languages + 1) numbers at most
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

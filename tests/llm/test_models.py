@@ -1,7 +1,9 @@
 """Trained operators: held-out accuracy, gradients and edge cases."""
 
+import math
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ def test_language_ignores_held_out_rows(spark):
     rows = docs.collect()
     spoiled = spark.createDataFrame([(r.doc_id, r.text, "zz" if fold(r.doc_id, 4) == 2 else r.lang) for r in rows], "doc_id long, text string, lang string")
     a, b = langid.fit(docs), langid.fit(spoiled)
-    assert a.languages == b.languages and (a.weights == b.weights).all() and a.temperature == b.temperature
+    assert a.languages == b.languages and (a.buckets == b.buckets).all() and (a.weights == b.weights).all() and a.temperature == b.temperature
 
 
 def test_language_cases(spark, odd):
@@ -54,6 +56,98 @@ def test_language_cases(spark, odd):
     assert {r.lang_pred for r in langid.identify(unlabelled.selectExpr("doc_id", "text", "cast(null as string) AS lang")).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Documented n-grams by loops: runs of breaks are one break, n-grams of breaks alone don't count."""
+    out, letters = Counter(), "\0"
+    for c in text:
+        c = c.lower()[0] if c.isalpha() else "\0"
+        letters += "" if c == letters[-1] == "\0" else c
+    letters += "" if letters[-1] == "\0" else "\0"
+    for order in (1, 2, 3):
+        for k in range(len(letters) - order + 1):
+            gram = letters[k : k + order]
+            if gram[0] != "\0" or gram[-1] != "\0":
+                out[gram] += 1
+    return out
+
+
+def plain_bucket(gram):
+    h = 0
+    for k, c in enumerate(gram, 1):
+        h = (h * 0x01000193 + ord(c) + k) & 0xFFFFFFFF
+    return (h * 0x9E3779B1 & 0xFFFFFFFF) >> 18
+
+
+def test_gram_counts_match_loops():
+    for text in ("", "a", " a ", "Hello, world", "a1b", "ÀÉ ß 日本 x", "...", "one  two\nTHREE", "aaaa bbbb"):
+        want = np.zeros(langid.BUCKETS, np.int64)
+        for gram, n in plain_grams(text).items():
+            want[plain_bucket(gram)] += n
+        assert (langid.counts(text) == want).all()
+
+
+def test_training_matches_loops():
+    """TF-IDF weights, every update and the temperature, coefficient by coefficient."""
+    rng = np.random.default_rng(3)
+    texts = [("".join(rng.choice(list("abc" if k % 3 == 0 else "bcd" if k % 3 == 1 else "cde"), 12)), f"l{k % 3}") for k in range(30)]
+    sample, frequency = [], np.zeros(langid.BUCKETS, np.int64)
+    for t, language in texts:
+        n = langid.counts(t)
+        at = np.flatnonzero(n)
+        frequency[at] += 1
+        sample.append((language, at, n[at].astype(float)))
+    model = langid.train(sample, frequency, len(texts))
+
+    names, rows = sorted({x for _, x in texts}), []
+    for language, at, n in sample:
+        x = {int(k): c * (math.log((1 + len(texts)) / (1 + frequency[k])) + 1) for k, c in zip(at, n)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        rows.append((names.index(language), {k: v / norm for k, v in x.items()} | {langid.BUCKETS: 1.0}))
+    order = np.random.default_rng(5).permutation(len(rows)).tolist()
+    z, squares = defaultdict(float), defaultdict(float)
+
+    def weight(k, c):
+        if abs(z[k, c]) <= langid.L1:
+            return 0.0
+        return -(z[k, c] - math.copysign(langid.L1, z[k, c])) / ((langid.BETA + math.sqrt(squares[k, c])) / langid.ALPHA + langid.L2)
+
+    def chances(logits, temperature=1.0):
+        e = [math.exp(v / temperature) for v in logits]
+        return [v / sum(e) for v in e]
+
+    for _ in range(langid.PASSES):
+        for place, r in enumerate(order):
+            if place % langid.CALIBRATION == 0:
+                continue
+            y, x = rows[r]
+            w = {(k, c): weight(k, c) for k in x for c in range(3)}
+            p = chances([sum(v * w[k, c] for k, v in x.items()) for c in range(3)])
+            for k, v in x.items():
+                for c in range(3):
+                    g = v * (p[c] - (c == y))
+                    sigma = (math.sqrt(squares[k, c] + g * g) - math.sqrt(squares[k, c])) / langid.ALPHA
+                    z[k, c] += g - sigma * w[k, c]
+                    squares[k, c] += g * g
+    for k in {k for _, x in rows for k in x}:
+        got = model.offset if k == langid.BUCKETS else model.weight(k)
+        assert got == pytest.approx([weight(k, c) for c in range(3)], abs=1e-9)
+    assert (np.abs(model.weights).max(1) > 0).all()  # what the penalty set to zero isn't stored
+
+    held = [rows[r] for place, r in enumerate(order) if place % langid.CALIBRATION == 0]
+
+    def loss(temperature):
+        return -sum(math.log(chances([sum(v * weight(k, c) for k, v in x.items()) for c in range(3)], temperature)[y]) for y, x in held)
+
+    grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+    assert model.temperature == pytest.approx(min(grid, key=loss))
+    text = "abcabd"
+    n = langid.counts(text)
+    x = {int(k): n[k] * (math.log((1 + len(texts)) / (1 + frequency[k])) + 1) for k in np.flatnonzero(n)}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    p = chances([sum(v / norm * weight(k, c) for k, v in x.items()) + weight(langid.BUCKETS, c) for c in range(3)], model.temperature)
+    assert model.predict(text) == (names[int(np.argmax(p))], pytest.approx(max(p)))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     w = toxicity.Words.of(pa.array(["the idiot is here now", "clean words only go there and there", "x"], pa.large_string()))
