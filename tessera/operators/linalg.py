@@ -1,7 +1,8 @@
 """Matrix-vector products y[j] = sum over i of A[i, j] * x[i] (the transpose of a row-major A times x).
 
 Inputs are long-form: a(i, j, a) and x(i, xv). x is broadcast only if a count proves it small;
-a longer x is joined by a shuffle on i. Results have one row (j, y) per column that occurs in A.
+a longer x is joined by a shuffle on i. Results have one row (j, y) per column that occurs in A. Shapes are checked in the
+same job: a row index of A that x lacks, or that x holds twice, ends the query with an error instead of a wrong sum.
 """
 
 from pyspark.sql import DataFrame
@@ -21,15 +22,30 @@ def check_shapes(a: DataFrame, x: DataFrame) -> None:
 
 
 def _small(x: DataFrame) -> bool:
-    return x.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether x can be broadcast. Runs a job over BROADCAST_ROWS + 1 rows of x at most, when the plan is built; ValueError if they hold an index twice."""
+    rows, distinct = x.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("i"), F.lit(-1)))).first()
+    if distinct < rows:
+        raise ValueError("x holds an index twice")
+    return rows <= BROADCAST_ROWS
+
+
+def _fail(message: str, kind: str = "double"):
+    return F.raise_error(F.lit(message)).cast(kind)
 
 
 def lookup(a: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:
-    """A's rows with x's element for their row index. strategy: broadcast, merge, or None to decide by x's size."""
-    strategy = strategy or ("broadcast" if _small(x) else "merge")
-    if strategy not in ("broadcast", "merge"):
+    """A's rows with x's element for their row index. strategy: broadcast, merge, or None to decide by x's size.
+
+    A row without an element, or with two, raises an error when the query runs.
+    """
+    if strategy not in ("broadcast", "merge", None):
         raise ValueError(f"unknown strategy {strategy}")
-    return a.join(x.hint(strategy), "i")
+    if strategy is None and _small(x):
+        strategy, once = "broadcast", x.select("i", "xv", F.lit(1).alias("times"))
+    else:  # grouped by i as the join is, so that a merge join shuffles x once
+        strategy, once = strategy or "merge", x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times"))
+    element = F.when(F.col("times") == 1, F.col("xv")).when(F.col("times") > 1, _fail("x holds an index twice")).otherwise(_fail("x has no element for a row of the matrix"))
+    return a.join(once.hint(strategy), "i", "left").withColumn("xv", element).drop("times")
 
 
 def matvec(a: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:

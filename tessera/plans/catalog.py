@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import fixed2, speedup
 from tessera.operators import linalg, reduce
-from tessera.plans import report
+from tessera.plans import harness, report
 from tessera.sources import generate
-from tessera.sources.records import RECORD_SCHEMA
+from tessera.sources.records import MEASURES, RECORD_SCHEMA, read_records, write_records
+from tessera.sources.shared import new_path
 
-N = 512
+N, LARGE = 512, 4096
 # The published timing records.
 PUBLISHED = [
     (512, 1108.34, 196.26, 5.65, 0.53, 0.27, 1.93),
@@ -29,6 +30,7 @@ PUBLISHED = [
     (7680, 1940948.03, 76263.56, 25.45, 9.53, 4.03, 2.36),
     (8192, 2134475.63, 152087.23, 14.03, 11.03, 6.56, 1.68),
 ]
+KERNELS = ["mat_bad_us", "mat_fast_us", "sum_slow_us", "sum_fast_us"]
 PROBES = [(0, 0.125), (1, 1.005), (2, 2.675), (3, 1234.5), (4, 2134475.63)]
 
 
@@ -40,8 +42,35 @@ def records(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PUBLISHED, RECORD_SCHEMA)
 
 
-def _products(f):
-    return lambda spark, _: f(generate.matrix(spark, N), generate.vector_x(spark, N))
+def stored_records(spark: SparkSession) -> str:
+    """The records written as CSV to the shared folder; where they are."""
+    path = new_path(spark, "records")
+    write_records(records(spark), path)
+    return path
+
+
+def timings(spark: SparkSession) -> DataFrame:
+    """Repetitions of the four kernels at every size, made up: n * (1 + place of the kernel) + repetition microseconds."""
+    kinds = F.array(*(F.struct(F.lit(c).alias("what"), F.lit(k).alias("k")) for k, c in enumerate(KERNELS, 1)))
+    each = generate.sweep(spark).select("n", F.explode(kinds).alias("x"), F.sequence(F.lit(0), F.lit(harness.MATVEC_REPS - 1)).alias("reps"))
+    rep = each.select("n", "x", F.explode("reps").alias("rep"))
+    return rep.select(F.col("n").cast("int").alias("n"), "x.what", (F.col("n") * F.col("x.k") + F.col("rep")).cast("double").alias("us"))
+
+
+def repetitions(spark: SparkSession) -> DataFrame:
+    """(n, what, reps): how many positive times the harness took of each kernel."""
+    taken = harness.samples(spark, [64], 2, 3)
+    return taken.filter("us > 0").groupBy("n", "what").agg(F.count(F.lit(1)).alias("reps"))
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that lineitem's run was observed to have."""
+    seen, _ = report.profile(table(spark, sf_dir, "lineitem").select("l_orderkey"))
+    return spark.createDataFrame([(seen["rows"],)], "observed_rows bigint")
+
+
+def _products(f, n: int = N):
+    return lambda spark, _: f(generate.matrix(spark, n), generate.vector_x(spark, n))
 
 
 def embed_weighted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +108,8 @@ def queries() -> dict:
         "matvec_tiled_512": _products(linalg.matvec_tiled),
         "matvec_rows_512": lambda s, _: linalg.matvec_rows(generate.matrix_rows(s, N), generate.vector_x(s, N)),
         "matvec_dense_600": lambda s, _: linalg.densify(linalg.matvec(generate.matrix(s, N), generate.vector_x(s, N)), 600),
+        "matvec_4096": _products(linalg.matvec, LARGE),
+        "matvec_tiled_4096": _products(linalg.matvec_tiled, LARGE),
         "arr_sum_512": lambda s, _: reduce.array_sum(generate.vector_arr(s, N)),
         "arr_sum_lanes_512": lambda s, _: reduce.array_sum_lanes(generate.vector_arr(s, N), n=N),
         "arr_lane_sums_511": lambda s, _: reduce.lane_sums(generate.vector_arr(s, N), n=511),
@@ -92,6 +123,11 @@ def queries() -> dict:
         "speedup_ratio": lambda s, _: records(s).select("n", speedup(F.col("mat_bad_us"), F.col("mat_fast_us")).alias("mat_ratio"), speedup(F.col("sum_slow_us"), F.lit(0.0)).alias("by_zero")),
         "fixed2_format": lambda s, _: probe(s).select("k", fixed2(F.col("x")).alias("text")),
         "records_project": lambda s, _: records(s),
+        "records_csv_scan": lambda s, _: read_records(s, stored_records(s)),
+        "records_csv_lines": lambda s, _: s.read.text(stored_records(s)).select(F.col("value").alias("line")),
+        "timing_means": lambda s, _: harness.mean_by_size(timings(s)),
+        "timing_repetitions": lambda s, _: repetitions(s),
+        "observed_rows": observed,
         "chart_frames": lambda s, _: report.chart_frames(records(s)),
     }
     return out | {f"chart_{name}": (lambda s, _, name=name: report.chart(records(s), name)) for name in report.CHARTS}
@@ -103,6 +139,10 @@ def oracle_sql() -> dict[str, str]:
     x = f"(SELECT k AS i, (k % 13)::DOUBLE - 6::DOUBLE AS xv FROM range({N}) t(k))"
     arr = f"(SELECT k AS i, (k % 19)::DOUBLE - 9::DOUBLE AS v FROM range({N}) t(k))"
     product = f"SELECT j, sum(a * xv) AS y FROM {a} m JOIN {x} x USING (i) GROUP BY j"
+    large = product.replace(f"// {N}", f"// {LARGE}").replace(f"% {N}", f"% {LARGE}").replace(f"range({N * N})", f"range({LARGE * LARGE})").replace(f"range({N})", f"range({LARGE})")
+    line = "concat_ws(',', n, " + ", ".join(f"printf('%.2f', {c})" for c in MEASURES) + ")"
+    taken = ", ".join(f"({k}, '{c}')" for k, c in enumerate(KERNELS, 1))
+    mean = {c: f"avg(us) FILTER (WHERE what = '{c}')" for c in KERNELS}
     total = f"SELECT coalesce(sum(v), 0)::DOUBLE AS s FROM {arr} z"
     price = "CAST(l_extendedprice AS DECIMAL(18,2))"
     series = {name: " UNION ALL ".join(f"SELECT '{name}' AS chart, n, '{label}' AS series, {c} AS value FROM {values}" for c, label in s.items()) for name, s in report.CHARTS.items()}
@@ -113,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "sweep_sizes": "SELECT k AS n FROM range(512, 8193, 512) t(k)",
         "tile_grid_1000": "SELECT r AS row_from, least(r + 64, 1000) AS row_to, c AS col_from, least(c + 64, 1000) AS col_to FROM range(0, 1000, 64) a(r), range(0, 1000, 64) b(c)",
         **dict.fromkeys(("matvec_512", "matvec_merge_512", "matvec_tiled_512", "matvec_rows_512"), product),
+        **dict.fromkeys(("matvec_4096", "matvec_tiled_4096"), large),
         "matvec_dense_600": f"SELECT k AS j, coalesce(y, 0)::DOUBLE AS y FROM range(600) t(k) LEFT JOIN ({product}) p ON p.j = t.k",
         "arr_sum_512": total,
         "arr_sum_lanes_512": total,
@@ -127,6 +168,11 @@ def oracle_sql() -> dict[str, str]:
         "speedup_ratio": f"SELECT n, mat_bad_us / mat_fast_us AS mat_ratio, NULL::DOUBLE AS by_zero FROM {values}",
         "fixed2_format": f"SELECT k, printf('%.2f', x) AS text FROM (VALUES {', '.join(f'({k}, {v!r}::DOUBLE)' for k, v in PROBES)}) p(k, x)",
         "records_project": f"SELECT * FROM {values}",
+        "records_csv_scan": f"SELECT * FROM {values}",
+        "records_csv_lines": f"SELECT 'n,{','.join(MEASURES)}' AS line UNION ALL SELECT {line} FROM {values}",
+        "timing_means": f"SELECT n, {mean['mat_bad_us']} AS mat_bad_us, {mean['mat_fast_us']} AS mat_fast_us, {mean['mat_bad_us']} / {mean['mat_fast_us']} AS mat_speedup, {mean['sum_slow_us']} AS sum_slow_us, {mean['sum_fast_us']} AS sum_fast_us, {mean['sum_slow_us']} / {mean['sum_fast_us']} AS sum_speedup FROM (SELECT n::INTEGER AS n, what, (n * k + rep)::DOUBLE AS us FROM range(512, 8193, 512) t(n), (VALUES {taken}) v(k, what), range({harness.MATVEC_REPS}) r(rep)) s GROUP BY n",
+        "timing_repetitions": "SELECT 64::INTEGER AS n, what, reps::BIGINT AS reps FROM (VALUES ('mat_bad_us', 2), ('mat_fast_us', 2), ('sum_slow_us', 3), ('sum_fast_us', 3)) v(what, reps)",
+        "observed_rows": "SELECT count(*) AS observed_rows FROM lineitem",
         "chart_frames": " UNION ALL ".join(series.values()),
     }
     return out | {f"chart_{name}": sql for name, sql in series.items()}

@@ -32,14 +32,19 @@ def mean_by_size(samples: DataFrame) -> DataFrame:
     )
 
 
-def run_sweep(spark: SparkSession, sizes: list[int], matvec_reps: int = MATVEC_REPS, sum_reps: int = SUM_REPS) -> DataFrame:
-    """Times the four kernels at every size and returns the record frame."""
-    samples = []
+def samples(spark: SparkSession, sizes: list[int], matvec_reps: int = MATVEC_REPS, sum_reps: int = SUM_REPS) -> DataFrame:
+    """(n, what, us): a row per repetition of each of the four kernels at every size."""
+    out = []
     for n in sizes:
         a, x, arr = generate.matrix(spark, n), generate.vector_x(spark, n), generate.vector_arr(spark, n)
         for what, df, reps in (
             ("mat_bad_us", linalg.matvec(a, x), matvec_reps), ("mat_fast_us", linalg.matvec_tiled(a, x), matvec_reps),
             ("sum_slow_us", reduce.array_sum(arr), sum_reps), ("sum_fast_us", reduce.array_sum_lanes(arr, n=n), sum_reps),
         ):
-            samples += [(n, what, us) for us in time_action(df, reps)]
-    return mean_by_size(spark.createDataFrame(samples, "n int, what string, us double"))
+            out += [(n, what, us) for us in time_action(df, reps)]
+    return spark.createDataFrame(out, "n int, what string, us double")
+
+
+def run_sweep(spark: SparkSession, sizes: list[int], matvec_reps: int = MATVEC_REPS, sum_reps: int = SUM_REPS) -> DataFrame:
+    """Times the four kernels at every size and returns the record frame."""
+    return mean_by_size(samples(spark, sizes, matvec_reps, sum_reps))

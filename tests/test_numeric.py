@@ -1,5 +1,7 @@
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -53,6 +55,33 @@ def test_edges(spark):
     assert [(r[0], r[1]) for r in packed.select(reduce.packed_sum(F.col("v")), reduce.packed_sum(F.col("v"), 2)).collect()] == [(7, 3), (0, 0)]
 
 
+def test_shapes_are_checked_by_the_product(spark):
+    """A vector that lacks an index, or holds one twice, ends the query instead of changing its sums."""
+    a, rows, short = generate.matrix(spark, 4), generate.matrix_rows(spark, 4), generate.vector_x(spark, 3)
+    twice = short.union(generate.vector_x(spark, 4))
+    for strategy in (None, "broadcast", "merge"):
+        for product in (lambda x: linalg.matvec(a, x, strategy), lambda x: linalg.matvec_tiled(a, x, 2, strategy), lambda x: linalg.matvec_rows(rows, x, strategy)):
+            with pytest.raises(Exception, match="no element for a row"):
+                product(short).collect()
+            with pytest.raises(Exception, match="holds an index twice"):
+                product(twice).collect()
+            assert y_of(product(generate.vector_x(spark, 5))) == [56, 38, 20, 2]
+    arr = generate.vector_arr(spark, 10)
+    for f in (reduce.array_sum, reduce.array_sum_lanes):
+        with pytest.raises(Exception, match="fewer elements"):
+            f(arr, n=11).collect()
+        assert f(arr, n=10).first().s == -45 and f(generate.vector_arr(spark, 0), n=0).first().s == 0
+
+
+def test_entry_without_a_dependency(tmp_path):
+    """If a module that the corpus operators need is missing, the other queries are there all the same."""
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('blocked')")
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1') for k in e.queries()))"
+    env = os.environ | {"PYTHONPATH": f"{tmp_path}:{os.path.dirname(__spark_entry__.__file__)}"}
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, check=True).stdout.split()
+    assert said[-2:] == [str(len(catalog.queries())), "False"]
+
+
 def test_linear_and_partition_invariant(spark):
     a, x = generate.matrix(spark, 65, partitions=3), generate.vector_x(spark, 65)
     y = y_of(linalg.matvec(a, x))
