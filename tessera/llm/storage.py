@@ -1,46 +1,10 @@
 """Tables written to the cluster's shared folder, so that lost executors cost no more than the work since."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.shared import discard, exists, new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one; a cluster must name one."""
-    key = "spark.checkpoint.dir"
-    where = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {key} to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set(key, where)
-    return where.rstrip("/")
-
-
-def _at(spark: SparkSession, path: str):
-    """The path and its file system, in the JVM."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop, files = _at(spark, path)
-    files.deleteOnExit(hadoop)
-    return path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop, files = _at(spark, path)
-    return files.exists(hadoop)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder that nothing reads any more."""
-    hadoop, files = _at(spark, path)
-    files.delete(hadoop, True)
+__all__ = ["arrow_batches", "cut", "discard", "exists", "fresh", "new_path", "write"]
 
 
 def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
