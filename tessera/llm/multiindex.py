@@ -424,3 +424,13 @@ def _links(classes: DataFrame, labels: DataFrame, grids, number: str, cosine: fl
     found = spread.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(tidy(_candidates(cosine)), ", ".join(f"{c} {t}" for c, t in _KEPT.items()))
     full = found.join(classes.select(F.col("node").alias("id"), "n", "v"), F.col("node") == F.col("id")).select(*_KEPT, "n", "v")
     return full.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(tidy(_verify(cosine)), "node bigint, links bigint, other bigint")
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (SELECT r AS a, r AS b FROM v UNION SELECT reached.a, l.b FROM reached JOIN l ON reached.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.r)::BIGINT AS n_links, c.component AS component_id, vec_id = c.component AS kept
+FROM v JOIN (SELECT reached.a, min(w.vec_id) AS component FROM reached JOIN v w ON w.r = reached.b GROUP BY reached.a) c ON c.a = v.r
+"""

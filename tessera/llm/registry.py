@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.ORACLE}
+    return {"op8_line_dedup": linededup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_embedding_dedup": multiindex.ORACLE}

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -187,14 +188,16 @@ def plain_score(net, text):
     """A text's score by loops over its windows, words and states, from the network's definition."""
     p = {k: v.astype(np.float64) for k, v in net.p.items()}
     words, n = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()), toxicity.STATE
+    places = {g: k for k, g in enumerate(net.grams.tolist())}
 
+    @cache
     def vector(word):
         known = toxicity.Words.of(pa.array([word.decode()], pa.large_string())).word[0]
         at = np.flatnonzero(net.words == known)
         marked, grams = b"\x01" + word.lower() + b"\x01", []
         for size in (3, 4):
             grams += [int.from_bytes(marked[k : k + size], "big") for k in range(len(marked) - size + 1)]
-        rows = [p["G"][np.flatnonzero(net.grams == g)[0]] if g in net.grams else np.zeros(toxicity.GRAM) for g in grams]
+        rows = [p["G"][places[g]] if g in places else np.zeros(toxicity.GRAM) for g in grams]
         return np.concatenate((p["E"][at[0]] if len(at) else np.zeros(toxicity.WORD), sum(rows, np.zeros(toxicity.GRAM)) / max(1, len(rows))))
 
     def states(xs, d):
