@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tessera.llm.components import components
 from tessera.llm.memory import tidy
 from tessera.llm.simhash import forest
-from tessera.llm.storage import cut
+from tessera.llm.storage import cut, discard, write
 
 COSINE, RECALL = 0.98, 1.0
 #: Most codes per half; vectors in the codebooks' sample, at least and per code; rounds of their fit.
@@ -44,6 +44,8 @@ HOMES, REGION, BLOCK = 64, 1 << 17, 1 << 17
 AXES, STEPS = 16, 127
 #: Lengths of vectors that have codebooks, the most frequent ones; vectors of others share one cell a label.
 LENGTHS = 16
+#: Pairs of vectors that are compared at once.
+PAIRS = 1 << 22
 #: Slack for rounding in bounds that decide where to look; what is found is verified exactly.
 SLACK = 1e-9
 
@@ -288,7 +290,7 @@ def _candidates(cosine: float):
             wanted, visit = np.zeros(batch.num_rows, bool), np.zeros(len(block.row), bool)
             for _, h, span in block.cells():
                 o = block.row[span]
-                tile = max(1, (1 << 21) // len(h))
+                tile = max(1, PAIRS // len(h))
                 for k in range(0, len(o), tile):
                     i = o[k : k + tile]
                     near = norm[i][:, None] + norm[h] - 2 * (place[i] @ place[h].T) <= most
@@ -313,9 +315,9 @@ def _candidates(cosine: float):
 _KEPT = {"g": "bigint", "region": "int", "r": "int", "c": "int", "node": "bigint", "own": "int", "home": "boolean", "visits": "boolean", "cells": "array<int>", "seen": "array<int>"}
 
 
-def linked(v: np.ndarray, narrow: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
-    """Which rows i are linked with which rows j. Cosines too near to the threshold for single precision are summed in one fixed order, the same from both ends."""
-    s = narrow[i] @ narrow[j].T
+def linked(v: np.ndarray, i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows i are linked with which rows j; left and right hold them in single precision. Cosines too near to the threshold for single precision are summed in one fixed order, the same from both ends."""
+    s = left @ right.T
     slack = np.float32(max(1e-6, 4 * v.shape[1] * 6e-8))
     out = s >= cosine + slack
     a, b = np.nonzero(~out & (s >= cosine - slack))
@@ -342,15 +344,17 @@ def _verify(cosine: float):
             for k, x in enumerate(h.tolist()):
                 sees[k] = np.isin(cells, seen[at[x] : at[x + 1]])
             place = {x: k for k, x in enumerate(h.tolist())}
+            others, all_see = narrow[o], sees.all()
 
-            def near(i: np.ndarray, j: np.ndarray, sees=sees, place=place, cell_of=cell_of) -> np.ndarray:
-                link = linked(v, narrow, i, j, cosine)
+            def near(i: np.ndarray, j: np.ndarray, sees=sees, place=place, cell_of=cell_of, others=others, all_see=all_see) -> np.ndarray:
+                link = linked(v, i, j, narrow[i], others, cosine)
                 link &= block.node[i][:, None] != block.node[j]
                 count[j] += n[i] @ link
-                count[i] += (link & ~sees[[place[x] for x in i.tolist()]][:, cell_of]) @ n[j]
+                if not all_see:
+                    count[i] += (link & ~sees[[place[x] for x in i.tolist()]][:, cell_of]) @ n[j]
                 return link
 
-            u, w = forest(h, o, near)
+            u, w = forest(h, o, near, PAIRS)
             us.append(u)
             ws.append(w)
         keep = np.flatnonzero(count > 0)
@@ -382,7 +386,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = cut(rows.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v"), "usable": F.col("v").isNotNull()}), "vectors")
     keyed = ["label", "a", "b"]
     classes = rows.filter("usable").groupBy(*keyed).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    classes = cut(classes.withColumns({"node": F.monotonically_increasing_id(), "size": F.size("v")}), "vector-classes")
+    classes, spent = write(classes.withColumns({"node": F.monotonically_increasing_id(), "size": F.size("v")}), "vector-classes")
     labels = classes.groupBy("size", "label").agg(F.count(F.lit(1)).alias("count"))
     labels = cut(labels.select("*", F.monotonically_increasing_id().alias("g"), F.ceil(F.sqrt(F.col("count") / HOMES)).cast("int").alias("fine"), F.ceil(F.sqrt(F.col("count") / REGION)).cast("int").alias("side")), "labels")
     grids = {}
@@ -390,13 +394,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         wanted = min(codes, most)
         chosen = classes.filter(F.col("size") == size).orderBy(F.xxhash64("a", F.lit("sample")), "node").limit(max(sample, PER_CODE * wanted)).select("v").toPandas()["v"]
         grids[size] = Grid.fit(unit(pa.array(chosen.tolist(), pa.list_(pa.float64()))), wanted, cosine, recall)
-    pairs = cut(_links(classes, labels, spark.sparkContext.broadcast(grids), number, cosine, block), "links")  # some MB at CODES codes
+    copies, visited = write(_visits(classes, labels, spark.sparkContext.broadcast(grids)), "visits")  # some MB at CODES codes
+    pairs = cut(_links(copies, classes, cosine, block), "links")
+    discard(spark, visited)
     together = components(pairs.filter("other <> -1").select(F.col("node").alias("u"), F.col("other").alias("v"))).select("node", "root")
     counts = pairs.filter("links > 0").groupBy("node").agg(F.sum("links").alias("others"))
     full = classes.drop("v").join(counts, "node", "left").join(together, "node", "left")
     full = full.select(*keyed, F.coalesce("root", "node").alias("root"), "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     roots = full.groupBy("root").agg(F.min("least").alias("component"))
     named = cut(full.join(roots, "root").select(F.col("label").alias("l"), F.col("a").alias("x"), F.col("b").alias("y"), "n_links", "component"), "named")
+    discard(spark, spent)
     on = (F.col("label") == F.col("l")) & (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))
     out = rows.filter("usable").join(named, on).select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
     # rows that link with nothing don't meet at a null key
@@ -404,12 +411,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, labels: DataFrame, grids, number: str, cosine: float, block: int) -> DataFrame:
-    """(node, links, other): linked rows of a node by block, with other -1; and edges that connect what is linked, with links 0."""
+def _visits(classes: DataFrame, labels: DataFrame, grids) -> DataFrame:
+    """A row for every region that a vector visits: its cells there and its place, without the vector."""
     placed = classes.join(labels.select(F.col("label").alias("l"), F.col("size").alias("s"), "g", "fine", "side"), (F.col("label") == F.col("l")) & (F.col("size") == F.col("s")))
     longs = ", ".join(f"{p} bigint" for p in PLACES)
     schema = f"g bigint, region int, node bigint, own int, home boolean, cells array<int>, seen array<int>, {longs}"
-    copies = cut(placed.select("g", "node", "fine", "side", "v").mapInArrow(tidy(_index(grids)), schema), "visits")
+    return placed.select("g", "node", "fine", "side", "v").mapInArrow(tidy(_index(grids)), schema)
+
+
+def _links(copies: DataFrame, classes: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(node, links, other): linked rows of a node by block, with other -1; and edges that connect what is linked, with links 0."""
     size = copies.groupBy("g", "region").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h")).filter(F.col("m") > block)
     hot = size.select(F.col("g").alias("hg"), F.col("region").alias("hr"), F.ceil(F.col("m") / block).cast("int").alias("cols"), F.ceil(F.greatest("h", F.lit(1)) / block).cast("int").alias("rows"))
     dealt = copies.join(hot, (F.col("g") == F.col("hg")) & (F.col("region") == F.col("hr")), "left")

@@ -132,10 +132,10 @@ def _replicas(bands: int):
     return run
 
 
-def forest(homes: np.ndarray, others: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+def forest(homes: np.ndarray, others: np.ndarray, near, pairs: int = TILE) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links between two lists of nodes. near(a, b): which of a x b are linked.
 
-    Equal nodes are one. Rows are compared in tiles that grow; pairs already connected are dropped before the rest
+    Equal nodes are one. Rows are compared in tiles that grow up to ``pairs`` pairs, each row once and with all others; pairs already connected are dropped before the rest
     is looked at, so that dense groups don't pile up pairs.
     """
     nodes, at = np.unique(np.concatenate((homes, others)), return_inverse=True)
@@ -144,7 +144,7 @@ def forest(homes: np.ndarray, others: np.ndarray, near) -> tuple[np.ndarray, np.
     edges: list[tuple[int, int]] = []
     k, tile = 0, 16
     while k < len(left):
-        tile = max(1, min(tile, TILE // max(1, len(right))))
+        tile = max(1, min(tile, pairs // max(1, len(right))))
         i, j = np.nonzero(near(homes[k : k + tile], others))
         i, j = left[k + i], right[j]
         a, b = label[i], label[j]

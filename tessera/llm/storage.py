@@ -39,5 +39,5 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> No
     """
     own = spark.conf.getAll
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        if key not in own and spark.conf.get(key, None) is not None:
+        if key not in own:
             spark.conf.set(key, value)

@@ -13,11 +13,29 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 
-from tessera.llm import decontaminate, fmindex, pieces, sharding
+from tessera.llm import decontaminate, fmindex, pieces, sharding, storage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def test_session_settings_stay(spark):
+    """Arrow bounds are set where the session has none; what it has set stays, be it the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, other = spark.newSession(), spark.newSession()
+    own.conf.set(key, "10000")
+    storage.arrow_batches(own)
+    storage.arrow_batches(other)
+    assert (own.conf.get(key), other.conf.get(key)) == ("10000", "1000")
+
+
+def test_shared_folder(spark):
+    """Tables go to the named folder; a spent one is gone."""
+    df, path = storage.write(spark.range(3), "some")
+    assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir")) and df.count() == 3
+    storage.discard(spark, path)
+    assert not storage.exists(spark, path)
+
+
 def test_pieces_fuzz():
     path = public_tokenizers.path(pieces.MODEL)
     sp, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
