@@ -1,14 +1,15 @@
 """Corpus preparation: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, SentencePiece tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows to the shared folder
-and gives them to the next. All stages but the last return the columns of documents.
+and gives them to the next; what a stage has read is deleted once its own rows stand. All stages but the last return the
+columns of documents.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, linededup, pieces, simhash, toxicity
-from tessera.llm.storage import cut
+from tessera.llm.storage import discard, write
 
 #: The network's weights and the star contractions are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -55,7 +56,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = path
+        docs, path = write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
