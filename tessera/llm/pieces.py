@@ -238,13 +238,12 @@ class Encoder:
 
         def keep(some: list[str], ids: list[bytes]) -> None:
             self.young.update(zip(some, ids, strict=True))
-            self.held += sum(ENTRY_BYTES + 4 * len(c) + len(i) for c, i in zip(some, ids, strict=True))
+            self.held += ENTRY_BYTES * len(some) + 4 * sum(map(len, some)) + sum(map(len, ids))
 
-        for c in chunks:
-            found = self.old.get(c)
-            if found is not None:
-                keep([c], [found])
-            elif len(c) >= LONG:
+        known = chunks & self.old.keys()
+        keep(list(known), [self.old[c] for c in known])
+        for c in chunks - known:
+            if len(c) >= LONG:
                 once[c] = self._chunk(SPACE + c)
             else:
                 todo.append(c)
