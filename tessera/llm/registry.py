@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html, langid, linededup, multiindex, pieces, secrets, sharding, simhash, toxicity
+from tessera.llm import decontaminate, html, langid, lexical, linededup, multiindex, pieces, quality, secrets, sharding, simhash, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,11 @@ def queries() -> dict:
         "op8_line_dedup": lambda s, d: linededup.dedup(table(s, d, "documents"), keep=["doc_id", "text"]),
         "op9_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_embedding_dedup": lambda s, d: multiindex.near_duplicates(table(s, d, "embeddings")),
+        "op11_quality": lambda s, d: quality.score(table(s, d, "documents"), table(s, d, "labels")),
+        "op12_whitening": lambda s, d: whitening.report(table(s, d, "embeddings")),
+        "op13_lexical_search": lambda s, d: lexical.search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_embedding_dedup": multiindex.ORACLE}
+    return {"op8_line_dedup": linededup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_embedding_dedup": multiindex.ORACLE, "op13_lexical_search": lexical.ORACLE}
