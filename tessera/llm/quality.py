@@ -45,35 +45,37 @@ def passages(size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Bags:
-    """Passages of some texts: by order the cells (passage * GRAMS + column) of all n-grams in the order of the texts, where each passage's begin, and each text's first passage."""
+    """Passages of some texts: all bytes, where each passage begins, ends and its text ends, and each text's first passage."""
 
-    cells: list[np.ndarray]
-    begin: list[np.ndarray]
+    raw: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    last: np.ndarray
     first: np.ndarray
 
     @classmethod
     def of(cls, texts: pa.Array) -> "Bags":
         raw, offsets = string_bytes(texts)
-        raw, size = _DIGITS[raw], np.diff(offsets)
-        first = np.concatenate(([0], np.cumsum(passages(size))))
-        text = np.repeat(np.arange(len(size)), size)
-        within = np.arange(len(raw)) - offsets[text]
-        passage, left = first[text] + within // PASSAGE, size[text] - within
-        every = np.arange(first[-1] + 1)
-        cells, begin, code = [passage * GRAMS + raw], [np.searchsorted(passage, every)], raw.astype(np.uint32)
+        n = passages(np.diff(offsets))
+        first = np.concatenate(([0], np.cumsum(n)))
+        begin = np.repeat(offsets[:-1], n) + (np.arange(first[-1]) - np.repeat(first[:-1], n)) * PASSAGE
+        last = np.repeat(offsets[1:], n)
+        return cls(raw, begin, np.minimum(begin + PASSAGE, last), last, first)
+
+    def dense(self, a: int, b: int) -> np.ndarray:
+        """Passages a to b as rows: roots of the n-grams' shares, and three measures of repetition. An n-gram belongs to the passage that it begins in."""
+        low, high = self.begin[a], self.end[b - 1]
+        raw = _DIGITS[self.raw[low : high + 2]]
+        size = self.end[a:b] - self.begin[a:b]
+        row, left = np.repeat(np.arange(b - a), size), np.repeat(self.last[a:b], size) - np.arange(low, high)
+        cells, code = [row * GRAMS + raw[: len(row)]], raw.astype(np.uint32)
         for order in (2, 3):
             code = code[:-1] << np.uint32(8) | raw[order - 1 :] if len(raw) >= order else code[:0]
             h = (code * np.uint32(0x9E3779B1) + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(20)
             whole = np.flatnonzero(left[: len(code)] >= order)  # none runs into the next text
-            cells.append(passage[whole] * GRAMS + 256 + h[whole])
-            begin.append(np.searchsorted(passage[whole], every))
-        return cls(cells, begin, first)
-
-    def dense(self, a: int, b: int) -> np.ndarray:
-        """Passages a to b as rows: roots of the n-grams' shares, and three measures of repetition."""
-        cell = np.concatenate([c[at[a] : at[b]] for c, at in zip(self.cells, self.begin, strict=True)]) - a * GRAMS
-        share = np.bincount(cell, minlength=(b - a) * GRAMS).reshape(b - a, GRAMS).astype(np.float32)
-        total = np.maximum(share.sum(1), 1)
+            cells.append(row[whole] * GRAMS + 256 + h[whole])
+        share = np.bincount(np.concatenate(cells), minlength=(b - a) * GRAMS).reshape(b - a, GRAMS).astype(np.float32)
+        total = share.sum(1)
         out = np.empty((b - a, WIDTH), np.float32)
         out[:, GRAMS] = np.count_nonzero(share, 1) / total
         share /= total[:, None]
