@@ -5,12 +5,19 @@ a longer x is joined by a shuffle on i. Results have one row (j, y) per column t
 same job: a row index of A that x lacks, or that x holds twice, ends the query with an error instead of a wrong sum.
 """
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import new_path
+
 #: Rows of x up to which it is broadcast: 16 bytes each, so 16 MB at most.
 BROADCAST_ROWS = 1 << 20
 TILE = 64
+#: Elements of an x that goes into the plan as a literal: 512 KB.
+LITERAL = 1 << 16
 
 
 def check_shapes(a: DataFrame, x: DataFrame) -> None:
@@ -29,7 +36,8 @@ def _small(x: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS
 
 
-def _fail(message: str, kind: str = "double"):
+def fail(message: str, kind: str = "double"):
+    """A column that ends the query with the message when it is read."""
     return F.raise_error(F.lit(message)).cast(kind)
 
 
@@ -44,7 +52,7 @@ def lookup(a: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame
         strategy, once = "broadcast", x.select("i", "xv", F.lit(1).alias("times"))
     else:  # grouped by i as the join is, so that a merge join shuffles x once
         strategy, once = strategy or "merge", x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times"))
-    element = F.when(F.col("times") == 1, F.col("xv")).when(F.col("times") > 1, _fail("x holds an index twice")).otherwise(_fail("x has no element for a row of the matrix"))
+    element = F.when(F.col("times") == 1, F.col("xv")).when(F.col("times") > 1, fail("x holds an index twice")).otherwise(fail("x has no element for a row of the matrix"))
     return a.join(once.hint(strategy), "i", "left").withColumn("xv", element).drop("times")
 
 
@@ -82,3 +90,36 @@ def tiles(n: int, spark, tile: int = TILE) -> DataFrame:
 def densify(y: DataFrame, n: int) -> DataFrame:
     """Exactly the rows j = 0 .. n - 1, with 0.0 where y has none."""
     return y.sparkSession.range(n).select(F.col("id").alias("j")).join(y, "j", "left").select("j", F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+def _literal(x: DataFrame) -> np.ndarray:
+    """x's elements in order; ValueError if there are more than LITERAL of them, or one is missing or held twice."""
+    rows = sorted((r.i, r.xv) for r in x.limit(LITERAL + 1).collect())
+    if len(rows) > LITERAL:
+        raise ValueError(f"x has more than {LITERAL} elements: take matvec on the long form")
+    if [i for i, _ in rows] != list(range(len(rows))):
+        raise ValueError("x lacks an index or holds one twice")
+    return np.array([v for _, v in rows], np.float64)
+
+
+def matvec_packed(rows: DataFrame, x: DataFrame) -> DataFrame:
+    """(i, y) with y[i] = sum over j of row[j] * x[j]: the product of the row-major matrix itself, row by row.
+
+    Each row's dot product is made where the row is read; nothing is shuffled. x is a literal of checked size. A row
+    whose length isn't x's ends the query with an error.
+    """
+    weights = F.lit(_literal(x))
+    dot = F.aggregate(F.zip_with(F.col("row").cast("array<double>"), weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return rows.select("i", F.when(F.size("row") == F.size(weights), dot).otherwise(fail("a row and x differ in length")).alias("y"))
+
+
+def bucketed(df: DataFrame, buckets: int, index: str = "i", name: str = "bucketed") -> DataFrame:
+    """df written to the shared folder in buckets of its index, one file each: two such tables, with as many buckets, meet without a shuffle.
+
+    Worth it for what is joined again and again. A bucket isn't split: where one index holds a large share of the rows,
+    ``lookup`` on the unbucketed table is the better plan.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, index).write.bucketBy(buckets, index).sortBy(index).format("parquet")
+    dealt.option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

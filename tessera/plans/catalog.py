@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import fixed2, speedup
 from tessera.operators import linalg, reduce
-from tessera.plans import harness, report
+from tessera.plans import harness, report, stored
 from tessera.sources import generate
 from tessera.sources.records import MEASURES, RECORD_SCHEMA, read_records, write_records
 from tessera.sources.shared import new_path
@@ -130,7 +130,7 @@ def queries() -> dict:
         "observed_rows": observed,
         "chart_frames": lambda s, _: report.chart_frames(records(s)),
     }
-    return out | {f"chart_{name}": (lambda s, _, name=name: report.chart(records(s), name)) for name in report.CHARTS}
+    return out | stored.queries() | {f"chart_{name}": (lambda s, _, name=name: report.chart(records(s), name)) for name in report.CHARTS}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -175,4 +175,4 @@ def oracle_sql() -> dict[str, str]:
         "observed_rows": "SELECT count(*) AS observed_rows FROM lineitem",
         "chart_frames": " UNION ALL ".join(series.values()),
     }
-    return out | {f"chart_{name}": sql for name, sql in series.items()}
+    return out | stored.oracle_sql() | {f"chart_{name}": sql for name, sql in series.items()}
