@@ -5,9 +5,10 @@ with it, the element it stands in, and whether it is a link for the most part. E
 role or class are flagged, and what stands in them goes. Over the other lines' text-to-tag ratios runs a Gaussian;
 two-means clustering of the smoothed ratios sets the threshold over which lines are content. Content regions are the
 innermost container that holds the selected lines, and all articles that hold some: they stay whole. Outside them stay
-selected lines, and below the threshold what is written as a heading or a paragraph and is no link, so that titles, leads
-and short closing paragraphs aren't lost; links and bare text of wrappers go there. Without such a container all but
-links below the threshold stays.
+selected lines, and below the threshold what is written as a paragraph and is no link, so that leads and short closing
+paragraphs aren't lost; headings, where what follows them stays; and bare text of containers right before the region
+and beside it. Links and other bare text of wrappers go there. Without such a container all but links below the threshold stays.
+A page without a level-one heading in what stays gets the one of its header back, if that is no link and the title begins with it.
 """
 
 import re
@@ -27,10 +28,12 @@ SIGMA, RADIUS = 1.0, 3
 ARTICLE_SHARE, CONTAINER_SHARE = 0.5, 0.8
 # Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head title noscript template svg iframe object canvas math".split())
+SILENT = frozenset("script style head title noscript template svg iframe object canvas annotation annotation-xml".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav footer aside form button select textarea option dialog menu label fieldset".split())
 BLOCK = frozenset(
-    "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article main section div td body".split())
 ENDS_PARAGRAPH = BLOCK - {"body", "html"}
@@ -39,13 +42,18 @@ SCOPES = frozenset("ul ol dl table article section div main nav aside footer for
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words that name furniture, words that may stand beside them in one class or id, and what names parts of a text.
 MARKS = re.compile(
-    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav(?:bar|igation|s)?|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|popup|modal|overlay|widgets?|toolbar|pagination|pager|skip|hidden",
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav(?:bar|igation|s)?|breadcrumbs?|footer|header|masthead|comments?|comment(?:list|form|box|area|thread)s?|replies|disqus|ccpa|adsense|adsbygoogle|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|popup|modal|overlay|widgets?|toolbar|pagination|pager|skip|hidden",
     re.IGNORECASE,
 )
-BESIDE = frozenset("site global top bottom left right primary secondary main sub the wp js wrap wrapper container inner outer box bar block section area list item items link links button buttons icons posts articles stories form bottom content to text".split())
-PARTS = frozenset("entry post article page story".split())
+BESIDE = frozenset("site global top bottom left right primary secondary main sub the wp js wrap wrapper container inner outer box bar block section area list item items link links button buttons icons posts articles stories form bottom content to text law info policy message warning accept settings slot unit zone space label placement holder placeholder google thread respond reply title user users fb facebook window col body author meta view views count new all latest recent more reader readers guest side".split())
+#: Marks that decide alone, whatever stands beside them, and words that turn a mark into a statement about the layout.
+STRONG = re.compile(r"comments|commentlist|sidebar|disqus|newsletter|advert(?:s|isements?|ising)?|adsbygoogle|breadcrumbs?|pagination|gdpr|ccpa", re.IGNORECASE)
+LAYOUT = frozenset("has have no not non with without is hide show enabled disabled open closed".split())
+#: The first word of names that consent windows bear, with the second.
+CONSENT = frozenset("window banner bar revoke message dialog".split())
+PARTS = frozenset("entry post article page story content".split())
 #: Marks that beside one of PARTS, or within an article, belong to the text.
-OF_TEXT = frozenset("header footer banner masthead notice alert hidden overlay".split())
+OF_TEXT = frozenset("header banner masthead notice alert hidden overlay".split())
 #: Furniture by its element name that can also wrap a whole page.
 SOFT = frozenset("form fieldset label".split())
 #: White space of HTML and of Unicode alike becomes one space.
@@ -59,8 +67,12 @@ BARE = frozenset("div section td span body".split()) | {""}
 def marked(names: str, in_article: bool) -> bool:
     """Whether one of the classes or ids names furniture as a whole: has-sidebar, overflow-hidden or entry-header don't."""
     for name in names.split():
-        words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+        words = [w for w in re.split(r"[-_]+", name.lower().replace("side-bar", "sidebar").replace("side_bar", "sidebar")) if w and not w.isdigit()]
+        if len(words) > 1 and words[0] == "cc" and words[1] in CONSENT:
+            return True
         marks = [w for w in words if MARKS.fullmatch(w)]
+        if not LAYOUT & set(words) and any(STRONG.fullmatch(w) for w in marks):
+            return True
         if not marks or any(w not in BESIDE and w not in PARTS and not MARKS.fullmatch(w) for w in words):
             continue
         if not (set(marks) <= OF_TEXT and (in_article and set(marks) <= {"header"} or PARTS & set(words))) and not (words != marks and marks == ["hidden"]):
@@ -89,6 +101,12 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, link
         self.parts: list[str] = []
         self.tags = self.linked = 0
+        self.title: list[str] = []
+
+    def _end_head(self) -> None:
+        """A head whose end tag is left out ends where the body's content begins."""
+        if self.places.get("head"):
+            self._close(self.places["head"][-1])
 
     def _end_line(self) -> None:
         if self.parts:
@@ -112,6 +130,8 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in HEAD and tag != "head":
+            self._end_head()
         if tag in VOID:
             if tag == "hr":
                 self._end_line()
@@ -127,7 +147,7 @@ class _Lines(HTMLParser):
         hard = tag in FURNITURE and tag not in SOFT or tag == "header" and not in_article
         soft, a = tag in SOFT, dict(attrs)
         if attrs and tag not in ("html", "body"):
-            hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "").lower() in ROLES or "display:none" in (a.get("style") or "").replace(" ", "").lower()
+            hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or (role := (a.get("role") or "").lower()) in ROLES and not (in_article and role == "alert") or "display:none" in (a.get("style") or "").replace(" ", "").lower()
             soft = soft or tag != "main" and marked(f"{a.get('class') or ''} {a.get('id') or ''}", in_article)
         if hard or soft:
             self._end_line()
@@ -161,6 +181,10 @@ class _Lines(HTMLParser):
             self._close(at)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "title" and not self.places.get("svg"):
+            self.title.append(data)
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
             self.linked += len(data) if self.open and self.open[-1][3] else 0
@@ -195,6 +219,11 @@ class _Lines(HTMLParser):
             dead = self._dead(gone)
         return dead
 
+    def dull_beyond(self, d: int) -> bool:
+        """Whether furniture stands within other furniture, or is of a kind that bears no title."""
+        a = self.around.get(d, 0)
+        return a > 0 and self.name[a] not in ("header", "div")
+
     @staticmethod
     def mass(own: list[tuple[int, int]], outer: dict[int, int]) -> dict[int, int]:
         """Sizes by element, those of the elements within included; 0 stands for the page."""
@@ -268,13 +297,34 @@ def main_text(page: str | None) -> str:
         b = parser.box[e]
         inside[e] = b > 0 and (b == home or inside[b] if b != e else b == home or b in articles and b in filled or inside[parser.above[b]])
     first, last = chosen[0], chosen[-1]
-    out = []
-    for k, (text, _, e, link) in enumerate(parser.lines):
+    kept, lead = [], []
+    for k, (_, _, e, link) in enumerate(parser.lines):
         here = inside[e] or not home and first <= k <= last
-        # outside the regions stay what the threshold selects, smoothed or not, and text that is written as a heading or paragraph
-        if not dull[k] and (here or max(ratio[k], plain[k]) >= cut or not link and (not home or parser.name[e] not in BARE)):
-            out.append(text)
-    return "\n".join(out)
+        # outside the regions stay what the threshold selects, smoothed or not (bare text by its own ratio alone), and text that is written as a heading or paragraph
+        bare = home and parser.name[e] in BARE
+        kept.append(not dull[k] and (here or (plain[k] if bare else max(ratio[k], plain[k])) >= cut or not link and not bare))
+        lead.append(bool(home) and not (kept[k] or dull[k] or link) and parser.box[e] == e and parser.above[e] == parser.above[home])
+    follows = leads = False
+    for k in reversed(range(len(kept))):  # outside them a heading needs what it stands over, and bare text of a wrapper the region right behind it
+        e = parser.lines[k][2]
+        if home and kept[k] and not inside[e] and parser.name[e] in HEADINGS and max(ratio[k], plain[k]) < cut:
+            kept[k] = follows
+        kept[k] = kept[k] or lead[k] and leads
+        leads = leads if dull[k] else inside[e] or lead[k] and leads
+        follows = follows if dull[k] else kept[k]
+    if not any(x and parser.name[parser.lines[k][2]] == "h1" for k, x in enumerate(kept)):
+        kept = [x or k == headline(parser, first) for k, x in enumerate(kept)]
+    return "\n".join(text for (text, _, _, _), x in zip(parser.lines, kept, strict=True) if x)
+
+
+def headline(parser: _Lines, before: int) -> int:
+    """The line of the page's level-one heading in a header before the text, -1 for none: no link, and what the title begins with if there is a title."""
+    title = SPACE.sub(" ", "".join(parser.title)).strip().casefold()
+    for k, (text, _, e, link) in enumerate(parser.lines[:before]):
+        d = parser.dull[e]
+        if parser.name[e] == "h1" and not link and parser.name[d] in ("header", "div") and not parser.dull_beyond(d) and title.startswith(text.casefold() if title else ""):
+            return k
+    return -1
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -2,11 +2,13 @@
 
 import hashlib
 import html as entities
+import math
 import random
 import re
 import string
 import time
 
+import numpy as np
 import pytest
 
 from tessera.llm import html, secrets
@@ -195,7 +197,7 @@ def test_html_parts():
     for empty in (None, "", "   ", "<nav>menu</nav>", "<script>x"):
         assert html.main_text(empty) == ""
     assert html.main_text("just text &lt;here&gt;") == "just text <here>"
-    assert html.main_text("<p>" * 3000 + "deep" + "<b" * 10) is not None
+    assert html.main_text("<p>" * 3000 + "deep" + "<b" * 10) == "deep"
 
 
 LONG = "many words that make a paragraph of content " * 6
@@ -240,6 +242,106 @@ def test_html_ratios_decide():
     assert html.main_text(page).split("\n") == ["Part", *[LONG.strip()] * 4, "tail", "Closing.", LONG.strip()]
 
 
+BODY, THREE = f"<p>{LONG}</p>" * 3, [LONG.strip()] * 3
+
+
+@pytest.mark.parametrize("page,lines", [
+    (f"<head><title>T</title><body><article><h1>T</h1>{BODY}</article>", ["T", *THREE]),
+    (f"<head><meta charset=utf-8><title>T</title><h1>T</h1>{BODY}", ["T", *THREE]),
+    (f"<html><head><title>T</title><style>x</style>Bare text. <p>{LONG}</p>", ["Bare text.", LONG.strip()]),
+    (f"<head><title>T</title><script>a</script><noscript>no</noscript></head><body>{BODY}", THREE),
+])
+def test_html_head_ends_where_content_begins(page, lines):
+    assert html.main_text(page).split("\n") == lines
+
+
+@pytest.mark.parametrize("before,title", [
+    ('<div class="content-header"><h1>Title</h1></div>', "Title"), ("<header><h1>Title</h1></header>", "Title"), ('<div class="page-header"><h1>Title</h1></div>', "Title"),
+    ("<header><h1><a href=/>Site</a></h1></header>", None), ("<header><nav><h1>Menu</h1></nav></header>", None), ("<title>Story - Site</title><header><h1>Site</h1></header>", None),
+    ("<title>Title - Site</title><header><h1>Title</h1></header>", "Title"), ("<svg><title>Icon</title></svg><header><h1>Title</h1></header>", "Title"),
+    ('<div class="lead">A lead beside the text.</div>', "A lead beside the text."), ("<div><div>My site</div></div>", None),
+])
+def test_html_titles_and_leads_beside_the_text(before, title):
+    page = f'<body><nav>menu</nav><div id=page>{before}<div class="text">{BODY}</div><div>Imprint</div></div></body>'
+    assert html.main_text(page).split("\n") == ([title] if title else []) + THREE
+
+
+@pytest.mark.parametrize("furniture", [
+    f'<ol class="commentlist"><li><p>{LONG}</p></li></ol>', f'<div class="fb-comments"><p>{LONG}</p></div>', f'<div id="disqus_thread"><p>{LONG}</p></div>',
+    f'<div class="user-comments"><p>{LONG}</p></div>', f'<div class="comment-respond"><h3>Reply</h3><p>{LONG}</p></div>', f'<div id="cookie-law-info-bar"><p>{LONG}</p></div>',
+    f'<div class="cc-window"><p>{LONG}</p></div>', f'<div class="ad-slot"><p>{LONG}</p></div>', f'<div class="ad-unit"><p>{LONG}</p></div>', f'<div class="side-bar"><p>{LONG}</p></div>',
+    "<div class=col-3><h3>Popular</h3><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>", f'<div class="entry-footer"><p>{LONG}</p></div>', f'<div class="acme-comments-v2"><p>{LONG}</p></div>',
+])
+def test_html_furniture_under_common_names(furniture):
+    for wrapper in ("article", "div"):
+        assert html.main_text(f"<body><{wrapper}><h1>Title</h1>{BODY}</{wrapper}>{furniture}</body>").split("\n") == ["Title", *THREE]
+        assert html.main_text(f"<body>{furniture}<{wrapper}><h1>Title</h1>{BODY}</{wrapper}></body>").split("\n") == ["Title", *THREE]
+    if "col-3" not in furniture:
+        assert html.main_text(f"<body><article><h1>Title</h1>{BODY}{furniture}</article></body>").split("\n") == ["Title", *THREE]
+
+
+@pytest.mark.parametrize("names", ["comments-open", "no-comments", "has-sidebar", "with-newsletter", "recipe-cookies", "ad-hoc"])
+def test_html_names_that_only_look_like_furniture(names):
+    assert html.main_text(f'<article><div class="{names}">{BODY}</div><p>End of it.</p></article>').split("\n") == [*THREE, "End of it."]
+
+
+def test_html_blocks_formulas_and_alerts():
+    assert html.main_text("<center>One</center><center>Two</center>") == "One\nTwo"
+    assert html.main_text("<table><caption>Head</caption><tr><td>a<td>b</table>") == "Head\na\nb"
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
+    assert html.main_text(f"<p>{LONG} where {formula} holds</p>") == f"{LONG} where x=2 holds".replace("  ", " ")
+    assert html.main_text(f'<article>{BODY}<p role="alert">Kept.</p></article>').split("\n") == [*THREE, "Kept."]
+    assert html.main_text(f'<body><div role="alert"><p>{LONG}</p></div><article>{BODY}</article></body>').split("\n") == THREE
+
+
+def test_html_numbers_match_loops():
+    r = random.Random(4)
+    for size in (1, 2, 5, 40):
+        values = [r.choice([0.0, r.random() * 300]) for _ in range(size)]
+        want = []
+        for k in range(size):
+            near = [(math.exp(-((j - k) ** 2) / (2 * html.SIGMA**2)), values[j]) for j in range(size) if abs(j - k) <= html.RADIUS]
+            want.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        assert html.smooth(np.array(values)).tolist() == pytest.approx(want)
+        low, high = min(values), max(values)
+        for _ in range(50):
+            upper, lower = ([v for v in values if (v > (low + high) / 2) == up] for up in (True, False))
+            if not upper or not lower:
+                break
+            low, high = sum(lower) / len(lower), sum(upper) / len(upper)
+        assert html.threshold(np.array(values)) == pytest.approx((low + high) / 2)
+
+
+def test_html_region_matches_a_loop():
+    """The innermost article with half of the selected text, else the innermost container with four fifths, by walking up from every line."""
+    r = random.Random(5)
+    for _ in range(60):
+        page, open_ = "", []
+        for _ in range(r.randint(5, 40)):
+            if open_ and r.random() < 0.4:
+                page += f"</{open_.pop()}>"
+            elif r.random() < 0.5:
+                open_.append(r.choice(["div", "section", "article", "div"]))
+                page += f"<{open_[-1]}>"
+            else:
+                page += f"<p>{'w' * r.randint(1, 99)}</p>"
+        parser = html._Lines()
+        parser.feed(page + "<p>end</p>")
+        parser.close()
+        parser._end_line()
+        chosen = [k for k in range(len(parser.lines)) if r.random() < 0.7] or [0]
+        held, total = {}, 0
+        for k in chosen:
+            text, _, e, _ = parser.lines[k]
+            total += len(text)
+            at = parser.box[e]
+            while at:
+                held[at] = held.get(at, 0) + len(text)
+                at = parser.above[at]
+        articles = [e for e in held if parser.name[e] == "article" and held[e] >= 0.5 * total]
+        assert html.region(parser, chosen) == max(articles or [e for e in held if held[e] >= 0.8 * total] or [0])
+
+
 @pytest.mark.parametrize("page,text", [
     ("<div>" * 100_000 + "x", "x"), ("<div class=sidebar>" * 50_000 + "x", "x"), ("<form><article>" * 20_000 + "x", "x"), ("<p>x" + "<b>" * 50_000 + "</i>" * 50_000, "x"),
     ("<ul>" + "<div>" * 50_000 + "</li>" * 50_000 + "x", "x"), ("<p>x</p>" + "<!--" * 50_000, "x"), ("<p>x</p>" + "<b" * 50_000, "x"),
