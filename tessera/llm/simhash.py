@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bitmap
 from tessera.llm.components import components
 from tessera.llm.memory import tidy
-from tessera.llm.storage import arrow_batches, cut, fresh
+from tessera.llm.storage import arrow_batches, cut, discard, fresh, write
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: By number of bands: replicas of a fingerprint, and anchors of a band. The links found are the same.
@@ -224,9 +225,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
     """(fp) distinct to (u, v): links that connect exactly the fingerprints that chains of DISTANCE bits connect."""
+    return _links(distinct, bands, block)[0]
+
+
+def _links(distinct: DataFrame, bands: int, block: int) -> tuple[DataFrame, str]:
+    """The links, and where the replicas lie that they are made from: made once, counted and compared from there."""
     # dealt out anew: the table is small for the work that each of its rows makes
     spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    copies = distinct.repartition(spread, "fp").mapInArrow(tidy(_replicas(bands)), "anchor bigint, fp bigint, home boolean")
+    copies, path = write(distinct.repartition(spread, "fp").mapInArrow(tidy(_replicas(bands)), "anchor bigint, fp bigint, home boolean"), "replicas")
     # every fingerprint is among the replicas, so at an anchor its homes are compared with all that visit it
     size = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
     hot = size.filter(F.col("n") > block).select(
@@ -242,7 +248,7 @@ def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
     as_other = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), F.lit(False).alias("home")))
     placed = dealt.select("anchor", "fp", F.explode(F.concat(as_home, as_other)).alias("p")).select("anchor", "p.r", "p.c", "fp", "p.home")
     parts = placed.repartition("anchor", "r", "c").sortWithinPartitions("anchor", "r", "c")
-    return parts.mapInArrow(tidy(_compare), "u bigint, v bigint")
+    return parts.mapInArrow(tidy(_compare), "u bigint, v bigint"), path
 
 
 def cost(n: int, bands: int) -> float:
@@ -257,7 +263,9 @@ def _named(marks: DataFrame, bands: int | None, block: int) -> DataFrame:
     if bands is None:
         n = lowest.count()
         bands = min(PLANS, key=lambda b: cost(n, b))
-    linked = components(links(lowest.select("fp"), bands, block))
+    found, path = _links(lowest.select("fp"), bands, block)
+    linked = components(found)
+    discard(marks.sparkSession, path)
     classes = lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return cut(classes.join(roots, "root").select(F.col("fp").alias("class_fp"), "root", "component_id"), "classes")
@@ -278,13 +286,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row of each component: that with the least id, a null id last, among equal ids that with the least text hash.
 
-    All columns stay. Of repeated rows one stays.
+    All columns stay. Of rows with equal id and text one stays, whichever it is where their other columns differ. Neither
+    the texts that stay nor those that go are shuffled: a bit map of what goes lets the rest through, and only what it
+    can't tell apart, some rows in thousands, is looked up. Where very much goes the map fills up and more is looked up.
     """
     marks = cut(fingerprints(docs, key, text), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     first = marks.join(_named(marks, bands, block), F.col("fp") == F.col("class_fp")).groupBy("root").agg(F.min(rank).alias("r"))
-    i, m = fresh(docs, "id", "mark")
-    chosen = first.select(F.col("r.id").alias(i), F.col("r.mark").alias(m))
-    kept = docs.join(chosen, docs[key].cast("bigint").eqNullSafe(chosen[i]) & (F.xxhash64(docs[text]) == chosen[m]), "left_semi")
-    repeated = marks.groupBy("doc_id", "mark").count().filter("count > 1").limit(1).count()
-    return kept.withColumn(m, F.xxhash64(docs[text])).dropDuplicates([key, m]).drop(m) if repeated else kept
+    chosen = first.select(F.col("r.id").alias("id"), F.col("r.mark").alias("own"))
+    each = marks.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    found = each.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own")), "left")
+    state = cut(found.select("doc_id", "mark", F.col("own").isNotNull().alias("stays"), "n"), "states")
+    place = lambda i, m, seed=0: F.xxhash64(F.lit(seed), i, m)
+    gone = bitmap.made(state.filter("not stays or n > 1"), place(F.col("doc_id"), F.col("mark")))
+    met = bitmap.holds(state.filter("stays"), place(F.col("doc_id"), F.col("mark")), gone, "met")
+    saved = cut(met.filter("met").select("doc_id", "mark"), "saved")
+    again = bitmap.made(saved, place(F.col("doc_id"), F.col("mark"), 1))
+    i, m, h, a, si, sm = fresh(docs, "id", "mark", "held", "again", "saved_id", "saved_mark")
+    own = docs.withColumn(i, docs[key].cast("bigint")).withColumn(m, F.xxhash64(docs[text]))
+    held = bitmap.holds(own, place(F.col(i), F.col(m)), gone, h)
+    doubtful = bitmap.holds(held.filter(F.col(h)), place(F.col(i), F.col(m), 1), again, a).filter(F.col(a))
+    named = saved.select(F.col("doc_id").alias(si), F.col("mark").alias(sm))
+    kept = doubtful.join(named, F.col(i).eqNullSafe(F.col(si)) & (F.col(m) == F.col(sm)), "left_semi").dropDuplicates([i, m])
+    return held.filter(~F.col(h)).select(*docs.columns).union(kept.select(*docs.columns))

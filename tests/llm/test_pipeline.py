@@ -8,12 +8,14 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from test_models import plain_score
 from test_pairs import brute_simhash
-from tessera.llm import pieces, registry, toxicity
+from tessera.llm import bitmap, pieces, registry, simhash, toxicity
+from tessera.plans import metrics
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +80,27 @@ def test_one_of_each_group(steps):
     assert sorted(r.doc_id for r in steps[3].collect()) == sorted(groups)
 
 
+@pytest.mark.parametrize("words", [1 << 20, 1])
+def test_keep_one_of_copies_and_odd_rows(spark, odd, monkeypatch, words):
+    """With the bit map at its size and with one of a single word, which lets all through: one row of each component, all columns, of repeated rows one."""
+    monkeypatch.setattr(bitmap, "MAP_WORDS", words)
+    docs = odd.unionByName(odd.filter("doc_id in (1, 7)")).withColumn("held", odd.doc_id).withColumn("mark", odd.n_chars)
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    named, groups = [(i, t) for i, t in rows], {}
+    component = {int(k): c for k, _, c in brute_simhash([(k, t) for k, (_, t) in enumerate(named)])}  # numbers stand in for ids, so that null ones have a place
+    for k, (i, t) in enumerate(named):
+        groups.setdefault(component[k], []).append((i is None, i or 0, spark.range(1).select(F.xxhash64(F.lit(t))).first()[0], i, t))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for *_, i, t in (min(g, key=lambda x: x[:3]) for g in groups.values()))
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_shuffles_no_texts(spark, steps):
+    moved = metrics.node_metrics(simhash.keep_one(steps[2])).filter("operator = 'ShuffleExchangeExec'").agg(F.sum("bytes")).first()[0]
+    assert (moved or 0) < 0.05 * sum(len(r.text) for r in steps[2].collect())
+
+
 def test_no_benchmark_passage_left(spark, steps):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +140,6 @@ def test_run_and_odd_rows(spark, odd, steps):
 
 def test_registered():
     names = list(registry.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert set(__spark_entry__.queries()) >= {*names, "pipeline"} and set(registry.oracle_sql()) <= set(names)
     assert np.all([callable(f) for f in __spark_entry__.queries().values()])
