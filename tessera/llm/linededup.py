@@ -3,20 +3,19 @@
 Every run of WINDOW consecutive lines of a document is hashed to 128 bits. A window that stands more than once in the
 corpus, within a document or across documents, is repeated; its first occurrence (least doc_id, then least line, then
 least hash of the text, which tells texts of one id apart) stays, and every later one covers its lines. Covered lines
-go; a line goes once, however many windows cover it.
+go; a line goes once, however many windows cover it. Hashes are made once and written to the shared folder.
 
-Most documents lose no line. Their texts aren't shuffled: a Bloom filter of the documents that do lose some, MAP_WORDS
-words of 64 bits however many there are, is broadcast, and what it can't hold passes straight through.
+Most documents lose no line. Their texts aren't shuffled: what a bit map of the documents that do lose some doesn't hold
+passes straight through.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import cut, fresh
+from tessera.llm import bitmap
+from tessera.llm.storage import cut, discard, fresh, write
 
 WINDOW = 3
-#: Words of the filter's bit map: 16 bytes a row, so 16 MB are broadcast at most.
-MAP_WORDS = 1 << 20
 
 
 def _lines(text):
@@ -33,7 +32,10 @@ def windows(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataF
 
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, mark, gone): the lines, from 0, that later occurrences of repeated windows cover; only documents with some."""
-    w = windows(docs, key, text, window)
+    return _covered(windows(docs, key, text, window), window)
+
+
+def _covered(w: DataFrame, window: int) -> DataFrame:
     first = w.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line", "mark")).alias("first")).filter("n > 1")
     later = w.join(first.select("a", "b", "first"), ["a", "b"]).filter(~F.struct("id", "line", "mark").eqNullSafe(F.col("first")))
     found = later.groupBy("id", "mark").agg(F.collect_set("line").alias("at"))
@@ -49,31 +51,20 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     docs is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "n_removed"]
-    i, m, g, p, w = fresh(docs, "id", "mark", "gone", "place", "bits")
-    gone = cut(covered(docs, key, text, window), "covered-lines")
-    place = F.xxhash64("id", "mark")
-    bits = gone.groupBy(_word(place).alias(p)).agg(F.bit_or(_bit(place)).alias(w))
-    gone = gone.select(F.col("id").alias(i), F.col("mark").alias(m), F.col("gone").alias(g))
-
-    def either(some: bool) -> DataFrame:
-        own = F.xxhash64(docs[key], F.xxhash64(docs[text]))
-        hit = docs.join(F.broadcast(bits), _word(own) == bits[p], "left").filter((F.coalesce(bits[w], F.lit(0).cast("bigint")).bitwiseAND(_bit(own)) != 0) == F.lit(some))
-        if not some:
-            return hit.select(*(docs[c] for c in kept), F.lit(0).cast("bigint").alias("n_removed"))
-        joined = hit.join(gone, docs[key].eqNullSafe(gone[i]) & (F.xxhash64(docs[text]) == gone[m]), "left")
-        remaining = F.array_join(F.filter(_lines(docs[text]), lambda _, k: ~F.array_contains(gone[g], k)), "\n")
-        clean = F.when(gone[g].isNull(), docs[text]).otherwise(remaining)
-        return joined.select(*(clean.alias(c) if c == text else docs[c] for c in kept), F.coalesce(F.size(gone[g]), F.lit(0)).cast("bigint").alias("n_removed"))
-
-    return either(False).union(either(True))
-
-
-def _word(place):
-    return F.pmod(place, F.lit(MAP_WORDS)).cast("bigint")
-
-
-def _bit(place):
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(place, 20), F.lit(64)).cast("int"))
+    i, m, h, gi, gm, g = fresh(docs, "id", "mark", "held", "gone_id", "gone_mark", "gone")
+    hashed, path = write(windows(docs, key, text, window), "windows")
+    gone = cut(_covered(hashed, window), "covered-lines")
+    discard(docs.sparkSession, path)
+    bits = bitmap.made(gone, F.xxhash64("id", "mark"))
+    gone = gone.select(F.col("id").alias(gi), F.col("mark").alias(gm), F.col("gone").alias(g))
+    own = docs.withColumn(i, docs[key]).withColumn(m, F.xxhash64(docs[text]))
+    held = bitmap.holds(own, F.xxhash64(i, m), bits, h)
+    free = held.filter(~F.col(h)).select(*kept, F.lit(0).cast("bigint").alias("n_removed"))
+    joined = held.filter(F.col(h)).join(gone, F.col(i).eqNullSafe(F.col(gi)) & (F.col(m) == F.col(gm)), "left")
+    remaining = F.array_join(F.filter(_lines(F.col(text)), lambda _, k: ~F.array_contains(F.col(g), k)), "\n")
+    clean = F.when(F.col(g).isNull(), F.col(text)).otherwise(remaining)
+    cleaned = joined.select(*(clean.alias(c) if c == text else F.col(c) for c in kept), F.coalesce(F.size(g), F.lit(0)).cast("bigint").alias("n_removed"))
+    return free.union(cleaned)
 
 
 ORACLE = r"""
