@@ -20,7 +20,8 @@ from tessera.llm.storage import cut, exists, new_path
 SHARDS, SLOTS, FINE = 8, 4096, 64
 #: Entries of the map up to which it is broadcast: 24 bytes each, so 6 MB.
 BROADCAST_ENTRIES = 1 << 18
-MAP = "version int, virtual_slot int, part int, shard int"
+#: slots and fine are what the map was made with; the same virtual slot stands for other records under others.
+MAP = "version int, virtual_slot int, part int, shard int, slots int, fine int"
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS, fine: int = FINE) -> DataFrame:
@@ -128,7 +129,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
 
     slot is the row's place in its shard, from 0 without gaps; grown_shard is null under this law. The versioned map is
     kept at map_path (default: the shared folder). Where there is one, a version is appended to it: entries without rows
-    keep their place, new slots and parts get one, no row is lost. One call at a time may edit a map. Null texts count
+    keep their place, new slots and parts get one, no row is lost; one made with other numbers of slots or parts raises
+    ``ValueError``. One call at a time may edit a map. Null texts count
     one byte and share a group with empty ones. Repeated rows each get a place. An empty table gives an empty result.
     Other columns of docs are not read.
     """
@@ -137,10 +139,14 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     keyed = entries(rows, shards, fine)
     sizes = cut(entry_sizes(keyed), "entries")
     path = map_path or new_path(spark, "slot-map")
+    made = lambda m: m.withColumns({"slots": F.lit(slots), "fine": F.lit(fine)})
     if not exists(spark, path):
-        first_map(sizes, shards).write.partitionBy("version").parquet(path)
+        made(first_map(sizes, shards)).write.partitionBy("version").parquet(path)
     stored = spark.read.schema(MAP).parquet(path)
-    rebalance(stored, sizes, shards).write.mode("append").partitionBy("version").parquet(path)
+    other = stored.filter((F.col("slots") != slots) | (F.col("fine") != fine)).select("slots", "fine").limit(1).collect()
+    if other:
+        raise ValueError(f"the map at {path} was made with {other[0].slots} slots of {other[0].fine} parts")
+    made(rebalance(stored, sizes, shards)).write.mode("append").partitionBy("version").parquet(path)
     stored = spark.read.schema(MAP).parquet(path)
     version = last_version(stored)
     current = stored.filter(F.col("version") == F.lit(version)).select("virtual_slot", "part", "shard")

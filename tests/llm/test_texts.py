@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 
 from tessera.llm import decontaminate, fmindex, pieces, sharding, storage
@@ -198,6 +199,35 @@ def test_map_edit(spark, documents, tmp_path):
     assert sum(first[k] == second[k] for k in first) > len(first) / 2
 
 
+def test_map_of_other_slots_is_refused(spark, documents, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.shard(documents, map_path=path).count()
+    for numbers in ({"slots": 64}, {"fine": 8}):
+        with pytest.raises(ValueError, match="4096 slots of 64 parts"):
+            sharding.shard(documents, map_path=path, **numbers)
+    assert spark.read.parquet(path).agg({"version": "max"}).first()[0] == 1
+
+
+@pytest.mark.parametrize("shards,entries", [(8, 300), (3, 130), (5, 1), (4, 64)])
+def test_rebalance_matches_a_greedy_loop(spark, shards, entries):
+    """Heaviest first, stay while there is room up to the mean, else go to the emptiest shard."""
+    r = random.Random(entries)
+    sizes = {k: r.choice([1, 5, 5, r.randint(1, 3000)]) for k in range(entries)}
+    old = {k: r.randrange(shards + 2) for k in range(0, entries + 9) if k % 4}  # some are new, some have no rows, some shards are no more
+    made = sharding.rebalance(
+        spark.createDataFrame([(v, k, -1, (s + v) % (shards + 2)) for k, s in old.items() for v in (0, 1)] or [], "version int, virtual_slot int, part int, shard int"),
+        spark.createDataFrame([(k, -1, b) for k, b in sizes.items()], "virtual_slot int, part int, bytes long"), shards,
+    )
+    load, want, mean = [0] * shards, {}, -(-sum(sizes.values()) // shards)
+    for k in sorted(old.keys() | sizes.keys(), key=lambda k: (-sizes.get(k, 0), k)):
+        here, size = (((old[k] + 1) % (shards + 2)) if k in old else k) % shards, sizes.get(k, 0)
+        to = here if load[here] + size <= mean else load.index(min(load))
+        load[to] += size
+        want[k] = to
+    rows = made.collect()
+    assert {x.virtual_slot: x.shard for x in rows} == want and len(rows) == len(want) and {x.version for x in rows} == {2 if old else 0}
+
+
 def test_map_lives_on(spark, tmp_path):
     """Later calls edit the stored map: rows come and go, a slot becomes heavy, and every row finds a place."""
     path = tmp_path / "map"
