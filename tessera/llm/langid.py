@@ -4,15 +4,21 @@ N-grams of one to three letters (A to Z and all other letters in lower case, eve
 into BUCKETS. Document frequencies are counted over every learnable document. The classifier is fitted on a bounded
 sample, PER_LANGUAGE documents of each language or fewer, with follow-the-regularised-leader updates under an
 elastic-net penalty; a temperature, fitted on sample documents that the updates don't see, calibrates its scores.
+
+One classifier has at most CLASSES classes. If there are more languages, the most frequent are classes of their own and
+the others are folded, CLASSES at most to a class; a classifier of each fold's own languages then tells these apart. Each
+fold is fitted in a task of its own, so fitting takes the memory of one classifier, whatever the number of languages.
 """
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.memory import tidy
@@ -23,6 +29,8 @@ BUCKETS, ORDERS = 1 << 14, 3
 PER_LANGUAGE, SAMPLE = 1000, 6000
 #: Learning rate, its offset, the two penalties and the passes of the updates.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.01, 0.01, 3
+#: Classes of one classifier, and how many of them are languages by themselves where there are more languages than that.
+CLASSES, ALONE = 256, 128
 #: Every so manieth document of the sample fits the temperature only.
 CALIBRATION = 5
 #: Characters that are hashed at once.
@@ -79,20 +87,47 @@ class Model:
         k = np.searchsorted(self.buckets, bucket)
         return self.weights[k] if k < len(self.buckets) and self.buckets[k] == bucket else np.zeros(len(self.languages))
 
+    def compact(self) -> "Model":
+        """The same with weights of two bytes each: many languages' penalties leave most of them."""
+        return Model(self.languages, self.idf, self.buckets, self.weights.astype(np.float16), self.offset, self.temperature)
+
     def logits(self, n: np.ndarray) -> np.ndarray:
         every = n * self.idf
         x = every[self.buckets]
         use = np.flatnonzero(x)
-        return (x[use] @ self.weights[use]) / max(np.sqrt((every * every).sum()), 1e-12) + self.offset
+        return (x[use] @ self.weights[use].astype(np.float64, copy=False)) / max(np.sqrt((every * every).sum()), 1e-12) + self.offset
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        n = counts(text) if text else None
-        if n is None or not n.any() or not self.languages:
-            return UNKNOWN, 0.0
+    def best(self, n: np.ndarray) -> tuple[str, float]:
         p = softmax(self.logits(n) / self.temperature)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        n = counts(text) if text else None
+        return self.best(n) if n is not None and n.any() and self.languages else (UNKNOWN, 0.0)
+
+
+@dataclass
+class Folded:
+    """A classifier of the frequent languages and the folds, and by fold one of its languages. A score is the product of both."""
+
+    top: Model
+    folds: dict[str, Model]
+
+    @property
+    def languages(self) -> list[str]:
+        return sorted([x for x in self.top.languages if x not in self.folds] + [x for f in self.folds.values() for x in f.languages])
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        n = counts(text) if text else None
+        if n is None or not n.any():
+            return UNKNOWN, 0.0
+        name, p = self.top.best(n)
+        if name not in self.folds:
+            return name, p
+        name, q = self.folds[name].best(n)
+        return name, p * q
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
@@ -160,12 +195,52 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n), pa.nulls(len(at), types[2]), pa.nulls(len(at), types[3])], names)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
-    """The model of the documents whose fold (crc32 of the id as text, modulo 4) isn't 2 and whose language is known; every language is learned."""
+def _unpacked(lang: str, packed: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    size = len(packed) // 6
+    return lang, np.frombuffer(packed, "<u2", size).astype(np.int32), np.frombuffer(packed, "<f4", size, size * 2)
+
+
+def _sample(found: DataFrame, most: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    return [_unpacked(r.lang, r.packed) for r in found.select("lang", "packed").orderBy(F.xxhash64("packed"), "lang").limit(most).toLocalIterator()]
+
+
+def _fit_folds(named: DataFrame, frequency: np.ndarray, documents: int) -> dict[str, Model]:
+    """A classifier a fold, each fitted in a task; a fold has CLASSES languages with a bounded sample each."""
+    spread = named.sparkSession.sparkContext.broadcast((frequency, documents))  # a number a bucket
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["mix", "lang"], kind="stable")
+        model = train([_unpacked(x, p) for x, p in zip(rows["lang"], rows["packed"], strict=True)], *spread.value).compact()
+        return pd.DataFrame({"class": rows["class"].iloc[:1], "model": [pickle.dumps(model)]})
+
+    made = named.withColumn("mix", F.xxhash64("packed")).groupBy("class").applyInPandas(fitted, "class string, model binary")
+    return {r["class"]: pickle.loads(r["model"]) for r in cut(made, "folds").toLocalIterator()}
+
+
+def folds(sizes: dict[str, int]) -> dict[str, str]:
+    """The class of each language: itself, or the fold it is in. Folds hold languages that follow each other by name."""
+    if len(sizes) <= CLASSES:
+        return {x: x for x in sizes}
+    order = sorted(sizes, key=lambda x: (-sizes[x], x))
+    rare = sorted(order[ALONE:])
+    return {x: x for x in order[:ALONE]} | {x: f"\0{k // CLASSES}" for k, x in enumerate(rare)}
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | Folded:
+    """The model of the documents whose fold (crc32 of the id as text, modulo 4) isn't 2 and whose language is known; every language is learned.
+
+    The driver and a task hold the sample and the state of one classifier of at most CLASSES classes, and the driver the
+    weights of all, two bytes each where there are folds: 33 KB a language. More languages than folds can hold (ALONE + (CLASSES - ALONE) * CLASSES, 32,896) raise
+    ``ValueError``: such a column doesn't hold languages.
+    """
     arrow_batches(docs.sparkSession)
     d = docs.select(docs[key].cast("string").alias("k"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("l")).filter("t is not null and l is not null").filter(_fold(F.col("k")) != 2)
     sizes = cut(d.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "languages")
-    languages = sizes.count()
+    most = ALONE + (CLASSES - ALONE) * CLASSES
+    counted = {r.l: r.n for r in sizes.limit(most + 1).collect()}
+    if len(counted) > most:
+        raise ValueError(f"more than {most} languages")
+    languages, kind = len(counted), folds(counted)
     each = min(per_language, max(20, sample // max(1, languages)))
     d = d.join(F.broadcast(sizes), "l")  # a row a language
     chance = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
@@ -176,14 +251,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             documents = r.n
         else:
             frequency[r.bucket] = r.n
-    rows = []
-    for r in found.filter("bucket = -2").select("lang", "packed").orderBy(F.xxhash64("packed"), "lang").limit(each * max(1, languages) * 2).toLocalIterator():
-        size = len(r.packed) // 6
-        rows.append((r.lang, np.frombuffer(r.packed, "<u2", size).astype(np.int64), np.frombuffer(r.packed, "<f4", size, size * 2).astype(np.float64)))
-    return train(rows, frequency, documents)
-
-
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
+    chosen = found.filter("bucket = -2")
+    if all(x == y for x, y in kind.items()):
+        return train(_sample(chosen, each * max(1, languages) * 2), frequency, documents)
+    names = docs.sparkSession.createDataFrame(list(kind.items()), "lang string, class string")
+    named = cut(chosen.join(F.broadcast(names), "lang"), "classes")  # a row a language
+    classes = sorted(set(kind.values()))
+    share = max(20, sample // len(classes))
+    ranked = named.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("packed"), "lang"))).filter(F.col("place") <= share)
+    top = train(_sample(ranked.select(F.col("class").alias("lang"), "packed"), share * len(classes)), frequency, documents)
+    return Folded(top.compact(), _fit_folds(named.filter("class <> lang"), frequency, documents))
+
+
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | Folded | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row by its whole text.
 
     Texts that are null or have no letter, and all texts if nothing could be learned, give und with score 0. A null id

@@ -87,6 +87,68 @@ def test_gram_counts_match_loops():
         assert (langid.counts(text) == want).all()
 
 
+def test_gather_matches_loops(spark):
+    """Document frequencies, their total and the sample of what Spark gathers, over several tasks, against loops."""
+    texts = ["abc abd", "", "12 34", "abc", "éa b", "abc abd", "Ωmega"] * 3
+    rows = [(t, f"l{k % 2}", k % 3 != 1) for k, t in enumerate(texts)]
+    found = spark.createDataFrame(rows, "t string, l string, chosen boolean").repartition(4).mapInArrow(langid._gather, "bucket int, n bigint, lang string, packed binary").collect()
+    frequency, documents, sample = Counter(), 0, Counter()
+    for t, language, chosen in rows:
+        grams = Counter()
+        for g, n in plain_grams(t).items():
+            grams[plain_bucket(g)] += n
+        documents += bool(grams)
+        frequency.update(dict.fromkeys(grams, 1))
+        if grams and chosen:
+            sample[language, tuple(sorted(grams.items()))] += 1
+    got = Counter()
+    for r in found:
+        if r.bucket >= -1:
+            got[r.bucket] += r.n
+    assert got.pop(-1) == documents and got == frequency
+    taken = Counter()
+    for r in found:
+        if r.bucket == -2:
+            size = len(r.packed) // 6
+            taken[r.lang, tuple(zip(np.frombuffer(r.packed, "<u2", size).tolist(), np.frombuffer(r.packed, "<f4", size, size * 2).tolist()))] += 1
+    assert taken == sample
+
+
+def test_many_languages_are_folded(spark, monkeypatch):
+    """Frequent languages stand alone, the others share classifiers; all are learned and told apart, with the product of both chances as the score."""
+    r = np.random.default_rng(8)
+    names = [f"l{k}" for k in range(9)]
+    text = lambda k: " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyzßåø")[3 * k : 3 * k + 4], 6)) for _ in range(15))
+    rows = [(i, text(k), names[k]) for i, k in enumerate(np.repeat(range(9), [90, 80, 40, 40, 40, 40, 40, 40, 40]).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "CLASSES", 4)
+    monkeypatch.setattr(langid, "ALONE", 2)
+    model = langid.fit(docs)
+    assert isinstance(model, langid.Folded) and model.languages == names and set(model.top.languages) == {"l0", "l1", "\x000", "\x001"}
+    out = langid.identify(docs, model=model).collect()
+    assert np.mean([x.lang_pred == rows[x.doc_id][2] for x in out if x.held_out]) > 0.95
+    for x in out[:20]:
+        n = langid.counts(rows[x.doc_id][1])
+        group, p = model.top.best(n)
+        assert x.score == pytest.approx(p * (model.folds[group].best(n)[1] if group in model.folds else 1))
+    monkeypatch.setattr(langid, "CLASSES", 3)
+    with pytest.raises(ValueError, match="more than 5 languages"):
+        langid.fit(docs)
+    assert langid.folds({"a": 1, "b": 2, "c": 2}) == {"a": "a", "b": "b", "c": "c"} and langid.folds({"a": 1, "b": 2, "c": 3, "d": 3}) == {"c": "c", "d": "d", "a": "\x000", "b": "\x000"}
+
+
+def test_compact_weights_give_the_same_logits():
+    rng = np.random.default_rng(9)
+    weights = rng.normal(size=(50, 7)) * (rng.random((50, 7)) < 0.3)
+    weights[4] = 0
+    model = langid.Model([f"l{k}" for k in range(7)], rng.random(langid.BUCKETS) + 1, np.arange(3, 53), weights, rng.normal(size=7))
+    assert model.compact().weights.nbytes * 4 == weights.nbytes
+    for size in (0, 1, 40):
+        n = np.zeros(langid.BUCKETS)
+        n[rng.choice(60, size, replace=False)] = rng.integers(1, 9, size)
+        assert np.allclose(model.logits(n), model.compact().logits(n), atol=0.02)
+
+
 def test_training_matches_loops():
     """TF-IDF weights, every update and the temperature, coefficient by coefficient."""
     rng = np.random.default_rng(3)
