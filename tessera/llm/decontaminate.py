@@ -6,8 +6,9 @@ that are long enough to hold its shortest window; no window can occur elsewhere.
 wavelet-tree ranks, occurrences located by sampled suffixes, checked word by word, and merged to spans.
 
 The benchmark is cut into blocks of at most BLOCK_BYTES. A block's windows are laid out once, on the driver, as arrays
-of some three bytes a byte of text, and broadcast. With several blocks the documents are written once, numbered; a pass
-a block reads them and writes nothing but hits, which meet the documents in one join before the last block's pass.
+of some three bytes a byte of text, and broadcast. With several blocks the documents are read once and written in two
+parts: those that hold a window by a bit map of all windows of the benchmark (every one that does, and few others), and
+the rest, which is done. A pass a block reads the former only and writes nothing but hits.
 """
 
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.fmindex import FMIndex
 from tessera.llm.memory import tidy
-from tessera.llm.storage import arrow_batches, cut, fresh
+from tessera.llm.storage import arrow_batches, cut, fresh, new_path
 from tessera.llm.words import hashes, string_bytes, word_spans
 
 WINDOW = 10
@@ -27,6 +28,8 @@ WINDOW = 10
 BLOCK_BYTES, STEP_BYTES, SHARD_BYTES = 16 << 20, 1 << 20, 8 << 20
 #: Windows that are searched at once.
 SEARCHED = 1 << 16
+#: The bit map of windows: bits for each byte of benchmark text, the least and most powers of two, and probes a window.
+MAP_BITS, LEAST_BITS, MOST_BITS, PROBES = 8, 20, 29, 4
 FOUND = ("found_text", "found_words", "found_spans", "found_items")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -119,6 +122,86 @@ class Windows:
         return out
 
 
+def _window_probes(h: np.ndarray, first: np.ndarray, length: np.ndarray | int, power: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, place in the bit map: a row a probe) of all windows of ``length`` words (one for all texts, or one each) over the words' hashes."""
+    n = np.diff(first)
+    size = np.broadcast_to(length, n.shape)
+    for words in np.unique(size[(n >= size) & (size > 0)]).tolist():
+        use = np.flatnonzero((size == words) & (n >= words))
+        many = n[use] - words + 1
+        text = np.repeat(use, many)
+        start = first[text] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        mark = np.full(len(start), words, np.uint64)
+        for k in range(words):
+            mark += h[start + k]
+            mark *= np.uint64(0x9E3779B97F4A7C15)
+            mark ^= mark >> np.uint64(32)
+        odd = (2 * np.arange(PROBES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        yield text, (mark * odd[:, None]) >> np.uint64(64 - power)
+
+
+def _item_probes(power: int, window: int):
+    """(length, place): every window of the items in the bit map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = string_bytes(batch.column(0))
+            starts, ends, first = word_spans(raw, offsets)
+            length = np.minimum(np.diff(first), window)
+            for text, place in _window_probes(hashes(raw, starts, ends), first, length, power):
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(length[text], len(place)).astype(np.int32)), pa.array(place.ravel().astype(np.int64))], ["length", "place"])
+
+    return run
+
+
+def _bit_map(items: DataFrame, total: int, window: int) -> tuple[np.ndarray, list[int], int]:
+    """The bit map of all windows in words of 64 bits, their lengths, and the map's power of two; 64 MB at most."""
+    power = min(MOST_BITS, max(LEAST_BITS, int(total * MAP_BITS).bit_length()))
+    probes = cut(items.select("t").mapInArrow(tidy(_item_probes(power, window)), "length int, place bigint"), "probes")
+    lengths = sorted(r.length for r in probes.select("length").distinct().collect())  # window numbers at most
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    bits = np.zeros(1 << (power - 6), np.int64)
+    for part in probes.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow().to_batches():
+        bits[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return bits.view(np.uint64), lengths, power
+
+
+def _suspects(spread):
+    """Words of every text and whether it can hold a window, in place of the last two columns; the text is the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, lengths, power = spread.value
+        for batch in batches:
+            words, held = [], []
+            for a, b in _slices(batch.column(0)):
+                raw, offsets = string_bytes(batch.column(0).slice(a, b - a))
+                starts, ends, first = word_spans(raw, offsets)
+                h, found = hashes(raw, starts, ends), np.zeros(b - a, bool)
+                for length in lengths:
+                    for text, place in _window_probes(h, first, length, power):
+                        for probe in range(PROBES):
+                            at = place[probe]
+                            live = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+                            text, place = text[live], place[:, live]
+                        found[text] = True
+                words.append(np.diff(first))
+                held.append(found)
+            done = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((words, np.int64), (held, bool))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(done[0].astype(np.int64)), pa.array(done[1])], batch.schema.names)
+
+    return run
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about STEP_BYTES."""
+    ends, start = np.cumsum(np.diff(string_bytes(texts)[1])), 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        stop = min(len(texts), max(start + 1, int(np.searchsorted(ends, base + STEP_BYTES))))
+        yield start, stop
+        start = stop
+
+
 def _steps(texts: list[str]) -> Iterator[list[str]]:
     """The texts, some at a time."""
     held, size = [], 0
@@ -305,17 +388,25 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
         return state.mapInArrow(tidy(_search(held, cuts)), state.schema)
 
     state = docs.select(*kept, docs[text].cast("string").alias(t), *nothing)
-    if blocks > 1:
-        numbered = cut(state.withColumn(at, F.monotonically_increasing_id()), "numbered")
-        plain = numbered.select(at, t, w, s, i)
-        hits = [cut(search(plain, k, False).filter(F.size(s) > 0).select(at, s, i), "hits") for k in range(blocks - 1)]
-        found = hits[0]
-        for more in hits[1:]:
-            found = found.union(more)
-        found = found.groupBy(F.col(at).alias(row)).agg(F.flatten(F.collect_list(s)).alias("s"), F.array_distinct(F.flatten(F.collect_list(i))).alias("i"))
-        joined = numbered.join(found, F.col(at) == F.col(row), "left")
-        state = joined.select(*(numbered[c] for c in [*kept, t, w]), F.coalesce(found["s"], numbered[s]).alias(s), F.coalesce(found["i"], numbered[i]).alias(i))
-    return search(state, blocks - 1, clean)
+    if blocks == 1:
+        return search(state, 0, clean)
+    bits = spark.sparkContext.broadcast(_bit_map(items, total, window))
+    h = fresh(state, "held")[0]
+    marked = docs.select(docs[text].cast("string").alias(t), *kept, F.monotonically_increasing_id().alias(at), nothing[0], F.lit(False).alias(h))
+    path = new_path(spark, "suspects")
+    done = marked.mapInArrow(tidy(_suspects(bits)), marked.schema)
+    done.write.partitionBy(h).parquet(path)
+    parts = spark.read.schema(marked.schema).parquet(path).select(*kept, t, w, *nothing[1:], at, h)
+    plain = parts.filter(~F.col(h)).select(*state.columns)
+    suspects = parts.filter(F.col(h)).drop(h)
+    hits = [cut(search(suspects.select(at, t, w, s, i), k, False).filter(F.size(s) > 0).select(at, s, i), "hits") for k in range(blocks - 1)]
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.union(more)
+    found = found.groupBy(F.col(at).alias(row)).agg(F.flatten(F.collect_list(s)).alias("s"), F.array_distinct(F.flatten(F.collect_list(i))).alias("i"))
+    joined = suspects.join(found, F.col(at) == F.col(row), "left")
+    rest = joined.select(*(suspects[c] for c in [*kept, t, w]), F.coalesce(found["s"], suspects[s]).alias(s), F.coalesce(found["i"], suspects[i]).alias(i))
+    return plain.union(search(rest, blocks - 1, clean))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:

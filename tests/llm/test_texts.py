@@ -199,6 +199,25 @@ def test_map_edit(spark, documents, tmp_path):
     assert sum(first[k] == second[k] for k in first) > len(first) / 2
 
 
+def test_only_suspects_are_searched_by_blocks(spark, monkeypatch):
+    """The bit map lets through every text with a window of any length, and hardly another; what it holds back has its words counted."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    items = [" ".join(r.choice(words) for _ in range(n)) for n in (1, 3, 9, 10, 11, 40)]
+    plain = [" ".join(r.choice(words[1:]) for _ in range(30)) for _ in range(300)]
+    dirty = ["x, " + items[1].upper() + " y", items[2], "a b " + " ".join(items[5].split()[7:17]), items[3] + "!"]
+    q = spark.createDataFrame([(t,) for t in items], "t string")
+    bits, lengths, power = decontaminate._bit_map(q, 2000, 10)
+    assert lengths == [1, 3, 9, 10]
+    texts = [t for t in plain if items[0] not in t.split()] + dirty + ["", None]
+    df = spark.createDataFrame([(t, k, 0, False) for k, t in enumerate(texts)], "t string, k long, w long, h boolean")
+    got = {x.k: x for x in df.mapInArrow(decontaminate._suspects(spark.sparkContext.broadcast((bits, lengths, power))), df.schema).collect()}
+    held = [k for k, x in got.items() if x.h]
+    first = len(texts) - len(dirty) - 2
+    assert {first, first + 1, first + 2, first + 3} <= set(held) and len(held) <= 6
+    assert [got[k].w for k in range(len(texts))] == [len(re.findall(r"\w+", t or "")) for t in texts]
+
+
 def test_map_of_other_slots_is_refused(spark, documents, tmp_path):
     path = str(tmp_path / "map")
     sharding.shard(documents, map_path=path).count()
