@@ -19,7 +19,8 @@ def with_positions(df: DataFrame, keys: Sequence[str | Column], name: str = "i",
     """df with ``name``: the row's 0-based place in ascending order of the keys, nulls first; written to the shared folder.
 
     Rows with equal keys are ordered by a hash of the whole row, so only equal rows may change places, and a key that
-    holds many rows is dealt over several ranges. A column of df that bears the name is left out.
+    holds many rows is dealt over several ranges. df is computed twice, once for a sample of its ranges' bounds. A column
+    of df that bears the name is left out.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() != name.lower()]

@@ -6,15 +6,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: By application: the folder of a local session that names none.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one; a cluster must name one."""
     key = "spark.checkpoint.dir"
     where = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {key} to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set(key, where)
+        where = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _local[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
