@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.shared import discard, exists, new_path
+from tessera.sources.shared import discard, exists, fresh, new_path
+from tessera.sources.shared import stored as cut
 
 __all__ = ["arrow_batches", "cut", "discard", "exists", "fresh", "new_path", "write"]
 
@@ -14,23 +15,6 @@ def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: computed once, its lineage ends there."""
-    return write(df, name)[0]
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for further columns of df: the given ones, with underscores in front until no column bears them."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Bounds the session's Arrow batches that go to Python workers; what the user has set, to whatever value, stays.
 
