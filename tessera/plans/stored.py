@@ -16,6 +16,7 @@ from tessera.sources.shared import new_path
 #: Rows of a table in order of these are a vector; rows that agree in all of them hold the same value.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 BUCKETS = 8
+DIMENSIONS = 64
 FILES = 6
 #: Every so manieth order's line is spoiled in the CSV that is scanned.
 SPOILED = {"type": 97, "short": 89}
@@ -104,6 +105,35 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
+def generated_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated square matrix times the embeddings' weighted sum: two products, one behind the other."""
+    x = linalg.matvec(embedding_cells(spark, sf_dir), embedding_x(spark, sf_dir)).select(F.col("j").alias("i"), F.col("y").alias("xv"))
+    return long_y(linalg.matvec(generate.matrix(spark, DIMENSIONS), x, "merge"))
+
+
+def generated_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first elements of lineitem's vector times both generated vectors, element by element, added up."""
+    both = generate.vector_x(spark, generate.SWEEP_STOP).join(generate.vector_arr(spark, generate.SWEEP_STOP).withColumnRenamed("v", "av"), "i")
+    met = line_vector(spark, sf_dir).join(both, "i")
+    return met.agg(F.sum(F.col("v") * F.col("xv")).cast("bigint").alias("by_x"), F.sum(F.col("v") * F.col("av")).cast("bigint").alias("by_arr"))
+
+
+def hot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a matrix of three columns, its return flags, each with a third of all rows: the tiled product deals a column over its tiles."""
+    placed = position.with_positions(table(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_returnflag"), [*LINE_ORDER, "l_returnflag"])
+    a = placed.select("i", F.ascii("l_returnflag").cast("bigint").alias("j"), whole("l_extendedprice", 100).alias("a"))
+    x = placed.select("i", weight("i").alias("xv"))
+    return long_y(linalg.matvec_tiled(a, x, 4096, "merge"))
+
+
+def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(head, within, rows): the first line of the profile of a join, whether it has 50 lines at most, and the rows it counted."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    seen, text = report.profile(joined)
+    lines = text.splitlines()
+    return spark.createDataFrame([(lines[0], len(lines) <= 50, seen["rows"])], "head string, within boolean, rows bigint")
+
+
 def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, lines, keys) of a scan of orders as CSV where some lines hold a price that is no number, and some lack fields."""
     o = _orders(spark, sf_dir)
@@ -153,7 +183,11 @@ def queries() -> dict:
         "lineitem_charts": lambda s, d: report.chart_frames(line_means(s, d)),
         "lineitem_timings": line_timings,
         "orders_price_ratio": lambda s, d: table(s, d, "orders").select("o_orderkey", fixed2(speedup(F.col("o_totalprice"), F.col("o_custkey").cast("double"))).alias("ratio")),
+        "embed_generated_product": generated_product,
+        "lineitem_generated_dot": generated_dot,
+        "lineitem_hot_columns": hot_columns,
         "plan_node_rows": node_rows,
+        "plan_report": plan_report,
         "orders_csv_quarantine": csv_quarantine,
         "orders_csv_ordered": ordered_csv,
     }
@@ -189,6 +223,10 @@ def oracle_sql() -> dict[str, str]:
         "lineitem_charts": f"WITH m AS ({means}) {charts}",
         "lineitem_timings": "SELECT what, reps::BIGINT AS reps FROM (VALUES ('sum', 3), ('exact_sum', 2)) v(what, reps) WHERE EXISTS (SELECT 1 FROM lineitem)",
         "orders_price_ratio": "SELECT o_orderkey, CASE WHEN o_custkey <> 0 THEN printf('%.2f', o_totalprice / o_custkey::DOUBLE) END AS ratio FROM orders",
+        "embed_generated_product": f"SELECT k % 64 AS j, sum((k % 17 - 8) * y)::BIGINT AS y FROM range(4096) t(k) JOIN ({columns}) x ON x.j = k // 64 GROUP BY 1",
+        "lineitem_generated_dot": f"SELECT sum(v * (i % 13 - 6))::BIGINT AS by_x, sum(v * (i % 19 - 9))::BIGINT AS by_arr FROM {vector} z WHERE i < 8192",
+        "lineitem_hot_columns": f"SELECT ascii(l_returnflag)::BIGINT AS j, sum(v * (i % 13 - 6))::BIGINT AS y FROM (SELECT l_returnflag, row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}, l_returnflag) - 1 AS i, {cents('l_extendedprice')} AS v FROM lineitem) z GROUP BY 1",
+        "plan_report": "SELECT '== Physical Plan ==' AS head, true AS within, count(*) AS rows FROM (SELECT DISTINCT o_custkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey) g",
         "plan_node_rows": "SELECT 'lineitem' AS node, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'join', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'aggregate', count(DISTINCT o_orderstatus) FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
         "orders_csv_quarantine": f"SELECT CASE WHEN {bad} THEN 'bad' ELSE 'good' END AS kind, count(*) AS lines, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1",
         "orders_csv_ordered": f"SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, o_orderkey, {cents('o_totalprice')} AS cents FROM orders",
