@@ -293,7 +293,8 @@ def tokens(docs: DataFrame, text: str = "text", model: str | None = None, keep:
     """docs with its tokens: the columns in keep (default: all), then ids, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have the begin and end ids only, and decode to the empty text. A kept column that bears one
-    of the new names is left out. with_ids=False leaves ids out.
+    of the new names is left out. with_ids=False leaves ids out. The model is a file that every worker opens by the path
+    that the driver resolves.
     """
     arrow_batches(docs.sparkSession)
     path = model or public_tokenizers.path(MODEL)

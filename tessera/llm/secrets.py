@@ -4,7 +4,8 @@ A value's guess cost is the least total over all its segmentations into dictiona
 walks, sequences and brute-force spans, found by dynamic programming over its prefixes. Values that would take at
 least MIN_GUESSES guesses (as a power of ten) are reported as kind ``guess``, whatever their length. The dictionary is
 a short list of password words and, behind it, the words of a public vocabulary in the order of its ranks, which stand
-for their frequency. Unquoted names in code (dictionary words joined by _ or ., or what is called) are no values.
+for their frequency. Unquoted names, paths and compounds (dictionary words joined by _, ., - or /) and what is called in
+code are no values, nor are URLs; a password within one is.
 """
 
 import base64
@@ -28,14 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE = 12
 KINDS = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
-#: Where credentials stand: a name, a separator and a value, or the password of a URL.
+#: Where credentials stand: a name, a separator, perhaps a scheme word, and a value that is no URL; or the password of a URL.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\s*(?::=|=>|[:=])\s*["']?([^\s"'`,;<>(){}\[\]]{8,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?)["']?\s*(?::=|=>|[:=])\s*["']?(?:(?:bearer|basic|digest|token)\s+["']?)?(?![a-z][a-z0-9+.-]*://)([^\s"'`,;<>(){}\[\]]{8,})""",
     re.IGNORECASE | re.ASCII,
 )
 URL_PASSWORD = re.compile(r"://[^\s/:@]*:([^\s/@]{8,})@")
 #: What names in code look like, their words, and what can be called.
-NAME = re.compile(r"[A-Za-z]+(?:[._][A-Za-z]+)+")
+NAME = re.compile(r"(?:\.{0,2}/)?[A-Za-z]+(?:[._/-][A-Za-z]+)+/?")
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CALLED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 MIN_GUESSES = 12.0
@@ -179,7 +180,7 @@ def _verdict(value: str, least: float, vocabulary: str | None) -> bool:
 
 
 def is_name(value: str, vocabulary: str | None = None) -> bool:
-    """Whether the value is dictionary words, or parts of two letters or fewer, joined by _ or . as names in code are."""
+    """Whether the value is dictionary words, or parts of two letters or fewer, joined as names in code, paths and compounds are."""
     if not NAME.fullmatch(value):
         return False
     known = ranks(vocabulary)
