@@ -24,15 +24,19 @@ from pyspark.sql import functions as F
 from tessera.llm import bitmap
 from tessera.llm.components import components
 from tessera.llm.memory import tidy
-from tessera.llm.storage import arrow_batches, cut, discard, fresh, write
+from tessera.llm.storage import arrow_batches, cut, fresh
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: By number of bands: replicas of a fingerprint, and anchors of a band. The links found are the same.
 PLANS = {4: (34.2, 1 << 12), 2: (286.5, 1 << 24)}
-#: Measured seconds of a core that a replica costs on its way, and a comparison at its anchor.
-REPLICA, COMPARISON = 3e-6, 4e-9
+#: Measured seconds of a core that a replica costs on its way (by number of bands), and a comparison at its anchor.
+REPLICA, COMPARISON = {4: 3e-6, 2: 1e-5}, 4e-9
 #: Fingerprints of one anchor on either side of a comparison.
 BLOCK = 8192
+#: Fingerprints up to which all are counted to find hot anchors, replicas that a block shows in a sample, and the most hot anchors (24 bytes each).
+COUNTED, SEEN, HOT = 1 << 16, 32, 1 << 20
+#: Bits of a block's row, and of its column; an anchor takes 33 bits at most.
+BLOCK_BITS = 14
 #: Comparisons at once: their intermediate results stay in a core's cache.
 TILE = 1 << 18
 
@@ -119,16 +123,50 @@ class Anchors:
 _anchors: dict[int, Anchors] = {}
 
 
-def _replicas(bands: int):
+def _code(bands: int) -> Anchors:
+    if bands not in _anchors:
+        _anchors[bands] = Anchors(bands)
+    return _anchors[bands]
+
+
+def _sizes(bands: int):
+    """(anchor, n, h): replicas and homes at the anchors, as far as a task has fingerprints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _anchors.setdefault(bands, None) or Anchors(bands)
-        _anchors[bands] = code
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(fp), 2048):
+                anchor, _, home = _code(bands).replicate(fp[k : k + 2048])
+                at, back = np.unique(anchor, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(back)), pa.array(np.bincount(back[home], minlength=len(at)))], ["anchor", "n", "h"])
+
+    return run
+
+
+def _placed(bands: int, spread):
+    """(cell, fp) of every replica, those at hot anchors dealt over blocks: homes along a row of blocks, all others, homes too, down a column.
+
+    A cell holds, from the top, the anchor, the block's row and column, and whether the replica is a home.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rows, cols = spread.value
         for batch in batches:
             all_fp = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(all_fp), 2048):
                 fp = all_fp[k : k + 2048]
-                anchor, row, home = code.replicate(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
+                anchor, row, home = _code(bands).replicate(fp)
+                fp = fp[row]
+                at = np.minimum(np.searchsorted(hot, anchor), max(len(hot) - 1, 0))
+                split = hot[at] == anchor if len(hot) else np.zeros(len(anchor), bool)
+                high, wide = (np.where(split, x[at], 1) if len(hot) else np.ones(len(anchor), np.int64) for x in (rows, cols))
+                mix = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                for as_home, some, times in ((True, np.flatnonzero(home), wide), (False, np.arange(len(fp)), high)):
+                    each = np.repeat(some, times[some])
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(times[some]) - times[some], times[some])
+                    r, c = (mix[each] % high[each], step) if as_home else (step, mix[each] % wide[each])
+                    cell = ((anchor[each] << BLOCK_BITS | r) << BLOCK_BITS | c) << 1 | as_home
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[each])], ["cell", "fp"])
 
     return run
 
@@ -210,7 +248,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nda
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     us, vs, n = [], [], 0
-    for _, _, _, fp, home in groups(batches, 3):
+    cells = (pa.RecordBatch.from_arrays([pa.array(c >> 1), b.column(1), pa.array(c & 1 == 1)], ["block", "fp", "home"]) for b in batches for c in [b.column(0).to_numpy()])
+    for _, fp, home in groups(cells, 1):
+        if len(fp) < 3 or not home.any():  # a home alone is there twice
+            continue
         u, v = forest(fp[home], fp[~home], _near)
         if len(u):
             us.append(u)
@@ -223,38 +264,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
-def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
-    """(fp) distinct to (u, v): links that connect exactly the fingerprints that chains of DISTANCE bits connect."""
-    return _links(distinct, bands, block)[0]
+def _hot(distinct: DataFrame, bands: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with more than a block of replicas, and by how many rows and columns of blocks each is dealt.
 
+    Counted over all fingerprints while they are few, else over a share of them by hash, of which a block's worth still
+    shows SEEN. How evenly blocks fill depends on it; every home meets every visitor of its anchor whatever the numbers.
+    """
+    n = distinct.count()
+    share = min(1.0, max(SEEN / block, COUNTED / max(n, 1)))
+    some = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    size = cut(some.mapInArrow(tidy(_sizes(bands)), "anchor bigint, n bigint, h bigint").groupBy("anchor").agg((F.sum("n") / share).alias("n"), (F.sum("h") / share).alias("h")), "anchors")
+    while (hot := size.filter(F.col("n") > block)).count() > HOT or (hot.agg(F.max("n")).first()[0] or 0) / block >= (1 << BLOCK_BITS) - 1:
+        block *= 2
+    found = sorted(tuple(r) for r in hot.select("anchor", F.ceil(F.greatest("h", F.lit(1)) / block), F.ceil(F.col("n") / block)).collect())  # HOT rows at most
+    return tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-def _links(distinct: DataFrame, bands: int, block: int) -> tuple[DataFrame, str]:
-    """The links, and where the replicas lie that they are made from: made once, counted and compared from there."""
+
+def links(distinct: DataFrame, bands: int = 4, block: int = BLOCK) -> DataFrame:
+    """(fp) distinct to (u, v): links that connect exactly the fingerprints that chains of DISTANCE bits connect.
+
+    Replicas are made once and shuffled once, already dealt to their blocks.
+    """
+    spark = distinct.sparkSession
     # dealt out anew: the table is small for the work that each of its rows makes
-    spread = max(distinct.sparkSession.sparkContext.defaultParallelism, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    copies, path = write(distinct.repartition(spread, "fp").mapInArrow(tidy(_replicas(bands)), "anchor bigint, fp bigint, home boolean"), "replicas")
-    # every fingerprint is among the replicas, so at an anchor its homes are compared with all that visit it
-    size = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
-    hot = size.filter(F.col("n") > block).select(
-        F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / block).cast("int").alias("cols"), F.ceil(F.greatest(F.col("h"), F.lit(1)) / block).cast("int").alias("rows")
-    )
-    if bands == 4:
-        hot = F.broadcast(hot)  # an anchor a row: 16,384 of them at most
-    dealt = copies.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
-    mix = F.xxhash64("fp")
-    rows, cols = F.coalesce("rows", F.lit(1)), F.coalesce("cols", F.lit(1))
-    own_row, own_col = F.pmod(mix, rows).cast("int"), F.pmod(mix, cols).cast("int")
-    as_home = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), cols - 1), lambda c: F.struct(own_row.alias("r"), c.alias("c"), F.lit(True).alias("home")))).otherwise(F.array())
-    as_other = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.struct(r.alias("r"), own_col.alias("c"), F.lit(False).alias("home")))
-    placed = dealt.select("anchor", "fp", F.explode(F.concat(as_home, as_other)).alias("p")).select("anchor", "p.r", "p.c", "fp", "p.home")
-    parts = placed.repartition("anchor", "r", "c").sortWithinPartitions("anchor", "r", "c")
-    return parts.mapInArrow(tidy(_compare), "u bigint, v bigint"), path
+    wide = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp")
+    placed = wide.mapInArrow(tidy(_placed(bands, spark.sparkContext.broadcast(_hot(wide, bands, block)))), "cell bigint, fp bigint")
+    parts = placed.repartition(F.shiftright("cell", 1)).sortWithinPartitions("cell")
+    return parts.mapInArrow(tidy(_compare), "u bigint, v bigint")
 
 
 def cost(n: int, bands: int) -> float:
     """Seconds of a core a fingerprint, of n distinct ones spread evenly, with so many bands."""
     replicas, anchors = PLANS[bands]
-    return replicas * (REPLICA + n / anchors * COMPARISON)
+    return replicas * (REPLICA[bands] + n / anchors * COMPARISON)
 
 
 def _named(marks: DataFrame, bands: int | None, block: int) -> DataFrame:
@@ -263,9 +305,7 @@ def _named(marks: DataFrame, bands: int | None, block: int) -> DataFrame:
     if bands is None:
         n = lowest.count()
         bands = min(PLANS, key=lambda b: cost(n, b))
-    found, path = _links(lowest.select("fp"), bands, block)
-    linked = components(found)
-    discard(marks.sparkSession, path)
+    linked = components(links(lowest.select("fp"), bands, block))
     classes = lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return cut(classes.join(roots, "root").select(F.col("fp").alias("class_fp"), "root", "component_id"), "classes")
