@@ -209,6 +209,16 @@ def _weights(index: DataFrame, size: int) -> Corpus:
     return Corpus(documents, terms, weight)
 
 
+def _numbered(items: DataFrame, known: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(item, ascending numbers of its terms in the vocabulary) of every item, by item."""
+    out = []
+    for batch in items.select("item", "terms").toArrow().to_batches():
+        at = np.asarray(batch.column(1).offsets)
+        number = np.searchsorted(known, batch.column(1).flatten().to_numpy()).astype(np.int32)
+        out += [(item, np.sort(number[a - at[0] : b - at[0]])) for item, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return sorted(out, key=lambda x: x[0])
+
+
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text", top: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score) of the ``top`` highest-scoring documents of every item.
 
@@ -235,9 +245,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "
         index, _ = write(body.mapInArrow(tidy(_index(spark.sparkContext.broadcast(known))), "key bigint, n bigint, terms array<int>, tfs array<bigint>, docs bigint"), "forward-index")
         corpus = _weights(index, len(known))
         for b in group:
-            rows = block(b).toArrow().to_pylist()  # a block's items: BLOCK_TERMS terms
-            mine = sorted((r["item"], np.searchsorted(known, np.sort(np.array(r["terms"], np.int64)))) for r in rows)
-            spread = spark.sparkContext.broadcast((corpus, mine))
+            spread = spark.sparkContext.broadcast((corpus, _numbered(block(b), known)))  # a block's items: BLOCK_TERMS terms
             part = index.filter("docs = 0").select("key", "n", "terms", "tfs").mapInArrow(tidy(_search(spread, top)), kind)
             found = part if found is None else found.union(part)
     if found is None:
