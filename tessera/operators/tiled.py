@@ -54,11 +54,11 @@ def matvec_tiles(tiles: DataFrame, x: DataFrame, tile: int = TILE) -> DataFrame:
     small = x.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     xs = packed_x(x, tile)
     met = tiles.join(F.broadcast(xs) if small else xs, "tile_row", "left")
-    weight = F.transform("at", lambda k: F.coalesce(F.get("xs", k), fail("x has no element for a row of the matrix")))
+    weight = lambda r: F.coalesce(F.get("xs", F.get("at", r)), fail("x has no element for a row of the matrix"))
     line = lambda r: F.slice("cells", r * F.col("cols") + 1, F.col("cols"))
-    add = lambda acc, r: F.zip_with(acc, line(r), lambda y, a: y + a * F.get("w", r))
-    summed = F.aggregate(F.sequence(F.lit(0), F.size("at") - 1), F.array_repeat(F.lit(0.0), F.col("cols")), add)
-    parts = met.withColumn("w", weight).select("tile_col", summed.alias("part"))
+    lines = F.transform(F.sequence(F.lit(0), F.size("at") - 1), lambda r: F.struct(weight(r).alias("w"), line(r).alias("line")))
+    summed = F.aggregate(lines, F.array_repeat(F.lit(0.0), F.col("cols")), lambda acc, r: F.zip_with(acc, r["line"], lambda y, a: y + a * r["w"]))
+    parts = met.select("tile_col", F.explode(F.array(summed)).alias("part"))  # so that it is made once, not once for each of its sums
     sums = parts.groupBy("tile_col").agg(*(F.sum(F.get("part", F.lit(k))).alias(f"s{k}") for k in range(tile)))
     cells = sums.select("tile_col", F.posexplode(F.array(*(f"s{k}" for k in range(tile)))).alias("k", "y"))
     return cells.filter("y is not null").select((F.col("tile_col") * tile + F.col("k")).alias("j"), "y")
