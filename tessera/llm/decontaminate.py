@@ -122,8 +122,16 @@ class Windows:
         return out
 
 
-def _window_probes(h: np.ndarray, first: np.ndarray, length: np.ndarray | int, power: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, place in the bit map: a row a probe) of all windows of ``length`` words (one for all texts, or one each) over the words' hashes."""
+def _place(mark: np.ndarray, probe: int, power: int) -> np.ndarray:
+    """A window's place in the bit map; probes are independent of each other."""
+    x = mark + np.uint64((probe + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x >> np.uint64(64 - power)
+
+
+def _window_marks(h: np.ndarray, first: np.ndarray, length: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, mark) of all windows of ``length`` words (one for all texts, or one each) over the words' hashes."""
     n = np.diff(first)
     size = np.broadcast_to(length, n.shape)
     for words in np.unique(size[(n >= size) & (size > 0)]).tolist():
@@ -136,8 +144,7 @@ def _window_probes(h: np.ndarray, first: np.ndarray, length: np.ndarray | int, p
             mark += h[start + k]
             mark *= np.uint64(0x9E3779B97F4A7C15)
             mark ^= mark >> np.uint64(32)
-        odd = (2 * np.arange(PROBES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        yield text, (mark * odd[:, None]) >> np.uint64(64 - power)
+        yield text, mark
 
 
 def _item_probes(power: int, window: int):
@@ -148,8 +155,10 @@ def _item_probes(power: int, window: int):
             raw, offsets = string_bytes(batch.column(0))
             starts, ends, first = word_spans(raw, offsets)
             length = np.minimum(np.diff(first), window)
-            for text, place in _window_probes(hashes(raw, starts, ends), first, length, power):
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(length[text], len(place)).astype(np.int32)), pa.array(place.ravel().astype(np.int64))], ["length", "place"])
+            for text, mark in _window_marks(hashes(raw, starts, ends), first, length):
+                size = pa.array(length[text].astype(np.int32))
+                for probe in range(PROBES):
+                    yield pa.RecordBatch.from_arrays([size, pa.array(_place(mark, probe, power).astype(np.int64))], ["length", "place"])
 
     return run
 
@@ -178,11 +187,11 @@ def _suspects(spread):
                 starts, ends, first = word_spans(raw, offsets)
                 h, found = hashes(raw, starts, ends), np.zeros(b - a, bool)
                 for length in lengths:
-                    for text, place in _window_probes(h, first, length, power):
+                    for text, mark in _window_marks(h, first, length):
                         for probe in range(PROBES):
-                            at = place[probe]
+                            at = _place(mark, probe, power)
                             live = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-                            text, place = text[live], place[:, live]
+                            text, mark = text[live], mark[live]
                         found[text] = True
                 words.append(np.diff(first))
                 held.append(found)
