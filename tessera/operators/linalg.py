@@ -6,12 +6,13 @@ same job: a row index of A that x lacks, or that x holds twice, ends the query w
 """
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import new_path
+from tessera.sources.shared import new_path, stored
 
 #: Rows of x up to which it is broadcast: 16 bytes each, so 16 MB at most.
 BROADCAST_ROWS = 1 << 20
@@ -116,10 +117,36 @@ def matvec_packed(rows: DataFrame, x: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, buckets: int, index: str = "i", name: str = "bucketed") -> DataFrame:
     """df written to the shared folder in buckets of its index, one file each: two such tables, with as many buckets, meet without a shuffle.
 
-    Worth it for what is joined again and again. A bucket isn't split: where one index holds a large share of the rows,
-    ``lookup`` on the unbucketed table is the better plan.
+    Worth it for what is joined again and again. A bucket is read by one task: where an index may hold a large share of
+    the rows, take ``Buckets``.
     """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, index).write.bucketBy(buckets, index).sortBy(index).format("parquet")
     dealt.option("path", new_path(spark, name)).saveAsTable(table)
     return spark.table(table)
+
+
+@dataclass
+class Buckets:
+    """A matrix in buckets of its row index, but for the rows of hot indices, which lie apart and are read by any number of tasks."""
+
+    cool: DataFrame
+    apart: DataFrame
+    hot: list
+
+    @classmethod
+    def of(cls, a: DataFrame, buckets: int, name: str = "bucketed") -> "Buckets":
+        """a is read twice. Hot indices are those with more rows than a mean bucket, fewer than ``buckets`` of them."""
+        sizes = stored(a.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hot = [r.i for r in sizes.filter(F.col("n") * buckets > F.lit(total)).collect()]
+        is_hot = F.coalesce(F.col("i").isin(hot), F.lit(False))
+        return cls(bucketed(a.filter(~is_hot), buckets, name=name), stored(a.filter(is_hot), "hot-rows"), hot)
+
+    def lookup(self, x: DataFrame) -> DataFrame:
+        """``lookup`` with an x that is bucketed alike: cool rows meet it without an exchange, hot ones by a broadcast of their few elements."""
+        few = x.filter(F.col("i").isin(self.hot))
+        return lookup(self.cool, x, "merge").union(lookup(self.apart, few, "broadcast"))
+
+    def matvec(self, x: DataFrame) -> DataFrame:
+        return self.lookup(x).groupBy("j").agg(F.sum(F.col("a") * F.col("xv")).alias("y"))

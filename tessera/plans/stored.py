@@ -64,7 +64,7 @@ def long_y(y: DataFrame) -> DataFrame:
 def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities by line number, each times its order's weight; both sides are bucketed by order."""
     a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").cast("bigint").alias("j"), F.col("l_quantity").alias("a"))
-    return long_y(linalg.matvec(linalg.bucketed(a, BUCKETS, name="lines"), linalg.bucketed(order_x(spark, sf_dir), BUCKETS, name="orders"), "merge"))
+    return long_y(linalg.Buckets.of(a, BUCKETS, "lines").matvec(linalg.bucketed(order_x(spark, sf_dir), BUCKETS, name="orders")))
 
 
 def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

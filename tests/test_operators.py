@@ -196,6 +196,21 @@ def test_bucketed_lookup_joins_without_an_exchange(spark):
         linalg.lookup(a, linalg.bucketed(x.union(x), 8), "merge").collect()
 
 
+def test_hot_index_lies_apart_from_the_buckets(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("i"), (F.col("id") % 5).alias("j"), F.col("id").cast("double").alias("a"))
+    x = spark.range(3000).select(F.col("id").alias("i"), (F.col("id") % 13 - 6.0).alias("xv"))
+    held, by_index = linalg.Buckets.of(rows, 6), linalg.bucketed(x, 6)
+    assert held.hot == [7] and held.apart.count() == rows.filter("i = 7").count() and held.cool.filter("i = 7").count() == 0
+    met = held.lookup(by_index)
+    assert "ShuffleExchange" not in plan(met) and "Exchange hashpartitioning" not in plan(met)
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, linalg.lookup(rows, x).collect()))
+    assert sorted(map(tuple, held.matvec(by_index).collect())) == sorted(map(tuple, linalg.matvec(rows, x).collect()))
+    with pytest.raises(Exception, match="no element for a row"):
+        held.lookup(linalg.bucketed(x.filter("i <> 7"), 6)).collect()
+    none = linalg.Buckets.of(rows.limit(0), 6)
+    assert none.hot == [] and none.matvec(by_index).count() == 0
+
+
 def test_sparse_product(spark):
     entries = [(0, 5, 1.0), (0, 5000, 2.0), (0, 5, 4.0), (3, 7, -1.0), (3, 5, 2.0)]
     a = spark.createDataFrame(entries, "i long, j long, a double").repartition(3)
