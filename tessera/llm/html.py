@@ -60,6 +60,8 @@ SOFT = frozenset("form fieldset label".split())
 SPACE = re.compile(r"\s+")
 #: A tag or comment that the page ends in.
 UNENDED = re.compile(r"<[A-Za-z/!?]")
+#: How the line of a page begins that names its owner.
+RIGHTS = re.compile(r"(?:copyright\b|\(c\)|©|all rights reserved)", re.IGNORECASE)
 #: Elements whose own text, outside the content regions, has to be selected by its ratio to stay.
 BARE = frozenset("div section td span body".split()) | {""}
 
@@ -298,20 +300,21 @@ def main_text(page: str | None) -> str:
         inside[e] = b > 0 and (b == home or inside[b] if b != e else b == home or b in articles and b in filled or inside[parser.above[b]])
     first, last = chosen[0], chosen[-1]
     kept, lead = [], []
-    for k, (_, _, e, link) in enumerate(parser.lines):
+    for k, (text, _, e, link) in enumerate(parser.lines):
         here = inside[e] or not home and first <= k <= last
         # outside the regions stay what the threshold selects, smoothed or not (bare text by its own ratio alone), and text that is written as a heading or paragraph
-        bare = home and parser.name[e] in BARE
+        bare = home and (parser.name[e] in BARE or not here and RIGHTS.match(text) is not None)
         kept.append(not dull[k] and (here or (plain[k] if bare else max(ratio[k], plain[k])) >= cut or not link and not bare))
         lead.append(bool(home) and not (kept[k] or dull[k] or link) and parser.box[e] == e and parser.above[e] == parser.above[home])
-    follows = leads = False
+    follows = title = leads = False
     for k in reversed(range(len(kept))):  # outside them a heading needs what it stands over, and bare text of a wrapper the region right behind it
         e = parser.lines[k][2]
         if home and kept[k] and not inside[e] and parser.name[e] in HEADINGS and max(ratio[k], plain[k]) < cut:
-            kept[k] = follows
+            kept[k] = title if parser.name[e] == "h1" else follows
         kept[k] = kept[k] or lead[k] and leads
         leads = leads if dull[k] else inside[e] or lead[k] and leads
         follows = follows if dull[k] else kept[k]
+        title = title if dull[k] or not (kept[k] or parser.lines[k][3]) else kept[k]  # a by-line that goes may stand between a title and its text
     if not any(x and parser.name[parser.lines[k][2]] == "h1" for k, x in enumerate(kept)):
         kept = [x or k == headline(parser, first) for k, x in enumerate(kept)]
     return "\n".join(text for (text, _, _, _), x in zip(parser.lines, kept, strict=True) if x)

@@ -301,6 +301,12 @@ def test_html_names_that_only_look_like_furniture(names):
     assert html.main_text(f'<article><div class="{names}">{BODY}</div><p>End of it.</p></article>').split("\n") == [*THREE, "End of it."]
 
 
+def test_html_title_over_a_byline_and_rights():
+    """A title stays although the by-line under it goes; the owner's line outside the text goes, a sentence that begins like it within the text stays."""
+    page = f'<body><div class="bar"><a href=/>Paper</a></div><div><div class="headline"><h1>Big news</h1><div class="by">By Bob</div></div><div class="text">{BODY}<p>Copyright law is old.</p></div></div><p>Copyright 2024</p><p>© Paper</p></body>'
+    assert html.main_text(page).split("\n") == ["Big news", *THREE, "Copyright law is old."]
+
+
 def test_html_blocks_formulas_and_alerts():
     assert html.main_text("<center>One</center><center>Two</center>") == "One\nTwo"
     assert html.main_text("<table><caption>Head</caption><tr><td>a<td>b</table>") == "Head\na\nb"
