@@ -1,6 +1,6 @@
 """Matrix-vector products y[j] = sum over i of A[i, j] * x[i] (the transpose of a row-major A times x).
 
-Inputs are long-form: a(i, j, a) and x(i, xv). x is broadcast only if a count proves it small;
+Inputs are long-form: a(i, j, a) and x(i, xv). x is read once when the plan is built and broadcast if that proves it small;
 a longer x is joined by a shuffle on i. Results have one row (j, y) per column that occurs in A. Shapes are checked in the
 same job: a row index of A that x lacks, or that x holds twice, ends the query with an error instead of a wrong sum.
 """
@@ -9,7 +9,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import new_path, stored
@@ -29,12 +29,14 @@ def check_shapes(a: DataFrame, x: DataFrame) -> None:
         raise ValueError("x holds an index twice")
 
 
-def _small(x: DataFrame) -> bool:
-    """Whether x can be broadcast. Runs a job over BROADCAST_ROWS + 1 rows of x at most, when the plan is built; ValueError if they hold an index twice."""
-    rows, distinct = x.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("i"), F.lit(-1)))).first()
-    if distinct < rows:
+def _held(x: DataFrame) -> DataFrame | None:
+    """x as a local table if it can be broadcast, else None. Reads BROADCAST_ROWS + 1 rows of x at most, when the plan is built; ValueError if they hold an index twice."""
+    rows = x.select("i", "xv").limit(BROADCAST_ROWS + 1).toArrow()
+    if rows.num_rows > BROADCAST_ROWS:
+        return None
+    if len(rows.column("i").unique()) < rows.num_rows:
         raise ValueError("x holds an index twice")
-    return rows <= BROADCAST_ROWS
+    return x.sparkSession.createDataFrame(rows, x.select("i", "xv").schema)
 
 
 def fail(message: str, kind: str = "double"):
@@ -42,24 +44,42 @@ def fail(message: str, kind: str = "double"):
     return F.raise_error(F.lit(message)).cast(kind)
 
 
+def _met(a: DataFrame, x: DataFrame, strategy: str | None) -> DataFrame:
+    """A's rows with xv and ``times``: how often x holds their index, null if not at all."""
+    if strategy not in ("broadcast", "merge", None):
+        raise ValueError(f"unknown strategy {strategy}")
+    held = _held(x) if strategy is None else None
+    if held is not None:
+        return a.join(held.withColumn("times", F.lit(1)).hint("broadcast"), "i", "left")
+    # grouped by i as the join is, so that a merge join shuffles x once
+    return a.join(x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times")).hint(strategy or "merge"), "i", "left")
+
+
+LACKS, TWICE = "x has no element for a row of the matrix", "x holds an index twice"
+
+
 def lookup(a: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:
     """A's rows with x's element for their row index. strategy: broadcast, merge, or None to decide by x's size.
 
     A row without an element, or with two, raises an error when the query runs.
     """
-    if strategy not in ("broadcast", "merge", None):
-        raise ValueError(f"unknown strategy {strategy}")
-    if strategy is None and _small(x):
-        strategy, once = "broadcast", x.select("i", "xv", F.lit(1).alias("times"))
-    else:  # grouped by i as the join is, so that a merge join shuffles x once
-        strategy, once = strategy or "merge", x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times"))
-    element = F.when(F.col("times") == 1, F.col("xv")).when(F.col("times") > 1, fail("x holds an index twice")).otherwise(fail("x has no element for a row of the matrix"))
-    return a.join(once.hint(strategy), "i", "left").withColumn("xv", element).drop("times")
+    element = F.when(F.col("times") == 1, F.col("xv")).when(F.col("times") > 1, fail(TWICE)).otherwise(fail(LACKS))
+    return _met(a, x, strategy).withColumn("xv", element).drop("times")
+
+
+def _wrong() -> Column:
+    """Of a group's rows: 2 if one has no element of x, 1 if one has two, else 0. Looked at once a group, not once a row."""
+    return F.max(F.when(F.col("times").isNull(), 2).when(F.col("times") > 1, 1).otherwise(0))
+
+
+def _sound(total: str) -> Column:
+    return F.when(F.col("wrong") == 0, F.col(total)).when(F.col("wrong") == 1, fail(TWICE)).otherwise(fail(LACKS))
 
 
 def matvec(a: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:
     """One aggregation by j: partial sums in each task, one shuffle of at most (tasks x columns) rows."""
-    return lookup(a, x, strategy).groupBy("j").agg(F.sum(F.col("a") * F.col("xv")).alias("y"))
+    sums = _met(a, x, strategy).groupBy("j").agg(F.sum(F.col("a") * F.col("xv")).alias("y"), _wrong().alias("wrong"))
+    return sums.select("j", _sound("y").alias("y"))
 
 
 def matvec_tiled(a: DataFrame, x: DataFrame, tile: int = TILE, strategy: str | None = None) -> DataFrame:
@@ -69,8 +89,9 @@ def matvec_tiled(a: DataFrame, x: DataFrame, tile: int = TILE, strategy: str | N
     """
     if tile < 1:
         raise ValueError("a tile has at least one row")
-    per_tile = lookup(a, x, strategy).groupBy(F.floor(F.col("i") / F.lit(tile)).alias("tile"), "j").agg(F.sum(F.col("a") * F.col("xv")).alias("part"))
-    return per_tile.groupBy("j").agg(F.sum("part").alias("y"))
+    each = F.floor(F.col("i") / F.lit(tile)).alias("tile")
+    per_tile = _met(a, x, strategy).groupBy(each, "j").agg(F.sum(F.col("a") * F.col("xv")).alias("part"), _wrong().alias("wrong"))
+    return per_tile.groupBy("j").agg(F.sum("part").alias("y"), F.max("wrong").alias("wrong")).select("j", _sound("y").alias("y"))
 
 
 def matvec_rows(rows: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:
