@@ -9,7 +9,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import new_path, stored
@@ -51,8 +51,13 @@ def _met(a: DataFrame, x: DataFrame, strategy: str | None) -> DataFrame:
     held = _held(x) if strategy is None else None
     if held is not None:
         return a.join(held.withColumn("times", F.lit(1)).hint("broadcast"), "i", "left")
-    # grouped by i as the join is, so that a merge join shuffles x once
-    return a.join(x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times")).hint(strategy or "merge"), "i", "left")
+    if strategy == "broadcast":
+        return a.join(x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times")).hint("broadcast"), "i", "left")
+    # x is sorted by i as the join needs it: an index held twice is seen beside its neighbour, without a map of all indices
+    beside = Window.partitionBy("i").orderBy("i")
+    marked = x.filter("i is not null").select("i", "xv", F.lag("i").over(beside).alias("before"), F.lead("i").over(beside).alias("after"))
+    once = marked.filter("before is null").select("i", "xv", F.when(F.col("after").isNull(), 1).otherwise(2).alias("times"))
+    return a.join(once.hint("merge"), "i", "left")
 
 
 LACKS, TWICE = "x has no element for a row of the matrix", "x holds an index twice"

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import spread
 from tessera.sources.shared import fresh, stored
 
 #: Bits of a row's number within its task, as ``monotonically_increasing_id`` lays it out.
@@ -19,8 +20,9 @@ def with_positions(df: DataFrame, keys: Sequence[str | Column], name: str = "i",
     """df with ``name``: the row's 0-based place in ascending order of the keys, nulls first; written to the shared folder.
 
     Rows with equal keys are ordered by a hash of the whole row, so only equal rows may change places, and a key that
-    holds many rows is dealt over several ranges. df is computed twice, once for a sample of its ranges' bounds. A column
-    of df that bears the name is left out.
+    holds many rows is dealt over several ranges. Without ``partitions`` there are the session's shuffle partitions, or more
+    so that a range has ``spread.ROWS`` rows; df is then counted first. It is computed twice beside that, once for a sample of
+    its ranges' bounds. A column of df that bears the name is left out.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() != name.lower()]
@@ -29,7 +31,7 @@ def with_positions(df: DataFrame, keys: Sequence[str | Column], name: str = "i",
     *key, mix, read, at, task, offset = names
     order = [*key, mix, read]
     dealt = df.select(*kept, *(k.alias(n) for k, n in zip(by, key, strict=True)), F.xxhash64(*kept).alias(mix), F.monotonically_increasing_id().alias(read))
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or spread.tasks(spark, df.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = dealt.repartitionByRange(count, *order).sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias(at))
     rows = stored(ranged, "positions").withColumn(task, F.shiftright(at, ROW_BITS))
     offsets, before = [], 0

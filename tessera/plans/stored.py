@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import fixed2, speedup
-from tessera.operators import exact, linalg, position, reduce, scan, sparse, tiled
+from tessera.operators import exact, linalg, position, reduce, scan, sparse, spread, tiled
 from tessera.plans import harness, metrics, report
 from tessera.sources import generate, tables
 from tessera.sources.records import MEASURES, formatted
@@ -121,8 +121,9 @@ def generated_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a matrix of three columns, its return flags, each with a third of all rows: the tiled product deals a column over its tiles."""
     placed = position.with_positions(table(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_returnflag"), [*LINE_ORDER, "l_returnflag"])
-    a = placed.select("i", F.ascii("l_returnflag").cast("bigint").alias("j"), whole("l_extendedprice", 100).alias("a"))
-    x = placed.select("i", weight("i").alias("xv"))
+    dealt = placed.repartition(spread.tasks(spark, placed.count()), "i")  # one row an index, so evenly
+    a = dealt.select("i", F.ascii("l_returnflag").cast("bigint").alias("j"), whole("l_extendedprice", 100).alias("a"))
+    x = dealt.select("i", weight("i").alias("xv"))
     return long_y(linalg.matvec_tiled(a, x, 4096, "merge"))
 
 

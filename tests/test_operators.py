@@ -4,13 +4,14 @@ import itertools
 import math
 import os
 import random
+import re
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import exact, linalg, position, scan, sparse, tiled
+from tessera.operators import exact, linalg, position, scan, sparse, spread, tiled
 from tessera.plans import metrics
 from tessera.plans import stored as queries
 from tessera.sources import tables
@@ -88,6 +89,14 @@ def test_hot_key_is_dealt_over_ranges(spark):
     assert len(ranges) > 4 and max(r[1] for r in ranges) < 8000
 
 
+def test_ranges_grow_in_number_not_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    out = position.with_positions(spark.range(4000).select(F.col("id").alias("k")), ["k"])
+    ranges = [r[1] for r in out.groupBy(F.input_file_name()).count().collect()]
+    assert len(ranges) > 30 and max(ranges) < 300
+    assert spread.tasks(spark, 0, 3) == 3 and spread.tasks(spark, 301, 3) == 4 and spread.tasks(spark, 0) == spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("block", [2, 3, 64, 1 << 16])
 def test_running_sums(spark, block):
     values = [float((k * 37) % 101 - 50) for k in range(300)]
@@ -182,6 +191,23 @@ def test_packed_product_shuffles_nothing(spark):
         linalg.matvec_packed(packed(spark, m), spark.range(linalg.LITERAL + 1).select(F.col("id").alias("i"), F.lit(1.0).alias("xv")))
 
 
+def test_merge_join_holds_no_map_of_indices(spark):
+    a, x = spark.range(50).select(F.col("id").alias("i"), (F.col("id") % 3).alias("j"), F.lit(2.0).alias("a")), x_of(spark, {i: i for i in range(60)})
+    x = x.union(spark.createDataFrame([(None, 5.0), (None, 6.0)], x.schema))  # met by no row, so no index held twice
+    out = linalg.matvec_tiled(a, x, 4, "merge")
+    assert "SortMergeJoin" in plan(out) and "keys=[i#" not in plan(out)
+    assert {r.j: r.y for r in out.collect()} == {j: 2.0 * sum(range(j, 50, 3)) for j in range(3)}
+    with pytest.raises(Exception, match="index twice"):
+        linalg.lookup(a, x.union(x.filter("i = 7")), "merge").collect()
+
+
+def test_hot_columns_meet_in_tasks_by_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 2000)
+    df = queries.queries()["lineitem_hot_columns"](spark, SF)
+    count = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 2000)
+    assert set(re.findall(r"hashpartitioning\(i#\d+L?, (\d+)\)", plan(df))) == {str(count)}
+
+
 def test_bucketed_lookup_joins_without_an_exchange(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").cast("long").alias("j"), F.col("l_quantity").alias("a"))
     x = queries.order_x(spark, SF)
