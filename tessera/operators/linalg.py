@@ -17,6 +17,8 @@ from tessera.sources.shared import new_path, stored
 #: Rows of x up to which it is broadcast: 16 bytes each, so 16 MB at most.
 BROADCAST_ROWS = 1 << 20
 TILE = 64
+#: Slots of a hash of the row index, counted to find hot indices: a hot one fills its slot.
+SLOTS = 1 << 14
 #: Elements of an x that goes into the plan as a literal: 512 KB.
 LITERAL = 1 << 16
 
@@ -162,10 +164,12 @@ class Buckets:
 
     @classmethod
     def of(cls, a: DataFrame, buckets: int, name: str = "bucketed") -> "Buckets":
-        """a is read twice. Hot indices are those with more rows than a mean bucket, fewer than ``buckets`` of them."""
-        sizes = stored(a.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        hot = [r.i for r in sizes.filter(F.col("n") * buckets > F.lit(total)).collect()]
+        """a is read twice, and once more if an index may be hot. Hot indices are those with more rows than a mean bucket, fewer than ``buckets`` of them."""
+        slot = F.pmod(F.xxhash64("i"), F.lit(SLOTS))
+        slots = a.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()  # SLOTS rows at most
+        total = sum(r.n for r in slots)
+        full = [r.slot for r in slots if r.n * buckets > total]
+        hot = [r.i for r in a.filter(slot.isin(full)).groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * buckets > F.lit(total)).collect()] if full else []
         is_hot = F.coalesce(F.col("i").isin(hot), F.lit(False))
         return cls(bucketed(a.filter(~is_hot), buckets, name=name), stored(a.filter(is_hot), "hot-rows"), hot)
 

@@ -62,9 +62,11 @@ def long_y(y: DataFrame) -> DataFrame:
 
 
 def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities by line number, each times its order's weight; both sides are bucketed by order."""
+    """Quantities by line number, each times its order's weight; both sides are bucketed by order, into at least BUCKETS."""
     a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").cast("bigint").alias("j"), F.col("l_quantity").alias("a"))
-    return long_y(linalg.Buckets.of(a, BUCKETS, "lines").matvec(linalg.bucketed(order_x(spark, sf_dir), BUCKETS, name="orders")))
+    x = order_x(spark, sf_dir)
+    buckets = spread.tasks(spark, max(a.count(), x.count()), BUCKETS)
+    return long_y(linalg.Buckets.of(a, buckets, "lines").matvec(linalg.bucketed(x, buckets, name="orders")))
 
 
 def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,6 +237,24 @@ def test_hot_index_lies_apart_from_the_buckets(spark):
     assert none.hot == [] and none.matvec(by_index).count() == 0
 
 
+def test_buckets_grow_in_number_not_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 4000)
+    df = queries.queries()["lineitem_bucketed_lookup"](spark, SF)
+    count = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 4000)
+    assert set(re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", df._jdf.queryExecution().toString())) == {str(count)} and count > queries.BUCKETS
+    assert df.count() == 7
+
+
+def test_hot_index_is_told_from_others_in_its_slot(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.when(F.col("id") % 3 == 1, None).otherwise(F.col("id"))).alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("a"))
+    for slots in (1, 2, 1 << 14):
+        monkeypatch.setattr(linalg, "SLOTS", slots)
+        held = linalg.Buckets.of(rows.filter("i is not null"), 6)
+        assert held.hot == [7] and held.apart.count() == 1000 and held.cool.count() == 1000
+        assert linalg.Buckets.of(rows, 6).cool.filter("i is null").count() == 1000
+        assert linalg.Buckets.of(rows.filter("i <> 7"), 6).hot == []
+
+
 def test_sparse_product(spark):
     entries = [(0, 5, 1.0), (0, 5000, 2.0), (0, 5, 4.0), (3, 7, -1.0), (3, 5, 2.0)]
     a = spark.createDataFrame(entries, "i long, j long, a double").repartition(3)
