@@ -46,8 +46,8 @@ def fail(message: str, kind: str = "double"):
     return F.raise_error(F.lit(message)).cast(kind)
 
 
-def _met(a: DataFrame, x: DataFrame, strategy: str | None) -> DataFrame:
-    """A's rows with xv and ``times``: how often x holds their index, null if not at all."""
+def _met(a: DataFrame, x: DataFrame, strategy: str | None, tasks: int | None = None) -> DataFrame:
+    """A's rows with xv and ``times``: how often x holds their index, null if not at all. ``tasks``: as in ``lookup``."""
     if strategy not in ("broadcast", "merge", None):
         raise ValueError(f"unknown strategy {strategy}")
     held = _held(x) if strategy is None else None
@@ -55,6 +55,8 @@ def _met(a: DataFrame, x: DataFrame, strategy: str | None) -> DataFrame:
         return a.join(held.withColumn("times", F.lit(1)).hint("broadcast"), "i", "left")
     if strategy == "broadcast":
         return a.join(x.groupBy("i").agg(F.first("xv").alias("xv"), F.count(F.lit(1)).alias("times")).hint("broadcast"), "i", "left")
+    if tasks:
+        a, x = a.repartition(tasks, "i"), x.repartition(tasks, "i")
     # x is sorted by i as the join needs it: an index held twice is seen beside its neighbour, without a map of all indices
     beside = Window.partitionBy("i").orderBy("i")
     marked = x.filter("i is not null").select("i", "xv", F.lag("i").over(beside).alias("before"), F.lead("i").over(beside).alias("after"))
@@ -65,13 +67,14 @@ def _met(a: DataFrame, x: DataFrame, strategy: str | None) -> DataFrame:
 LACKS, TWICE = "x has no element for a row of the matrix", "x holds an index twice"
 
 
-def lookup(a: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:
+def lookup(a: DataFrame, x: DataFrame, strategy: str | None = None, tasks: int | None = None) -> DataFrame:
     """A's rows with x's element for their row index. strategy: broadcast, merge, or None to decide by x's size.
 
-    A row without an element, or with two, raises an error when the query runs.
+    A row without an element, or with two, raises an error when the query runs. ``tasks``: how many tasks a merge join
+    is dealt to where no index has a large share of A's rows; without it Spark decides, and splits what is large.
     """
     element = F.when(F.col("times") == 1, F.col("xv")).when(F.col("times") > 1, fail(TWICE)).otherwise(fail(LACKS))
-    return _met(a, x, strategy).withColumn("xv", element).drop("times")
+    return _met(a, x, strategy, tasks).withColumn("xv", element).drop("times")
 
 
 def _wrong() -> Column:

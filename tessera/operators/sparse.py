@@ -6,21 +6,29 @@ A row with very many entries is cut by blocks of columns, so none outgrows BLOCK
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import spread
 from tessera.operators.linalg import lookup
 
 BLOCK_COLUMNS = 4096
 
 
 def compress(a: DataFrame, columns: int = BLOCK_COLUMNS) -> DataFrame:
-    """The relation (i, j, a) as compressed rows, column indices ascending; entries of one place are added up first."""
-    once = a.groupBy("i", "j").agg(F.sum("a").alias("a"))
-    held = once.groupBy("i", F.expr(f"j div {columns}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("j", "a"))).alias("es"))
+    """The relation (i, j, a) as compressed rows, column indices ascending; entries of one place are added up first.
+
+    a is counted first. Entries go to tasks by their count, those of one place apart by the task that read them, so that
+    a place held very often meets only its sums.
+    """
+    tasks = spread.tasks(a.sparkSession, a.count())
+    placed = a.select("i", F.expr(f"j div {columns}").alias("block"), "j", "a", F.spark_partition_id().alias("read"))
+    parts = placed.repartition(tasks, "i", "j", "read").groupBy("i", "block", "j", "read").agg(F.sum("a").alias("a"))
+    once = parts.repartition(tasks, "i", "block").groupBy("i", "block", "j").agg(F.sum("a").alias("a"))
+    held = once.groupBy("i", "block").agg(F.array_sort(F.collect_list(F.struct("j", "a"))).alias("es"))
     return held.select("i", "block", F.col("es.j").alias("js"), F.col("es.a").alias("cells"))
 
 
-def matvec_sparse(rows: DataFrame, x: DataFrame, strategy: str | None = None) -> DataFrame:
-    """(j, y): every entry times its row's element of x, scattered to its column; one shuffle by column."""
-    met = lookup(rows, x, strategy).select("xv", F.inline(F.arrays_zip("js", "cells")))
+def matvec_sparse(rows: DataFrame, x: DataFrame, strategy: str | None = None, tasks: int | None = None) -> DataFrame:
+    """(j, y): every entry times its row's element of x, scattered to its column; one shuffle by column. ``tasks``: as in ``linalg.lookup``."""
+    met = lookup(rows, x, strategy, tasks).select("xv", F.inline(F.arrays_zip("js", "cells")))
     return met.groupBy(F.col("js").alias("j")).agg(F.sum(F.col("cells") * F.col("xv")).alias("y"))
 
 

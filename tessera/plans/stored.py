@@ -73,7 +73,9 @@ def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part the quantities of its lines times their orders' weights, zero for a part without lines."""
     a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("a"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("j"))
-    return long_y(sparse.zero_filled(sparse.matvec_sparse(sparse.compress(a), order_x(spark, sf_dir)), parts))
+    x = order_x(spark, sf_dir)
+    tasks = spread.tasks(spark, max(a.count(), x.count()))  # an order has few lines, so evenly
+    return long_y(sparse.zero_filled(sparse.matvec_sparse(sparse.compress(a), x, tasks=tasks), parts))
 
 
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

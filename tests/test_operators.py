@@ -269,6 +269,23 @@ def test_sparse_product(spark):
     assert sparse.matvec_sparse(sparse.compress(a.limit(0)), x_of(spark, {0: 1})).count() == 0
 
 
+def test_sparse_rows_meet_in_tasks_by_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 2000)
+    monkeypatch.setattr(linalg, "BROADCAST_ROWS", 100)
+    df = queries.queries()["lineitem_sparse_weights"](spark, SF)
+    count = str(-(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 2000))
+    dealt = re.findall(r"hashpartitioning\(((?:\w+#\d+L?, )+)(\d+)\), REPARTITION_BY_NUM", plan(df))
+    assert sorted((re.sub(r"#\d+L?, ", " ", keys), n) for keys, n in dealt) == [("i ", count), ("i ", count), ("i block ", count), ("i j read ", count)]
+    assert df.count() == 2000
+
+
+def test_place_held_often_meets_only_its_sums(spark):
+    a = spark.range(0, 4000, 1, 8).select((F.col("id") % 2).alias("i"), (F.col("id") % 2 * 5000).alias("j"), F.lit(1.0).alias("a"))
+    assert sorted(map(tuple, sparse.compress(a).collect())) == [(0, 0, [0], [2000.0]), (1, 1, [5000], [2000.0])]
+    rows = [r.shuffled_rows for r in metrics.node_metrics(sparse.compress(a)).collect() if r.shuffled_rows]
+    assert sorted(rows) == [16, 4000]  # the entries by place and reading task, then a sum for each of the 8 tasks
+
+
 # metrics, CSV
 
 
