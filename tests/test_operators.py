@@ -94,6 +94,7 @@ def test_ranges_grow_in_number_not_in_rows(spark, monkeypatch):
     out = position.with_positions(spark.range(4000).select(F.col("id").alias("k")), ["k"])
     ranges = [r[1] for r in out.groupBy(F.input_file_name()).count().collect()]
     assert len(ranges) > 30 and max(ranges) < 300
+    assert [spread.tasks(spark, n * 100) for n in (199, 201, 800, 801, 4000)] == [199, 200, 200, 201, 1000]
     assert spread.tasks(spark, 0, 3) == 3 and spread.tasks(spark, 301, 3) == 4 and spread.tasks(spark, 0) == spark.sparkContext.defaultParallelism
 
 
